@@ -1,0 +1,30 @@
+"""Splitting groups that grow without limit into parts of bounded size."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def split_large_groups(rows: DataFrame, group: list[str], weight: Column, limit: int, spread_by: list[str]) -> DataFrame:
+    """Add `part`: 0 for a group whose total weight is within `limit`; a heavier group is spread
+    evenly over as many parts as it needs, by hash of `spread_by`.
+
+    No row is left out; collecting per (group, part) then handles about `limit` at most.
+    """
+    heavy = (
+        rows.groupBy(*group)
+        .agg(F.sum(weight).alias("total_weight"))
+        .where(F.col("total_weight") > limit)
+        .select(*group, F.ceil(F.col("total_weight") / limit).alias("n_parts"))
+    )
+    return (
+        rows.join(heavy, group, "left")
+        .withColumn(
+            "part",
+            F.when(F.col("n_parts").isNull(), F.lit(0))
+            .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("n_parts")))
+            .cast("int"),
+        )
+        .drop("n_parts")
+    )

@@ -1,0 +1 @@
+"""Empty on purpose: feeds are whole files, nothing in the feature set is a stream."""
