@@ -17,30 +17,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shuffle) and a join back, so a node with very many neighbours is never one row or one
     group in memory.
     """
-    links = _downward(edges.select("a", "b"))
-    state = None
+    links = _downward(edges.select("a", "b")).distinct()
     while True:
         links = durable(_small_star(_large_star(links)), "components")
-        found = links.agg(
-            F.count("*"),
-            F.sum(F.col("a").cast("decimal(38,0)")),
-            F.sum(F.col("b").cast("decimal(38,0)")),
-            F.bit_xor(F.xxhash64("a", "b")),
-        ).first()
-        if found == state:
+        if _not_stars(links).isEmpty():
             break
-        state = found
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.unionByName(centres)
 
 
 def _downward(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger to the smaller node, loops left out."""
+    """Each edge from the larger to the smaller node, loops left out."""
+    return edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _not_stars(links: DataFrame) -> DataFrame:
+    """Nodes that hang on two others, or hang on one while another hangs on them."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
     return (
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        ends.groupBy("node")
+        .agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        .where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1)))
     )
 
 
@@ -59,4 +59,4 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     around = links.groupBy("a").agg(F.min("b").alias("smallest"))
     smaller = links.join(around, "a").select(F.col("b").alias("a"), F.col("smallest").alias("b"))
-    return _downward(smaller.unionByName(around.select("a", F.col("smallest").alias("b"))))
+    return _downward(smaller.unionByName(around.select("a", F.col("smallest").alias("b")))).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from tramline.fixed_values import CATALOG_COLUMNS, PREFECTURES, ROUTE_COLORS
+from tramline.operators.spans import SPAN
 from tramline.plans import testdata
 from tramline.plans.checks import BEGIN, DAY, END, MIXED_DELIMITER, TARGET_DATE
 from tramline.sources.catalog_files import RESPONSE_KEYS
@@ -118,16 +119,24 @@ NAMED = {
                as route_name from routes""",
 }
 
+_POINT = f"{SIX.format('shape_pt_lon')} || ' ' || {SIX.format('shape_pt_lat')}"
+
 SHAPE_LINES = {
     **NAMED,
-    "shape_lines": f"""
-        select feed_id, shape_id,
-               string_agg({SIX.format('shape_pt_lon')} || ' ' || {SIX.format('shape_pt_lat')}, ','
-                          order by shape_pt_sequence) as line
-        from shapes group by all having count(*) > 1""",
+    # a line is cut, and joined by a line of its own, every SPAN sequence numbers
+    "shape_points": f"""
+        select feed_id, shape_id, shape_pt_sequence as no, {_POINT} as point, shape_pt_sequence // {SPAN} as span,
+               lead({_POINT}) over one_shape as next_point,
+               lead(shape_pt_sequence) over one_shape // {SPAN} as next_span
+        from shapes window one_shape as (partition by feed_id, shape_id order by shape_pt_sequence)""",
+    "shape_lines": """
+        select feed_id, shape_id, min(no) as no, string_agg(point, ',' order by no) as line
+        from shape_points group by feed_id, shape_id, span having count(*) > 1
+        union all
+        select feed_id, shape_id, no, point || ',' || next_point from shape_points where span <> next_span""",
     "route_lines": """
-        select feed_id, route_id, route_name, string_agg(line, ';' order by shape_id) as lines
-        from (select distinct n.feed_id, n.route_id, n.route_name, l.shape_id, l.line
+        select feed_id, route_id, route_name, string_agg(line, ';' order by shape_id, no) as lines
+        from (select distinct n.feed_id, n.route_id, n.route_name, l.shape_id, l.no, l.line
               from named n join trips t using (route_id) join shape_lines l on l.shape_id = t.shape_id)
         group by all""",
 }
