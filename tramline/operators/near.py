@@ -6,9 +6,10 @@ connected component of that relation inside one name. Pairs of stops are never e
 1. A grid cell is small enough that all its stops are near each other, so each cell with a
    stop is one node, whatever the number of stops in it.
 2. Two cells up to two steps apart are linked when any stop of one is near any stop of the
-   other. Their bounding boxes decide most cases. Where they do not, both cells are halved
-   in each direction and the parts are compared, again by bounding box, until every case is
-   decided: a part with one position has an exact distance.
+   other. Each cell carries the bounding boxes of its 16 parts, and two boxes usually decide:
+   all of one is near all of the other, or nothing is. Where they do not, the two parts are
+   halved in each direction and compared again, until every case is decided: a part with one
+   position is compared by its exact distance.
 3. Components of the linked cells give the groups.
 """
 
@@ -29,147 +30,132 @@ CELL = 0.002
 # Cells within reach, each unordered pair of cells once: two steps of 0.002 pass 0.003.
 AHEAD = [(dx, dy) for dx in range(0, 3) for dy in range(-2, 3) if dx > 0 or dy > 0]
 
+# Halvings of a cell that make its 16 parts.
+PART_LEVEL = 2
+
 CELL_KEY = ["feed_id", "stop_name", "cell_x", "cell_y"]
 
+BOX = "min(stop_lon) as x0, max(stop_lon) as x1, min(stop_lat) as y0, max(stop_lat) as y1"
+
 
 def with_cell(stops: DataFrame) -> DataFrame:
-    """Add the grid cell; stops without a name or a position have no neighbours."""
-    return (
-        stops.where(F.col("stop_name").isNotNull() & F.col("stop_lon").isNotNull() & F.col("stop_lat").isNotNull())
-        .withColumn("cell_x", F.floor(F.col("stop_lon") / CELL))
-        .withColumn("cell_y", F.floor(F.col("stop_lat") / CELL))
+    """Stops with their grid cell; stops without a name or a position have no neighbours."""
+    return stops.where("stop_name is not null and stop_lon is not null and stop_lat is not null").selectExpr(
+        "feed_id", "stop_id", "stop_name", "stop_lon", "stop_lat", *_grid("cell", 0)
     )
 
 
-def cells(placed: DataFrame) -> DataFrame:
-    """One row per occupied cell: bounding box, number of stops and smallest stop id."""
-    return placed.groupBy(*CELL_KEY).agg(
-        _box(), F.count("*").alias("n_stops"), F.min("stop_id").alias("first_stop_id")
+def _grid(name: str, level: int) -> list[str]:
+    """Grid position after `level` halvings. Dividing by a power of two is exact, so a part at
+    one level lies in exactly one part of the level before."""
+    size = f"cast({CELL / 2**level!r} as double)"
+    return [f"floor(stop_lon / {size}) as {name}_x", f"floor(stop_lat / {size}) as {name}_y"]
+
+
+def numbered_cells(placed: DataFrame) -> DataFrame:
+    """One row per occupied cell: node number, part boxes, number of stops, smallest stop id."""
+    parts = placed.selectExpr("*", *_grid("part", PART_LEVEL)).groupBy(*CELL_KEY, "part_x", "part_y")
+    cells = (
+        parts.agg(*_boxed("min(stop_id) as first_id", "count(*) as n"))
+        .groupBy(*CELL_KEY)
+        .agg(
+            F.expr("collect_list(struct(part_x, part_y, x0, x1, y0, y1)) as boxes"),  # 16 at most
+            F.expr("sum(n) as n_stops"),
+            F.expr("min(first_id) as first_stop_id"),
+        )
     )
+    # the numbers are assigned as the table is written, and fixed from then on
+    return durable(cells.withColumn("node", F.monotonically_increasing_id()), "cells")
 
 
-def _box() -> Column:
-    return F.struct(
-        F.min("stop_lon").alias("x0"),
-        F.max("stop_lon").alias("x1"),
-        F.min("stop_lat").alias("y0"),
-        F.max("stop_lat").alias("y1"),
-    ).alias("box")
+def _boxed(*more: str) -> list[Column]:
+    return [F.expr(text) for text in [*BOX.split(", "), *more]]
 
 
-def _verdict(p: str, q: str) -> Column:
-    """True: all of p is near all of q. False: nothing is. Null: the boxes do not tell."""
+def _farthest(p: str, q: str) -> str:
+    """SQL for the square of the largest distance between the boxes p and q."""
+    across = [f"greatest({q}.{axis}1 - {p}.{axis}0, {p}.{axis}1 - {q}.{axis}0)" for axis in "xy"]
+    return " + ".join(f"{d} * {d}" for d in across)
 
-    def at(box: str, side: str) -> Column:
-        return F.col(f"{box}.{side}")
 
-    def gap(axis: str) -> Column:
-        return F.greatest(F.lit(0.0), at(q, axis + "0") - at(p, axis + "1"), at(p, axis + "0") - at(q, axis + "1"))
+def _closest(p: str, q: str) -> str:
+    """SQL for the square of the smallest distance between the boxes p and q."""
+    gaps = [f"greatest(0D, {q}.{axis}0 - {p}.{axis}1, {p}.{axis}0 - {q}.{axis}1)" for axis in "xy"]
+    return " + ".join(f"{d} * {d}" for d in gaps)
 
-    def reach(axis: str) -> Column:
-        return F.greatest(at(q, axis + "1") - at(p, axis + "0"), at(p, axis + "1") - at(q, axis + "0"))
 
-    limit = F.lit(RADIUS * RADIUS)
-    closest = gap("x") * gap("x") + gap("y") * gap("y")
-    farthest = reach("x") * reach("x") + reach("y") * reach("y")
-    return F.when(farthest <= limit, F.lit(True)).when(closest > limit, F.lit(False))
+LIMIT = f"cast({RADIUS * RADIUS!r} as double)"
 
 
-def linked_cells(placed: DataFrame, occupied: DataFrame) -> DataFrame:
-    """(a, b): first stop ids of two different cells holding a near pair, each pair once."""
-    ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AHEAD]))
-    here = occupied.select(*CELL_KEY, F.col("first_stop_id").alias("a"), F.col("box").alias("box_a"))
-    there = occupied.select(*CELL_KEY, F.col("first_stop_id").alias("b"), F.col("box").alias("box_b"))
+def _all_near(p: str, q: str) -> str:
+    return f"({_farthest(p, q)} <= {LIMIT})"
+
+
+def _undecided(p: str, q: str) -> str:
+    return f"({_closest(p, q)} <= {LIMIT} and {_farthest(p, q)} > {LIMIT})"
+
+
+def linked_cells(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """(a, b): node numbers of two different cells that hold a near pair, each pair once."""
+    steps = ", ".join(f"struct({dx} as dx, {dy} as dy)" for dx, dy in AHEAD)
+    here = (
+        cells.selectExpr("feed_id", "stop_name", "cell_x", "cell_y", "node as a", "boxes as boxes_a", f"explode(array({steps})) as step")
+        .selectExpr("feed_id", "stop_name", "cell_x + step.dx as cell_x", "cell_y + step.dy as cell_y", "a", "boxes_a")
+    )
+    there = cells.selectExpr(*CELL_KEY, "node as b", "boxes as boxes_b")
+    both = f"exists(boxes_a, p -> exists(boxes_b, q -> {_all_near('p', 'q')}))"
+    unsure = f"""flatten(transform(boxes_a, p -> transform(filter(boxes_b, q -> {_undecided('p', 'q')}),
+        q -> struct(p.part_x as ax, p.part_y as ay, q.part_x as bx, q.part_y as by))))"""
     pairs = (
-        here.withColumn("ahead", ahead)
-        .withColumns(
-            {
-                "from_x": F.col("cell_x"),
-                "from_y": F.col("cell_y"),
-                "cell_x": F.col("cell_x") + F.col("ahead.dx"),
-                "cell_y": F.col("cell_y") + F.col("ahead.dy"),
-            }
-        )
-        .join(there, CELL_KEY)
-        .select(
-            "feed_id",
-            "stop_name",
-            "a",
-            "b",
-            F.struct(F.col("from_x").alias("x"), F.col("from_y").alias("y")).alias("part_a"),
-            F.struct(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).alias("part_b"),
-            _verdict("box_a", "box_b").alias("linked"),
-        )
-        .where(F.col("linked").isNull() | F.col("linked"))
+        here.join(there, CELL_KEY)
+        .selectExpr("feed_id", "stop_name", "a", "b", f"{both} as linked", "boxes_a", "boxes_b")
+        .selectExpr("feed_id", "stop_name", "a", "b", "linked", f"case when not linked then {unsure} end as unsure")
+        .where("linked or size(unsure) > 0")
     )
     pairs = durable(pairs, "cell-pairs")
-    found = pairs.where("linked").select("feed_id", "a", "b")
-    open_pairs = pairs.where("linked is null").drop("linked")
-    level = 0
+    found = pairs.where("linked").select("a", "b")
+    open_pairs = pairs.where("not linked").selectExpr("feed_id", "stop_name", "a", "b", "inline(unsure)")
+    level = PART_LEVEL
     while not open_pairs.isEmpty():
         level += 1
-        decided = durable(_halve(placed, open_pairs, level), "cell-parts")
-        hits = decided.where("linked").select("feed_id", "a", "b").distinct()
+        compared = durable(_compare_halves(placed, open_pairs, level), "cell-parts")
+        hits = compared.where("linked").select("a", "b").distinct()
         found = found.unionByName(hits)
-        open_pairs = decided.where("linked is null").drop("linked").join(hits, ["feed_id", "a", "b"], "left_anti")
+        open_pairs = compared.where("not linked").drop("linked").join(hits, ["a", "b"], "left_anti")
     return found
 
 
-def _halve(placed: DataFrame, open_pairs: DataFrame, level: int) -> DataFrame:
-    """Compare the parts at grid size CELL / 2**level of the pairs still open.
-
-    Dividing by a power of two is exact, so a part at one level lies in exactly one part of
-    the level before.
-    """
-    size = CELL / 2**level
+def _compare_halves(placed: DataFrame, open_pairs: DataFrame, level: int) -> DataFrame:
+    """Compare the halves, at `level`, of the undecided parts, and keep what is linked or undecided."""
+    part = ["feed_id", "stop_name", "part_x", "part_y"]
     needed = (
-        open_pairs.select("feed_id", "stop_name", F.col("part_a").alias("part"))
-        .unionByName(open_pairs.select("feed_id", "stop_name", F.col("part_b").alias("part")))
+        open_pairs.selectExpr("feed_id", "stop_name", "inline(array(struct(ax as part_x, ay as part_y), struct(bx as part_x, by as part_y)))")
         .distinct()
     )
-    parts = (
-        placed.select(
-            "feed_id",
-            "stop_name",
-            "stop_lon",
-            "stop_lat",
-            _part(size * 2).alias("part"),
-            _part(size).alias("half"),
+    halves = (
+        placed.selectExpr(
+            "feed_id", "stop_name", "stop_lon", "stop_lat", *_grid("part", level - 1), *_grid("half", level)
         )
-        .join(needed, ["feed_id", "stop_name", "part"], "left_semi")
-        .groupBy("feed_id", "stop_name", "part", "half")
-        .agg(_box())
+        .join(needed, part, "left_semi")
+        .groupBy(*part, "half_x", "half_y")
+        .agg(*_boxed())
     )
 
-    def side(name: str) -> DataFrame:
-        return parts.select(
-            "feed_id",
-            "stop_name",
-            F.col("part").alias(f"part_{name}"),
-            F.col("half").alias(f"half_{name}"),
-            F.col("box").alias(f"box_{name}"),
+    def side(s: str) -> DataFrame:
+        return halves.selectExpr(
+            "feed_id", "stop_name", f"part_x as {s}x", f"part_y as {s}y",
+            f"struct(half_x, half_y, x0, x1, y0, y1) as {s}_box",
         )
 
     return (
-        open_pairs.join(side("a"), ["feed_id", "stop_name", "part_a"])
-        .join(side("b"), ["feed_id", "stop_name", "part_b"])
-        .select(
-            "feed_id",
-            "stop_name",
-            "a",
-            "b",
-            F.col("half_a").alias("part_a"),
-            F.col("half_b").alias("part_b"),
-            _verdict("box_a", "box_b").alias("linked"),
+        open_pairs.join(side("a"), ["feed_id", "stop_name", "ax", "ay"])
+        .join(side("b"), ["feed_id", "stop_name", "bx", "by"])
+        .where(f"{_closest('a_box', 'b_box')} <= {LIMIT}")
+        .selectExpr(
+            "feed_id", "stop_name", "a", "b",
+            "a_box.half_x as ax", "a_box.half_y as ay", "b_box.half_x as bx", "b_box.half_y as by",
+            f"{_all_near('a_box', 'b_box')} as linked",
         )
-        .where(F.col("linked").isNull() | F.col("linked"))
-    )
-
-
-def _part(size: float) -> Column:
-    return F.struct(
-        F.floor(F.col("stop_lon") / size).alias("x"),
-        F.floor(F.col("stop_lat") / size).alias("y"),
     )
 
 
@@ -181,23 +167,23 @@ def near_stop_pairs(stops: DataFrame) -> DataFrame:
     while the number of rows stays proportional to the number of stops.
     """
     placed = with_cell(stops)
-    occupied = durable(cells(placed), "cells")
+    cells = numbered_cells(placed)
     same_cell = (
-        placed.select("feed_id", "stop_id", *CELL_KEY[1:])
-        .join(occupied.where(F.col("n_stops") > 1), CELL_KEY)
-        .where(F.col("stop_id") != F.col("first_stop_id"))
-        .select(
-            "feed_id",
-            F.col("first_stop_id").alias("stop_id_a"),
-            F.col("stop_id").alias("stop_id_b"),
-            F.lit("same_cell").alias("link"),
-        )
+        placed.select("stop_id", *CELL_KEY)
+        .join(cells.where("n_stops > 1").select(*CELL_KEY, "first_stop_id"), CELL_KEY)
+        .where("stop_id <> first_stop_id")
+        .selectExpr("feed_id", "first_stop_id as stop_id_a", "stop_id as stop_id_b", "'same_cell' as link")
     )
-    between = linked_cells(placed, occupied).select(
-        "feed_id",
-        F.least("a", "b").alias("stop_id_a"),
-        F.greatest("a", "b").alias("stop_id_b"),
-        F.lit("linked_cells").alias("link"),
+    first_a = cells.selectExpr("node as a", "feed_id", "first_stop_id as first_a")
+    first_b = cells.selectExpr("node as b", "first_stop_id as first_b")
+    between = (
+        linked_cells(placed, cells)
+        .join(first_a, "a")
+        .join(first_b, "b")
+        .selectExpr(
+            "feed_id", "least(first_a, first_b) as stop_id_a", "greatest(first_a, first_b) as stop_id_b",
+            "'linked_cells' as link",
+        )
     )
     return same_cell.unionByName(between)
 
@@ -205,18 +191,10 @@ def near_stop_pairs(stops: DataFrame) -> DataFrame:
 def near_groups(stops: DataFrame) -> DataFrame:
     """(feed_id, stop_id, similar_stop_id) for stops in a near group of two or more."""
     placed = with_cell(stops)
-    # Numbers for the cells: assigned as the table is written, so fixed from then on.
-    occupied = durable(cells(placed).withColumn("node", F.monotonically_increasing_id()), "cells")
-    links = linked_cells(placed, occupied)
-    number = occupied.select("feed_id", F.col("first_stop_id").alias("a"), F.col("node").alias("node_a"))
-    edges = (
-        links.join(number, ["feed_id", "a"])
-        .join(number.select("feed_id", F.col("a").alias("b"), F.col("node_a").alias("node_b")), ["feed_id", "b"])
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    )
-    components = connected_components(edges)
+    cells = numbered_cells(placed)
+    components = connected_components(linked_cells(placed, cells))
     labelled = (
-        occupied.select(*CELL_KEY, "node", "n_stops", "first_stop_id")
+        cells.select(*CELL_KEY, "node", "n_stops", "first_stop_id")
         .join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
@@ -224,9 +202,7 @@ def near_groups(stops: DataFrame) -> DataFrame:
     groups = (
         labelled.groupBy("component")
         .agg(F.min("first_stop_id").alias("similar_stop_id"), F.sum("n_stops").alias("members"))
-        .where(F.col("members") > 1)
+        .where("members > 1")
     )
     answer = labelled.join(groups, "component").select(*CELL_KEY, "similar_stop_id")
-    return placed.select("feed_id", "stop_id", *CELL_KEY[1:]).join(answer, CELL_KEY).select(
-        "feed_id", "stop_id", "similar_stop_id"
-    )
+    return placed.select("stop_id", *CELL_KEY).join(answer, CELL_KEY).select("feed_id", "stop_id", "similar_stop_id")

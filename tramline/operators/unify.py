@@ -22,22 +22,19 @@ def parent_matches(stops: DataFrame) -> DataFrame:
     The format nests stops two levels deep (boarding area, platform, station), so a parent
     that has a parent of its own passes the stop on to that one.
     """
-    children = stops.where(F.trim("parent_station") != "").select(
-        *STOP, F.col("parent_station").alias("parent")
-    )
-    known = stops.select("feed_id", F.col("stop_id").alias("parent"))
+    # stops without a parent are set apart first: as join keys they would all meet in one task
+    children = stops.where("trim(parent_station) <> ''").selectExpr("feed_id", "stop_id", "parent_station as parent")
+    known = stops.selectExpr("feed_id", "stop_id as parent")
     valid = children.join(known, ["feed_id", "parent"], "left_semi")
-    above = valid.select("feed_id", F.col("stop_id").alias("parent"), F.col("parent").alias("grandparent"))
-    risen = valid.join(above, ["feed_id", "parent"], "left").select(
-        *STOP, F.coalesce("grandparent", "parent").alias("similar_stop_id")
+    involved = (
+        valid.unionByName(valid.selectExpr("feed_id", "parent as stop_id", "cast(null as string) as parent"))
+        .groupBy(*STOP)
+        .agg(F.max("parent").alias("parent"))
     )
-    stations = (
-        valid.select("feed_id", F.col("parent").alias("stop_id"))
-        .distinct()
-        .join(valid, STOP, "left_anti")
-        .select(*STOP, F.col("stop_id").alias("similar_stop_id"))
+    above = involved.where("parent is not null").selectExpr("feed_id", "stop_id as parent", "parent as grandparent")
+    return involved.join(above, ["feed_id", "parent"], "left").selectExpr(
+        *STOP, "coalesce(grandparent, parent, stop_id) as similar_stop_id"
     )
-    return risen.unionByName(stations)
 
 
 def id_prefix(stop_id: Column, delimiter: str) -> Column:
@@ -65,11 +62,14 @@ def near_matches(stops: DataFrame) -> DataFrame:
     return near_groups(stops)
 
 
-def _take(undecided: DataFrame, matches: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
-    """Split off the stops a rule matches: (their relation rows, the stops left over)."""
-    return (
-        matches.select(*STOP, "similar_stop_id", F.lit(rule).alias("rule")),
-        undecided.join(matches, STOP, "left_anti"),
+def _apply(stops: DataFrame, matches: DataFrame, rule: str) -> DataFrame:
+    """Fill in `similar_stop_id` and `rule` for the stops that `matches` names."""
+    found = matches.selectExpr(*STOP, "similar_stop_id as found_id")
+    rest = [c for c in stops.columns if c not in ("similar_stop_id", "rule")]
+    return stops.join(found, STOP, "left").selectExpr(
+        *rest,
+        "coalesce(similar_stop_id, found_id) as similar_stop_id",
+        f"coalesce(rule, case when found_id is not null then '{rule}' end) as rule",
     )
 
 
@@ -80,15 +80,19 @@ def unify_stops(stops: DataFrame, unify: bool = True, delimiter: str = "") -> Da
     """
     if not unify:
         return identity_relation(stops)
-    stops = stops.select(*STOP, "stop_name", "stop_lon", "stop_lat", "parent_station")
-    relation, left = _take(stops, parent_matches(stops), "parent")
-    left = durable(left.drop("parent_station"), "stops-left")
+    decided = stops.selectExpr(
+        *STOP, "stop_name", "stop_lon", "stop_lat", "parent_station",
+        "cast(null as string) as similar_stop_id", "cast(null as string) as rule",
+    )
+    decided = _apply(decided, parent_matches(stops), "parent").drop("parent_station")
     if delimiter:
-        by_prefix, left = _take(left, prefix_matches(left, delimiter), "prefix")
-        relation = relation.unionByName(by_prefix)
-    by_distance, left = _take(left, near_matches(left), "near")
-    relation = relation.unionByName(by_distance).unionByName(identity_relation(left))
-    return durable(relation, "relation")
+        decided = _apply(decided, prefix_matches(decided.where("rule is null"), delimiter), "prefix")
+    # read many times below
+    decided = durable(decided, "decided-by-id")
+    decided = _apply(decided, near_matches(decided.where("rule is null")), "near")
+    return decided.selectExpr(
+        *STOP, "coalesce(similar_stop_id, stop_id) as similar_stop_id", "coalesce(rule, 'none') as rule"
+    )
 
 
 def one_row_per_stop(stops: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tramline.functions.text import extent_numbers
 from tramline.operators import catalog, frequency, geometry, near, service, styling, unify
 from tramline.plans import catalogue_search, testdata
 from tramline.plans.extraction import Aggregator, Options, extract
-from tramline.plans.testdata import feed_table, feed_tables
+from tramline.plans.testdata import feed_table, feed_tables, staged_stop_times
 from tramline.schemas import GEOJSON_READ_SCHEMA
 from tramline.session import durable, fresh_path
 from tramline.sinks import geojson
@@ -219,13 +219,13 @@ def stop_times_in_window(spark, sf):
 
 @query
 def trip_stop_times(spark, sf):
-    tables = feed_tables(spark, sf)
-    return frequency.trip_stop_times(tables.stop_times, tables.trips, tables.routes, tables.stops)
+    stop_times, trips, routes, stops = (feed_table(spark, sf, t) for t in ("stop_times", "trips", "routes", "stops"))
+    return frequency.trip_stop_times(stop_times, trips, routes, stops)
 
 
 @query
 def trip_segments(spark, sf):
-    return frequency.trip_segments(feed_table(spark, sf, "stop_times"))
+    return frequency.trip_segments(staged_stop_times(spark, sf))
 
 
 # --- unification -------------------------------------------------------------------------
@@ -277,7 +277,8 @@ def stop_relations(spark, sf):
 @query
 def unified_stops(spark, sf):
     stops = unify.one_row_per_stop(feed_table(spark, sf, "stops"))
-    return unify.unified_stops(unify.unify_stops(stops, delimiter=MIXED_DELIMITER), stops).select(
+    relation = durable(unify.unify_stops(stops, delimiter=MIXED_DELIMITER), "relation")
+    return unify.unified_stops(relation, stops).select(
         "feed_id", "similar_stop_id", "similar_stop_name", _six("lon"), _six("lat")
     )
 
@@ -287,8 +288,8 @@ def unified_stops(spark, sf):
 
 @query
 def path_frequency(spark, sf):
-    relation = unify.unify_stops(feed_table(spark, sf, "stops"))
-    return frequency.path_frequency(frequency.trip_segments(feed_table(spark, sf, "stop_times")), relation)
+    relation = durable(unify.unify_stops(feed_table(spark, sf, "stops")), "relation")
+    return frequency.path_frequency(frequency.trip_segments(staged_stop_times(spark, sf)), relation)
 
 
 def _windowed(spark, sf):

@@ -72,7 +72,7 @@ class Aggregator:
         end_time: str = "",
     ):
         self.stops = unify.one_row_per_stop(tables.stops)
-        self.relation = unify.unify_stops(self.stops, not no_unify_stops, delimiter)
+        self.relation = durable(unify.unify_stops(self.stops, not no_unify_stops, delimiter), "relation")
         self.begin, self.end = parse_bound(begin_time), parse_bound(end_time)
         day = parse_day(yyyymmdd)
         calls = tables.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_secs")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.times import time_to_secs
 from tramline.schemas import FeedTables
+from tramline.session import durable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -153,8 +154,14 @@ def feed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table
 
 
+def staged_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop times written as a table first, as feeds are before an analysis (sources/archives.py)."""
+    return durable(feed_table(spark, sf_dir, "stop_times"), "stop-times")
+
+
 def feed_tables(spark: SparkSession, sf_dir: str) -> FeedTables:
-    return FeedTables(**{name: feed_table(spark, sf_dir, name) for name in FEED_SQL})
+    tables = {name: feed_table(spark, sf_dir, name) for name in FEED_SQL if name != "stop_times"}
+    return FeedTables(stop_times=staged_stop_times(spark, sf_dir), **tables)
 
 
 def for_duckdb(sql: str) -> str:
