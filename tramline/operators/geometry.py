@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators.frequency import TRIP
 from tramline.operators.parts import split_large_groups
+from tramline.operators.service import of_trips
 from tramline.operators.spans import SPAN, in_spans, seams
 from tramline.session import durable
 
@@ -116,11 +117,17 @@ def routes_from_shapes(
     )
     # null shapes are set apart first: as join keys they would all meet in one task
     missing = wanted.join(known, SHAPE, "left_anti")
-    shapeless = trips.where(F.col("shape_id").isNull()).unionByName(
-        trips.where(F.col("shape_id").isNotNull()).join(missing, [*ROUTE, "shape_id"], "left_semi")
+    shapeless = durable(
+        trips.where(F.col("shape_id").isNull())
+        .unionByName(trips.where(F.col("shape_id").isNotNull()).join(missing, [*ROUTE, "shape_id"], "left_semi"))
+        .select(*TRIP, "route_id"),
+        "shapeless",
     )
-    through = pattern_lines(stop_patterns(stop_times, shapeless), stops).withColumn("line_no", F.lit(0))
-    return _route_features(along.unionByName(through.select(*along.columns)), routes)
+    # usually there are none, and then the stop times need not be read at all
+    if not shapeless.isEmpty():
+        through = pattern_lines(stop_patterns(of_trips(stop_times, shapeless), shapeless), stops)
+        along = along.unionByName(through.withColumn("line_no", F.lit(0)))
+    return _route_features(along, routes)
 
 
 def read_routes(

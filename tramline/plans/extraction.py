@@ -60,7 +60,11 @@ class Options:
 
 
 class Aggregator:
-    """Paths, unified stops and stop relations of feeds, sharing one relation and one set of filters."""
+    """Paths, unified stops and stop relations of feeds, sharing one relation and one set of filters.
+
+    With `keep_calls` the join of the stop times with the trips of the day runs once and its
+    result is kept on the executors' disks until `close`; meant for reading both frequencies.
+    """
 
     def __init__(
         self,
@@ -70,6 +74,7 @@ class Aggregator:
         yyyymmdd: str = "",
         begin_time: str = "",
         end_time: str = "",
+        keep_calls: bool = False,
     ):
         self.stops = unify.one_row_per_stop(tables.stops)
         self.relation = durable(unify.unify_stops(self.stops, not no_unify_stops, delimiter), "relation")
@@ -79,8 +84,9 @@ class Aggregator:
         self._kept = None
         if day is not None:
             trips = service.trips_on_date(tables.trips, tables.calendar, tables.calendar_dates, day)
-            # both outputs need the join with the trips of the day: run it once
-            self._kept = calls = service.of_trips(calls, trips).persist(StorageLevel.DISK_ONLY)
+            calls = service.of_trips(calls, trips)
+            if keep_calls:
+                self._kept = calls = calls.persist(StorageLevel.DISK_ONLY)
         self.calls = calls
         self.unified = unify.unified_stops(self.relation, self.stops)
 
@@ -131,7 +137,7 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
     if options.aggregate:
         begin, end = options.time_texts(spark)
         aggregator = Aggregator(
-            tables, not options.unify, options.delimiter_text(), options.yyyymmdd(), begin, end
+            tables, not options.unify, options.delimiter_text(), options.yyyymmdd(), begin, end, keep_calls=True
         )
         write_geojson("aggregated_routes", geojson.path_feature_rows(aggregator.read_route_frequency()))
         write_geojson("aggregated_stops", geojson.unified_stop_feature_rows(aggregator.read_interpolated_stops()))

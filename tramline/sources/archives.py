@@ -83,14 +83,15 @@ def _records(feed_id: str, table: str | None, fields: list, problem: str | None
 def ingest_report(records: DataFrame, fetched: DataFrame) -> DataFrame:
     """One row per feed of `fetched(feed_id, status)`: whether it can be used, and why not.
 
-    A feed that was not fetched, or whose archive is unreadable, is skipped; the others go on.
+    A feed that was not fetched, or whose archive is unreadable or holds no feed table (Spark
+    skips empty files altogether), is skipped; the others go on.
     """
-    problems = records.where(F.col("problem").isNotNull()).groupBy("feed_id").agg(F.min("problem").alias("problem"))
-    return fetched.join(problems, "feed_id", "left").select(
+    seen = records.groupBy("feed_id").agg(F.min("problem").alias("problem"), F.lit(True).alias("seen"))
+    return fetched.join(seen, "feed_id", "left").select(
         "feed_id",
         "status",
         F.when(F.col("status") != 200, F.lit("not fetched"))
-        .when(F.col("problem").isNotNull(), F.lit("unreadable"))
+        .when(F.col("seen").isNull() | F.col("problem").isNotNull(), F.lit("unreadable"))
         .otherwise(F.lit("ok"))
         .alias("outcome"),
     )
