@@ -96,10 +96,11 @@ def unify_stops(stops: DataFrame, unify: bool = True, delimiter: str = "") -> Da
 
 
 def one_row_per_stop(stops: DataFrame) -> DataFrame:
-    """Stops with repeated ids reduced to one row each, always the same one."""
+    """Stops with repeated ids reduced to one row each, always the same one; rows without id left out."""
     others = [c for c in stops.columns if c not in STOP]
     return (
-        stops.groupBy(*STOP)
+        stops.where(F.col("stop_id").isNotNull())
+        .groupBy(*STOP)
         .agg(F.min(F.struct(*others)).alias("row"))
         .select(*STOP, *[F.col(f"row.{c}").alias(c) for c in others])
     )

@@ -59,7 +59,7 @@ def feed_scan(spark, sf):
     records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records")
     return (
         archives.usable_records(records)
-        .where(F.col("fields").isNotNull())
+        .where(F.col("report").isNull())
         .select("feed_id", "gtfs_table", F.array_join("fields", "|", "").alias("record"))
     )
 

@@ -23,7 +23,9 @@ from tramline.session import durable
 
 CHUNK_ROWS = 20_000
 
-RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, problem string"
+RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, report string"
+
+PRESENT = "present"
 
 
 def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -35,9 +37,9 @@ def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def scan_archives(archives: DataFrame) -> DataFrame:
     """Records of every known table in `archives(feed_id, content)`.
 
-    `fields` holds the columns of FEED_COLUMNS in order, null where a file lacks one. A table
-    that is present but empty gives one row with null `fields`. An archive that cannot be read
-    gives a row with `problem` instead of failing the job.
+    `fields` holds the columns of FEED_COLUMNS in order, null where a file lacks one, and
+    `report` is null. Besides, every table found gives one row with `report` = 'present', and an
+    archive that cannot be read gives one with the reason instead of failing the job.
     """
     return archives.select("feed_id", "content").mapInArrow(_unzip, RECORD_SCHEMA)
 
@@ -53,6 +55,7 @@ def _unzip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             with archive.open(f"{table}.txt") as entry:
                                 for chunk in _chunks(entry, [name for name, _ in columns]):
                                     yield _records(feed_id, table, chunk)
+                            yield _records(feed_id, table, [None], PRESENT)
             except (zipfile.BadZipFile, zipfile.zlib.error, EOFError, OSError, ValueError, csv.Error) as error:
                 yield _records(feed_id, None, [None], f"{type(error).__name__}: {error}")
 
@@ -62,45 +65,53 @@ def _chunks(entry, wanted: list[str]) -> Iterator[list]:
     reader = csv.reader(io.TextIOWrapper(entry, encoding="utf-8-sig", newline=""))
     header = [name.strip() for name in next(reader, [])]
     places = [header.index(name) if name in header else -1 for name in wanted]
-    yield [None]  # marks the table as present
     while rows := list(islice(reader, CHUNK_ROWS)):
         yield [[row[p] if 0 <= p < len(row) else None for p in places] for row in rows if row]
 
 
-def _records(feed_id: str, table: str | None, fields: list, problem: str | None = None) -> pa.RecordBatch:
+def _records(feed_id: str, table: str | None, fields: list, report: str | None = None) -> pa.RecordBatch:
     count = len(fields)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([feed_id] * count, pa.string()),
             pa.array([table] * count, pa.string()),
             pa.array(fields, pa.list_(pa.string())),
-            pa.array([problem] * count, pa.string()),
+            pa.array([report] * count, pa.string()),
         ],
-        names=["feed_id", "gtfs_table", "fields", "problem"],
+        names=["feed_id", "gtfs_table", "fields", "report"],
     )
 
 
+def _reports(records: DataFrame) -> DataFrame:
+    """The few rows that tell about tables and problems; a Parquet scan skips all others."""
+    return records.where(F.col("report").isNotNull()).select("feed_id", "gtfs_table", "report")
+
+
 def ingest_report(records: DataFrame, fetched: DataFrame) -> DataFrame:
     """One row per feed of `fetched(feed_id, status)`: whether it can be used, and why not.
 
     A feed that was not fetched, or whose archive is unreadable or holds no feed table (Spark
     skips empty files altogether), is skipped; the others go on.
     """
-    seen = records.groupBy("feed_id").agg(F.min("problem").alias("problem"), F.lit(True).alias("seen"))
+    seen = _reports(records).groupBy("feed_id").agg(F.max((F.col("report") != PRESENT).cast("int")).alias("broken"))
     return fetched.join(seen, "feed_id", "left").select(
         "feed_id",
         "status",
         F.when(F.col("status") != 200, F.lit("not fetched"))
-        .when(F.col("seen").isNull() | F.col("problem").isNotNull(), F.lit("unreadable"))
+        .when(F.col("broken").isNull() | (F.col("broken") == 1), F.lit("unreadable"))
         .otherwise(F.lit("ok"))
         .alias("outcome"),
     )
 
 
 def usable_records(records: DataFrame) -> DataFrame:
-    """Records of the archives that were read to the end."""
-    broken = records.where(F.col("problem").isNotNull()).select("feed_id").distinct()
-    return records.where(F.col("problem").isNull()).join(broken, "feed_id", "left_anti")
+    """Records of the archives that were read to the end, reports included."""
+    # Written first, so that Spark knows its size: a short list is then broadcast, and the
+    # records need no shuffle by feed.
+    broken = durable(
+        _reports(records).where(F.col("report") != PRESENT).select("feed_id").distinct(), "broken-feeds"
+    )
+    return records.join(broken, "feed_id", "left_anti")
 
 
 def required_tables(records: DataFrame) -> DataFrame:
@@ -113,7 +124,8 @@ def required_tables(records: DataFrame) -> DataFrame:
     no_calendar = ~F.arrays_overlap("present", F.array(*[F.lit(t) for t in CALENDAR_TABLES]))
     missing = F.when(no_calendar, F.concat(absent, F.array(F.lit("calendar")))).otherwise(absent)
     return (
-        records.groupBy("feed_id")
+        _reports(records)
+        .groupBy("feed_id")
         .agg(present)
         .select("feed_id", F.array_sort(missing).alias("missing"))
         .withColumn("complete", F.size("missing") == 0)
@@ -134,7 +146,7 @@ def table_from_records(records: DataFrame, table: str) -> DataFrame:
     typed = [
         _typed(F.get("fields", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(FEED_COLUMNS[table])
     ]
-    rows = records.where((F.col("gtfs_table") == table) & F.col("fields").isNotNull()).select("feed_id", *typed)
+    rows = records.where((F.col("gtfs_table") == table) & F.col("report").isNull()).select("feed_id", *typed)
     if table == "stop_times":
         rows = rows.withColumn("departure_secs", time_to_secs(F.col("departure_time")))
     return rows
