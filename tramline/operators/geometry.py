@@ -125,7 +125,8 @@ def routes_from_shapes(
     )
     # usually there are none, and then the stop times need not be read at all
     if not shapeless.isEmpty():
-        through = pattern_lines(stop_patterns(of_trips(stop_times, shapeless), shapeless), stops)
+        calls = durable(of_trips(stop_times, shapeless), "shapeless-calls")
+        through = pattern_lines(stop_patterns(calls, shapeless), stops)
         along = along.unionByName(through.withColumn("line_no", F.lit(0)))
     return _route_features(along, routes)
 

@@ -56,7 +56,7 @@ def _six(name: str) -> Column:
 
 @query
 def feed_scan(spark, sf):
-    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records")
+    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records", partition_by="gtfs_table")
     return (
         archives.usable_records(records)
         .where(F.col("report").isNull())
@@ -66,7 +66,7 @@ def feed_scan(spark, sf):
 
 @query
 def feed_required_tables(spark, sf):
-    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records")
+    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records", partition_by="gtfs_table")
     return archives.required_tables(archives.usable_records(records)).select(
         "feed_id", F.array_join("missing", ",").alias("missing"), F.col("complete").cast("int").alias("complete")
     )

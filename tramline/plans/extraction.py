@@ -6,7 +6,6 @@ import datetime
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +59,7 @@ class Options:
 
 
 class Aggregator:
-    """Paths, unified stops and stop relations of feeds, sharing one relation and one set of filters.
-
-    With `keep_calls` the join of the stop times with the trips of the day runs once and its
-    result is kept on the executors' disks until `close`; meant for reading both frequencies.
-    """
+    """Paths, unified stops and stop relations of feeds, sharing one relation and one set of filters."""
 
     def __init__(
         self,
@@ -74,38 +69,34 @@ class Aggregator:
         yyyymmdd: str = "",
         begin_time: str = "",
         end_time: str = "",
-        keep_calls: bool = False,
     ):
         self.stops = unify.one_row_per_stop(tables.stops)
         self.relation = durable(unify.unify_stops(self.stops, not no_unify_stops, delimiter), "relation")
+        self.unified = unify.unified_stops(self.relation, self.stops)
+        self.stop_times = tables.stop_times
         self.begin, self.end = parse_bound(begin_time), parse_bound(end_time)
         day = parse_day(yyyymmdd)
-        calls = tables.stop_times.select("feed_id", "trip_id", "stop_id", "stop_sequence", "departure_secs")
-        self._kept = None
-        if day is not None:
-            trips = service.trips_on_date(tables.trips, tables.calendar, tables.calendar_dates, day)
-            calls = service.of_trips(calls, trips)
-            if keep_calls:
-                self._kept = calls = calls.persist(StorageLevel.DISK_ONLY)
-        self.calls = calls
-        self.unified = unify.unified_stops(self.relation, self.stops)
+        self.trips = (
+            None
+            if day is None
+            else service.trips_on_date(tables.trips, tables.calendar, tables.calendar_dates, day)
+        )
 
     def read_route_frequency(self) -> DataFrame:
         # pairs are made first, then those departing in the window are kept
-        segments = service.departing_between(frequency.trip_segments(self.calls), self.begin, self.end)
+        segments = frequency.trip_segments(self.stop_times, self.trips)
+        segments = service.departing_between(segments, self.begin, self.end)
         return geometry.path_features(frequency.path_frequency(segments, self.relation), self.unified)
 
     def read_interpolated_stops(self) -> DataFrame:
-        served = service.departing_between(self.calls, self.begin, self.end)
+        served = service.departing_between(self.stop_times, self.begin, self.end)
+        if self.trips is not None:
+            served = service.of_trips(served, self.trips)
         return geometry.unified_stop_features(frequency.unified_stop_counts(served, self.relation), self.unified)
 
     def read_stop_relations(self) -> DataFrame:
         return unify.stop_relations(self.relation, self.stops)
 
-    def close(self) -> None:
-        if self._kept is not None:
-            self._kept.unpersist()
-
 
 def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Options = Options()) -> DataFrame:
     """Write the chosen outputs of `feeds(feed_id, dir)` and return the manifest.
@@ -136,15 +127,12 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
 
     if options.aggregate:
         begin, end = options.time_texts(spark)
-        aggregator = Aggregator(
-            tables, not options.unify, options.delimiter_text(), options.yyyymmdd(), begin, end, keep_calls=True
-        )
+        aggregator = Aggregator(tables, not options.unify, options.delimiter_text(), options.yyyymmdd(), begin, end)
         write_geojson("aggregated_routes", geojson.path_feature_rows(aggregator.read_route_frequency()))
         write_geojson("aggregated_stops", geojson.unified_stop_feature_rows(aggregator.read_interpolated_stops()))
         relations = durable(aggregator.read_stop_relations(), "aggregated_csv")
         write_relations_csv(relations.join(feeds, "feed_id"), f"{output_dir}/{OUTPUTS['aggregated_csv']}")
         note("aggregated_csv", relations)
-        aggregator.close()
 
     return output_manifest(feeds, reduce(DataFrame.unionByName, counts), output_dir, options)
 

@@ -169,7 +169,8 @@ STAGED_ORDER = {
 
 def stage_feeds(archives: DataFrame, folder: str) -> FeedTables:
     """Read archives once and write the feed tables as Parquet below `folder`."""
-    records = usable_records(durable(scan_archives(archives), "records"))
+    # one folder per table, so that each of the reads below touches its own rows only
+    records = usable_records(durable(scan_archives(archives), "records", partition_by="gtfs_table"))
     for table, order in STAGED_ORDER.items():
         (
             table_from_records(records, table)
