@@ -70,9 +70,10 @@ class Aggregator:
         begin_time: str = "",
         end_time: str = "",
     ):
-        self.stops = unify.one_row_per_stop(tables.stops)
+        # stops, relation and unified stops are small next to the stop times, and read many times
+        self.stops = durable(unify.one_row_per_stop(tables.stops), "stops")
         self.relation = durable(unify.unify_stops(self.stops, not no_unify_stops, delimiter), "relation")
-        self.unified = unify.unified_stops(self.relation, self.stops)
+        self.unified = durable(unify.unified_stops(self.relation, self.stops), "unified")
         self.stop_times = tables.stop_times
         self.begin, self.end = parse_bound(begin_time), parse_bound(end_time)
         day = parse_day(yyyymmdd)

@@ -182,10 +182,11 @@ ARCHIVE_SQL: dict[str, str] = {
         from {_TRIPS} t join ({FEED_SQL['routes']}) r on r.route_id = t.route_id
         join ({FEED_SQL['agency']}) a on a.agency_id = r.agency_id""",
     "stops": f"""
-        select distinct feed_no, s.stop_id, s.stop_name,
-               cast(cast(s.stop_lat as decimal(9, 4)) as string) as stop_lat,
-               cast(cast(s.stop_lon as decimal(9, 4)) as string) as stop_lon
-        from {_CALLS} c join ({FEED_SQL['stops']}) s on s.stop_id = c.stop_id""",
+        select feed_no, p_brand || '_' || p_partkey as stop_id, p_name as stop_name,
+               cast(cast({PLATFORM_LAT} as decimal(9, 4)) as string) as stop_lat,
+               cast(cast({PLATFORM_LON} as decimal(9, 4)) as string) as stop_lon
+        from (select distinct cast(floor(l_orderkey / 250) as int) as feed_no, l_partkey from {{lineitem}}) used
+        join {{part}} on p_partkey = l_partkey""",
     "routes": f"""
         select distinct feed_no, r.route_id, r.agency_id, r.route_short_name, r.route_long_name,
                cast(r.route_type as string) as route_type
