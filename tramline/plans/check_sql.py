@@ -266,11 +266,11 @@ STATEMENTS: dict[str, str] = {
         CATALOG_ENTRIES,
     ),
     "catalog_search_extent": _statement(
-        f"""select organization_id, feed_id, file_uid, cast(139.01 as double) as xmax, cast(35.004 as double) as ymax
+        f"""select organization_id, feed_id, file_uid, cast(139.0006 as double) as xmax, cast(35.0006 as double) as ymax
             from entries where {VALID} and feed_id in (
                 select feed_id from feed_stops
-                where stop_lon between cast(139.0 as double) and cast(139.01 as double)
-                  and stop_lat between cast(35.0 as double) and cast(35.004 as double))""",
+                where stop_lon between cast(139.0 as double) and cast(139.0006 as double)
+                  and stop_lat between cast(35.0 as double) and cast(35.0006 as double))""",
         CATALOG_ENTRIES,
         raw={"feed_stops": testdata.CATALOG_STOPS_SQL},
     ),

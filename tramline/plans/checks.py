@@ -31,7 +31,7 @@ DAY = datetime.date(1997, 6, 3)
 BEGIN, END = 8 * 3600, 25 * 3600
 MIXED_DELIMITER = "2_"
 TARGET_DATE = datetime.date(1995, 12, 1)
-EXTENT = "139.0,35.0 : 139.01,35.004"
+EXTENT = "139.0,35.0 : 139.0006,35.0006"
 
 
 def query(function: Query) -> Query:
