@@ -89,3 +89,10 @@ def test_an_archive_larger_than_a_chunk(spark, monkeypatch):
     content = zipped({"stop_times": "trip_id,stop_sequence,stop_id,departure_time\n" + rows})
     one = spark.createDataFrame([("f", content)], "feed_id string, content binary")
     assert archives.table_from_records(archives.scan_archives(one), "stop_times").count() == archives.CHUNK_ROWS + 5
+
+
+def test_a_very_long_text_is_kept_whole(spark):
+    content = zipped({"stops": "stop_id,stop_name\n1," + "x" * 300_000 + "\n"})
+    one = spark.createDataFrame([("f", content)], "feed_id string, content binary")
+    row = archives.table_from_records(archives.scan_archives(one), "stops").selectExpr("length(stop_name) as n").first()
+    assert row.n == 300_000

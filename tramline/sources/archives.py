@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -56,12 +57,13 @@ def _unzip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 for chunk in _chunks(entry, [name for name, _ in columns]):
                                     yield _records(feed_id, table, chunk)
                             yield _records(feed_id, table, [None], PRESENT)
-            except (zipfile.BadZipFile, zipfile.zlib.error, EOFError, OSError, ValueError, csv.Error) as error:
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, csv.Error) as error:
                 yield _records(feed_id, None, [None], f"{type(error).__name__}: {error}")
 
 
 def _chunks(entry, wanted: list[str]) -> Iterator[list]:
     """Rows of one table file in chunks; each row a list of the wanted columns."""
+    csv.field_size_limit(2**31 - 1)  # texts of any length
     reader = csv.reader(io.TextIOWrapper(entry, encoding="utf-8-sig", newline=""))
     header = [name.strip() for name in next(reader, [])]
     places = [header.index(name) if name in header else -1 for name in wanted]
