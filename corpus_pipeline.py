@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import langid, minhash
+from tramline.llm import decontamination, langid, minhash, mixing, sharding
 from tramline.session import durable
 
 
@@ -18,9 +18,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return minhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with their shard and the slot in it."""
+    placed = sharding.shard(docs)
+    return placed.select("row.*", "size", "text_crc32", "law", "shard", "slot")
+
+
 STAGES = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", cut_shards),
 ]
 
 # Training a classifier and seeded selection have no SQL form: tests compare with a brute-force version.

@@ -42,4 +42,15 @@ near as (
 STATEMENTS: dict[str, str] = {
     "op4_near_dedup": "with recursive " + NEAR_DEDUP_PARTS.format(docs="documents")
     + " select doc_id, n_shingles, component_id, doc_id = component_id as kept from near",
+    "op5_archives": """
+with payloads as (
+  select page_id, coalesce(html, '') as payload from pages),
+measured as (
+  select page_id, strlen(payload) as payload_bytes, sha256(payload) as payload_digest,
+    case when strlen(payload) >= 100 then min(page_id) over (partition by payload) end as first
+  from payloads)
+select page_id, payload_bytes, payload_digest,
+  case when page_id > first then 'revisit' else 'response' end as record_type,
+  case when page_id > first then first end as refers_to
+from measured""",
 }
