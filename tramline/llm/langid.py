@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,8 +249,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose language is not rejected, with all their columns."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def rejected(texts: pd.Series) -> pd.Series:
         return pd.Series([model.predict(t)[2] for t in texts], dtype=bool)
