@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tramline.operators import frequency
+from tramline.operators import frequency, spans
 from tramline.operators.unify import identity_relation
 
 SCHEMA = "feed_id string, trip_id string, stop_id string, stop_sequence int, departure_secs int"
@@ -59,7 +59,7 @@ def test_rows_without_trip_stop_or_sequence_are_no_calls(spark):
     assert segments(df) == [("a", "t", 1, "A", "D", 1)]
 
 
-def test_long_trips_cut_into_spans_lose_nothing(spark):
+def test_long_trips_cut_into_pieces_lose_nothing(spark, monkeypatch):
     """One trip with most of the rows, gaps and negative numbers, against a plain loop."""
     rng = random.Random(7)
     rows = []
@@ -71,8 +71,9 @@ def test_long_trips_cut_into_spans_lose_nothing(spark):
         calls = sorted((r[3], r[2]) for r in rows if r[1] == trip)
         want += [("a", trip, p[0], p[1], q[1], p[0]) for p, q in zip(calls, calls[1:])]
     df = stop_times(spark, rows)
-    for span in (4, 64, 65_536):
-        assert segments(df, span=span) == sorted(want)
+    for long in (4, 64, 65_536):
+        monkeypatch.setattr(spans, "LONG", long)
+        assert segments(df) == sorted(want)
 
 
 def test_path_frequency_is_directed_and_drops_paths_within_a_unified_stop(spark):

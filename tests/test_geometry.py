@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tramline.operators import geometry, parts
+from tramline.operators import geometry, spans
 
 CALLS = "feed_id string, trip_id string, stop_id string, stop_sequence int, departure_secs int"
 
@@ -46,7 +46,10 @@ def feed(spark):
 
 
 def drawn(df):
-    return {r.route_name: r.coordinates for r in df.collect()}
+    lines = {}
+    for r in df.collect():
+        lines.setdefault(r.route_name, []).append([list(p) for p in r.coordinates])
+    return {name: sorted(many) for name, many in lines.items()}
 
 
 def test_routes_from_stops(spark):
@@ -70,29 +73,40 @@ def test_routes_from_shapes_fall_back_to_stops(spark):
     }
 
 
-def test_a_shape_of_several_spans_draws_every_step(spark):
+SHAPES = "feed_id string, shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int"
+
+
+def test_a_shape_is_one_line_whatever_its_numbers(spark, monkeypatch):
+    sparse = [("a", "s", float(i), 0.0, i * 100_000) for i in range(5)]
+    assert [len(r.line) for r in geometry.shape_lines(frame(spark, SHAPES, sparse)).collect()] == [5]
     rng = random.Random(4)
-    numbers = sorted(rng.sample(range(3000), 200))
-    rows = [("a", "s", float(n), float(-n), n) for n in numbers] * 2
+    numbers = sorted(rng.sample(range(3_000_000), 200))
+    rows = [("a", "s", float(n), float(-n), n) for n in numbers] * 2 + [("a", "t", float(k), 1.0, 0) for k in range(150)]
     rng.shuffle(rows)
-    shapes = frame(
-        spark,
-        "feed_id string, shape_id string, shape_pt_lat double, shape_pt_lon double, shape_pt_sequence int",
-        rows,
-    )
-    for span in (10, 500, 65_536):
-        lines = [r.line for r in geometry.shape_lines(shapes, span).collect()]
-        steps = sorted((p[1], q[1]) for line in lines for p, q in zip(line, line[1:]))
-        assert steps == list(zip(map(float, numbers), map(float, numbers[1:])))
-    assert len(lines) == 1
+    for long in (65_536, 20):
+        monkeypatch.setattr(spans, "LONG", long)
+        lines = {r.shape_id: [p[1] for p in r.line] for r in geometry.shape_lines(frame(spark, SHAPES, rows)).collect()}
+        assert lines == {"s": list(map(float, numbers)), "t": list(map(float, range(150)))}
+
+
+def test_different_rows_of_one_number_spread_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(spans, "LONG", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # rows this few would share a task
+    rows = frame(spark, SHAPES, [("a", "s", float(k), 1.0, 0) for k in range(4000)] + [("a", "t", 1.0, 1.0, 1)])
+    pieces = spans.in_pieces(rows, ["feed_id", "shape_id"], "shape_pt_sequence", ["shape_pt_lat"]).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [len(p["items"]) for p in pieces if p.shape_id == "s"]
+    assert sum(sizes) == 4000 and len(sizes) >= 3 and max(sizes) < 3000
 
 
-def test_a_pattern_of_several_spans_keeps_every_step(spark):
+def test_patterns_are_whole_whatever_their_numbers(spark, monkeypatch):
     stops = [f"s{i % 13}" for i in range(90)]
-    stop_times = frame(spark, CALLS, [("a", "t", s, i * 3, 0) for i, s in enumerate(stops)])
-    trips = frame(spark, "feed_id string, trip_id string, route_id string", [("a", "t", "r")])
-    patterns = [r.pattern for r in geometry.stop_patterns(stop_times, trips, span=20).collect()]
-    assert {(p, q) for line in patterns for p, q in zip(line, line[1:])} == set(zip(stops, stops[1:]))
+    rows = [("a", "t", s, i * 70_000, 0) for i, s in enumerate(stops)] + [("a", "u", s, i, 0) for i, s in enumerate(stops)]
+    trips = frame(spark, "feed_id string, trip_id string, route_id string", [("a", "t", "r"), ("a", "u", "r")])
+    for long in (65_536, 20):
+        monkeypatch.setattr(spans, "LONG", long)
+        patterns = geometry.stop_patterns(frame(spark, CALLS, rows), trips).collect()
+        assert [r.pattern for r in patterns] == [stops]
 
 
 def test_isolated_stops(spark):
@@ -101,13 +115,3 @@ def test_isolated_stops(spark):
     every = {r.stop_id for r in geometry.read_stops(unserved, stop_times).collect()}
     served = {r.stop_id for r in geometry.read_stops(unserved, stop_times, ignore_no_route=True).collect()}
     assert every - served == {"Z"} and len(every) == 6
-
-
-def test_heavy_groups_are_split_and_nothing_is_lost(spark):
-    rows = [("hot", i) for i in range(5000)] + [("cold", i) for i in range(10)]
-    df = frame(spark, "g string, i int", rows)
-    split = parts.split_large_groups(df, ["g"], F.lit(1), 100, ["i"])
-    sizes = {(r.g, r.part): r["count"] for r in split.groupBy("g", "part").count().collect()}
-    assert sizes[("cold", 0)] == 10
-    hot = [n for (g, _), n in sizes.items() if g == "hot"]
-    assert len(hot) == 50 and sum(hot) == 5000 and max(hot) < 200

@@ -37,12 +37,10 @@ def tables(spark) -> FeedTables:
 
 
 def features(folder: str, feed_dir: str) -> list[dict]:
-    files = list(Path(folder, f"feed_dir={feed_dir}").glob("*.txt"))
-    assert len(files) == 1, "a small feed is one document"
-    document = json.loads(files[0].read_text(encoding="utf-8"))
-    assert document["type"] == "FeatureCollection"
-    assert all(f["type"] == "Feature" for f in document["features"])
-    return document["features"]
+    files = Path(folder, f"feed_dir={feed_dir}").glob("*.txt")
+    found = [json.loads(line) for f in files for line in f.read_text(encoding="utf-8").splitlines()]
+    assert all(f["type"] == "Feature" for f in found)
+    return found
 
 
 def test_both_jobs_from_archives_to_files(spark, tables, tmp_path):
@@ -50,19 +48,20 @@ def test_both_jobs_from_archives_to_files(spark, tables, tmp_path):
     out = str(tmp_path / "out")
     options = Options(aggregate=True, filter_by_date=True, day=datetime.date(2024, 5, 6))
     manifest = {(r.feed_id, r.output): (r.path, r.n_rows) for r in extract(tables, feeds, out, options).collect()}
-    assert manifest["f", "routes"] == (f"{out}/routes.geojson/feed_dir=都バス", 1)
+    assert manifest["f", "routes"] == (f"{out}/routes.geojson/feed_dir=都バス", 3)
     assert {k[1]: v[1] for k, v in manifest.items() if k[0] == "f"} == {
-        "routes": 1,
+        "routes": 3,
         "stops": 5,
         "aggregated_routes": 1,
         "aggregated_stops": 2,
         "aggregated_csv": 5,
     }
-    assert manifest["quiet", "aggregated_routes"][1] == 0
+    assert manifest["quiet", "aggregated_routes"] == ("", 0)
+    assert all(path == "" or Path(path).is_dir() for path, _ in manifest.values())
 
     routes = features(f"{out}/routes.geojson", "都バス")
     assert routes[0]["properties"]["route_name"] == "7"
-    assert routes[0]["geometry"]["type"] == "MultiLineString" and len(routes[0]["geometry"]["coordinates"]) == 3
+    assert {f["geometry"]["type"] for f in routes} == {"LineString"} and len(routes) == 3
     names = {f["properties"]["stop_name"] for f in features(f"{out}/stops.geojson", "都バス")}
     assert names == {"中央駅", "中央駅1番", 'Quote "x", comma', "Lone"}
     assert "中央駅" in next(Path(out, "stops.geojson", "feed_dir=都バス").glob("*.txt")).read_text(encoding="utf-8")
@@ -75,6 +74,7 @@ def test_both_jobs_from_archives_to_files(spark, tables, tmp_path):
         "to_similar_stop_id": "b1",
         "to_similar_stop_name": 'Quote "x", comma',
         "frequency": 2,
+        "line_width": pytest.approx(0.05 + 2**0.6 * 0.2),
     }
     assert path["geometry"] == {"type": "LineString", "coordinates": [[139.0, 35.0], [139.10005, 35.10005]]}
     stops = {f["properties"]["similar_stop_id"]: f for f in features(f"{out}/aggregated_stops.geojson", "都バス")}
@@ -91,7 +91,7 @@ def test_both_jobs_from_archives_to_files(spark, tables, tmp_path):
     # again, simple outputs only: the folders are replaced and the others stay
     again = extract(tables, feeds, out, Options(ignore_no_route=True)).collect()
     assert {(r.feed_id, r.output): r.n_rows for r in again}["f", "stops"] == 4
-    assert {r.output for r in again if r.path == ""} == {"aggregated_routes", "aggregated_stops", "aggregated_csv"}
+    assert {r.output for r in again if r.path == "" and r.feed_id == "f"} == {"aggregated_routes", "aggregated_stops", "aggregated_csv"}
     assert len(features(f"{out}/stops.geojson", "都バス")) == 4
 
 
@@ -112,7 +112,8 @@ def test_options(spark):
     assert Options(use_delimiter=True, unify=False).delimiter_text() == ""
     assert Options().delimiter_text() == ""
     assert Options(filter_by_date=True, day=datetime.date(2024, 5, 6)).yyyymmdd() == "20240506"
-    assert Options(day=datetime.date(2024, 5, 6)).yyyymmdd() == ""
+    assert Options(filter_by_date=False, day=datetime.date(2024, 5, 6)).yyyymmdd() == ""
+    assert Options().yyyymmdd() == datetime.date.today().strftime("%Y%m%d")
     assert Options().time_texts(spark) == ("", "")
     assert Options(filter_by_time=True).time_texts(spark) == ("000000", "270000")
     assert Options(filter_by_time=True, begin_time="8", end_time="99:99:99").time_texts(spark) == ("290000", "295959")
@@ -120,22 +121,54 @@ def test_options(spark):
         Options(simple=False)
 
 
-def test_a_heavy_feed_becomes_several_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(geojson, "WEIGHT_PER_DOCUMENT", 100)
-    stops = spark.range(500).selectExpr(
+def stops_of(spark, rows):
+    return spark.createDataFrame(rows, "feed_id string, stop_id string, stop_name string, lon double, lat double")
+
+
+def test_features_of_a_huge_feed_are_many_files(spark, tmp_path):
+    stops = spark.range(0, 500, 1, 10).selectExpr(
         "if(id < 490, 'big', 'small') as feed_id", "cast(id as string) as stop_id", "'n' as stop_name",
         "if(id = 3, null, double(id)) as lon", "double(1) as lat",
     )
-    feeds = spark.createDataFrame([("big", "big"), ("small", "small")], "feed_id string, feed_dir string")
-    documents = geojson.collections_of_all(feeds, geojson.stop_feature_rows(stops))
-    geojson.write_collections(documents, str(tmp_path / "o"))
-    assert len(list((tmp_path / "o" / "feed_dir=big").glob("*.txt"))) == 10
-    assert len(list((tmp_path / "o" / "feed_dir=small").glob("*.txt"))) == 1
+    feeds = spark.createDataFrame([("big", "big"), ("small", "d:1")], "feed_id string, feed_dir string")
+    geojson.write_features(geojson.stop_feature_rows(stops), feeds, str(tmp_path / "o"))
+    assert len(list((tmp_path / "o" / "feed_dir=big").glob("*.txt"))) > 3
     back = outputs.read_geojson(spark, str(tmp_path / "o"))
     assert back.select(F.col("properties")["stop_id"]).distinct().count() == 500
+    assert {r.feed_dir for r in back.select("feed_dir").distinct().collect()} == {"big", "d:1"}
     assert back.where("coordinates is null").select(F.col("properties")["stop_id"].alias("s")).first().s == "3"
 
 
+def test_collections_where_asked_for(spark, tmp_path):
+    feeds = spark.createDataFrame([("a", "a"), ("none", "none")], "feed_id string, feed_dir string")
+    rows = geojson.stop_feature_rows(stops_of(spark, [("a", str(i), "n", 1.0, 2.0) for i in range(9)]))
+    geojson.write_collections(geojson.collections_of_all(feeds, rows), str(tmp_path / "o"))
+    read = {f.parent.name: json.loads(f.read_text()) for f in (tmp_path / "o").glob("*/*.txt")}
+    assert {k: len(v["features"]) for k, v in read.items()} == {"feed_dir=a": 9, "feed_dir=none": 0}
+    assert outputs.read_geojson(spark, str(tmp_path / "o")).count() == 9
+
+
+def test_a_feed_that_lost_its_rows_leaves_no_old_files(spark, tables, tmp_path):
+    feeds = spark.createDataFrame([("f", "d:1")], "feed_id string, dir string")
+    out, options = str(tmp_path / "out"), Options(aggregate=True, filter_by_date=False)
+    first = {r.output: r for r in extract(tables, feeds, out, options).collect()}
+    assert first["aggregated_csv"].path.endswith("feed_dir=d%3A1") and Path(first["aggregated_csv"].path).is_dir()
+    nothing = FeedTables(**{**vars(tables), "stops": tables.stops.limit(0)})
+    again = {r.output: r for r in extract(nothing, feeds, out, options).collect()}
+    assert (again["aggregated_csv"].path, again["aggregated_csv"].n_rows) == ("", 0)
+    assert not Path(first["aggregated_csv"].path).exists() and not Path(first["stops"].path).exists()
+
+
+def test_stops_without_a_position_stay(spark, tables):
+    lost = FeedTables(**{**vars(tables), "stops": tables.stops.withColumn(
+        "stop_lat", F.when(F.col("stop_id").isin("b1", "b2"), None).otherwise(F.col("stop_lat")))})
+    work = Aggregator(lost)
+    assert work.read_route_frequency().where("feed_id = 'f'").count() == 2
+    features = [json.loads(r.feature) for r in geojson.path_feature_rows(work.read_route_frequency()).collect()]
+    assert all(f["geometry"] is None for f in features)
+    assert {r.similar_stop_id for r in work.read_interpolated_stops().where("feed_id = 'f'").collect()} == {"S", "b1"}
+
+
 def test_an_empty_relation_table_is_no_error(spark, tmp_path):
     empty = spark.createDataFrame([], "feed_dir string, " + outputs.RELATION_SCHEMA.simpleString()[7:-1].replace(":", " "))
     write_relations_csv(empty, str(tmp_path / "r"))

@@ -16,14 +16,12 @@ MAX_HOUR, MAX_MINUTE, MAX_SECOND = 29, 59, 59
 
 
 def time_to_secs(text: Column) -> Column:
-    """`H:MM:SS` or `HH:MM:SS`, hours unlimited, to seconds; blank or malformed gives null."""
+    """`H:MM:SS` with any number of hour digits to seconds; blank or malformed gives null, as does
+    a number of seconds that is no int."""
     parts = F.split(F.trim(text), ":")
-    secs = (
-        F.element_at(parts, 1).cast("int") * 3600
-        + F.element_at(parts, 2).cast("int") * 60
-        + F.element_at(parts, 3).cast("int")
-    )
-    return F.when(F.trim(text).rlike(r"^\d{1,3}:\d{1,2}:\d{1,2}$"), secs)
+    hours = F.try_multiply(F.element_at(parts, 1).try_cast("long"), F.lit(3600))
+    secs = F.try_add(hours, F.element_at(parts, 2).try_cast("long") * 60 + F.element_at(parts, 3).try_cast("long"))
+    return F.when(F.trim(text).rlike(r"^\d+:[0-5]\d:[0-5]\d$"), secs.try_cast("int"))
 
 
 def secs_to_time(secs: Column) -> Column:

@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.service import of_trips
-from tramline.operators.spans import SPAN, in_spans, steps
+from tramline.operators.spans import in_pieces, steps
 
 TRIP = ["feed_id", "trip_id"]
 
 
-def trip_segments(stop_times: DataFrame, trips: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def trip_segments(stop_times: DataFrame, trips: DataFrame | None = None) -> DataFrame:
     """One row per pair of consecutive calls of a trip, with the departure at the first.
 
-    `trips` limits the result to some trips. That join comes after the spans are made: a trip
-    with very many calls then meets it as many rows that adaptive execution can split, while
+    `trips` limits the result to some trips. That join comes after the pieces are made: a trip
+    with very many calls then meets it as a few rows, while
     the optimizer still moves the join down to the scan when the trips can be broadcast.
     """
     calls = stop_times.where(F.col("stop_id").isNotNull())
-    spans = in_spans(calls, TRIP, "stop_sequence", ["stop_id", "departure_secs"], span)
+    pieces = in_pieces(calls, TRIP, "stop_sequence", ["stop_id", "departure_secs"])
     if trips is not None:
-        spans = of_trips(spans, trips)
-    return steps(calls, spans, TRIP, "stop_sequence", span).select(
+        pieces = of_trips(pieces, trips)
+    return steps(pieces, TRIP).select(
         *TRIP,
         F.col("origin.stop_sequence").alias("stop_sequence"),
         F.col("origin.stop_id").alias("from_stop_id"),

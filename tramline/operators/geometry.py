@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.frequency import TRIP
-from tramline.operators.parts import split_large_groups
 from tramline.operators.service import of_trips
-from tramline.operators.spans import SPAN, in_spans, seams
+from tramline.operators.spans import sequences
 from tramline.session import durable
 
 SHAPE = ["feed_id", "shape_id"]
 ROUTE = ["feed_id", "route_id"]
 
-# Points in one route feature; a route with more becomes several features of that name.
-POINTS_PER_FEATURE = 200_000
-
 
 def route_name(short: Column, long: Column, route_id: Column) -> Column:
     """First text that is not empty: short name, long name, id."""
@@ -32,35 +28,22 @@ def _points(items: str) -> Column:
     return F.transform(items, lambda p: F.array(p["lon"], p["lat"]))
 
 
-def shape_lines(shapes: DataFrame, span: int = SPAN) -> DataFrame:
-    """Lines of each shape: feed_id, shape_id, first_point, line. One line unless the shape is very long."""
-    order = "shape_pt_sequence"
+def shape_lines(shapes: DataFrame) -> DataFrame:
+    """The line of each shape of two or more points: feed_id, shape_id, line."""
     placed = shapes.where(F.col("shape_pt_lon").isNotNull() & F.col("shape_pt_lat").isNotNull()).select(
-        *SHAPE, order, F.col("shape_pt_lon").alias("lon"), F.col("shape_pt_lat").alias("lat")
-    )
-    spans = in_spans(placed, SHAPE, order, ["lon", "lat"], span)
-    whole = spans.where(F.size("items") > 1).select(
-        *SHAPE, F.element_at("items", 1)[order].alias("first_point"), _points("items").alias("line")
+        *SHAPE, "shape_pt_sequence", F.col("shape_pt_lon").alias("lon"), F.col("shape_pt_lat").alias("lat")
     )
-    joints = (
-        seams(placed, spans, SHAPE, order, span)
-        .withColumn("items", F.array("origin", "target"))
-        .select(*SHAPE, F.col("origin")[order].alias("first_point"), _points("items").alias("line"))
-    )
-    return whole.unionByName(joints)
+    whole = sequences(placed, SHAPE, "shape_pt_sequence", ["lon", "lat"])
+    return whole.where(F.size("items") > 1).select(*SHAPE, _points("items").alias("line"))
 
 
-def stop_patterns(stop_times: DataFrame, trips: DataFrame, span: int = SPAN) -> DataFrame:
+def stop_patterns(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     """Distinct orders of stops per route: feed_id, route_id, pattern (array of stop ids)."""
-    order = "stop_sequence"
     calls = stop_times.where(F.col("stop_id").isNotNull())
-    spans = in_spans(calls, TRIP, order, ["stop_id"], span)
-    pieces = spans.where(F.size("items") > 1).select(*TRIP, F.col("items.stop_id").alias("pattern"))
-    joints = seams(calls, spans, TRIP, order, span).select(
-        *TRIP, F.array("origin.stop_id", "target.stop_id").alias("pattern")
-    )
+    whole = sequences(calls, TRIP, "stop_sequence", ["stop_id"])
     return (
-        pieces.unionByName(joints)
+        whole.where(F.size("items") > 1)
+        .select(*TRIP, F.col("items.stop_id").alias("pattern"))
         .join(trips.select(*TRIP, "route_id"), TRIP)
         .select(*ROUTE, "pattern")
         .distinct()
@@ -68,7 +51,7 @@ def stop_patterns(stop_times: DataFrame, trips: DataFrame, span: int = SPAN) ->
 
 
 def pattern_lines(patterns: DataFrame, stops: DataFrame) -> DataFrame:
-    """Each stop pattern as a line through its stops: feed_id, route_id, line_key, line.
+    """Each stop pattern as a line through its stops: feed_id, route_id, line.
 
     Positions are looked up for the distinct patterns only, not for every stop time.
     """
@@ -83,40 +66,28 @@ def pattern_lines(patterns: DataFrame, stops: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("position", "lon", "lat"))).alias("items"))
         .where(F.size("items") > 1)
     )
-    return numbered.join(lines, "pattern_no").select(
-        *ROUTE, F.array_join("pattern", ",").alias("line_key"), _points("items").alias("line")
-    )
+    return numbered.join(lines, "pattern_no").select(*ROUTE, _points("items").alias("line"))
 
 
 def _route_features(lines: DataFrame, routes: DataFrame) -> DataFrame:
-    """One MultiLineString per route: feed_id, route_id, route_name, part, coordinates."""
-    parts = split_large_groups(lines, ROUTE, F.size("line"), POINTS_PER_FEATURE, ["line_key", "line_no"])
-    return (
-        parts.groupBy(*ROUTE, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("line_key", "line_no", "line"))).alias("lines"))
-        .join(named_routes(routes), ROUTE)
-        .select(*ROUTE, "route_name", "part", F.col("lines.line").alias("coordinates"))
-    )
+    """One feature per route and line: feed_id, route_id, route_name, coordinates."""
+    return lines.join(named_routes(routes), ROUTE).select(*ROUTE, "route_name", F.col("line").alias("coordinates"))
 
 
 def routes_from_stops(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
     """Route features through the stops of the trips, shapes ignored."""
-    lines = pattern_lines(stop_patterns(stop_times, trips), stops).withColumn("line_no", F.lit(0))
-    return _route_features(lines, routes)
+    return _route_features(pattern_lines(stop_patterns(stop_times, trips), stops), routes)
 
 
 def routes_from_shapes(
     shapes: DataFrame, stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame
 ) -> DataFrame:
     """Route features along the shapes; trips without a drawn shape go through their stops."""
-    drawn = shape_lines(shapes)
-    known = drawn.select(*SHAPE).distinct()
+    drawn = durable(shape_lines(shapes), "shape-lines")
     wanted = trips.where(F.col("shape_id").isNotNull()).select(*ROUTE, "shape_id").distinct()
-    along = wanted.join(drawn, SHAPE).select(
-        *ROUTE, F.col("shape_id").alias("line_key"), F.col("first_point").alias("line_no"), "line"
-    )
+    along = wanted.join(drawn, SHAPE).select(*ROUTE, "line")
     # null shapes are set apart first: as join keys they would all meet in one task
-    missing = wanted.join(known, SHAPE, "left_anti")
+    missing = wanted.join(drawn.select(*SHAPE), SHAPE, "left_anti")
     shapeless = durable(
         trips.where(F.col("shape_id").isNull())
         .unionByName(trips.where(F.col("shape_id").isNotNull()).join(missing, [*ROUTE, "shape_id"], "left_semi"))
@@ -126,8 +97,7 @@ def routes_from_shapes(
     # usually there are none, and then the stop times need not be read at all
     if not shapeless.isEmpty():
         calls = durable(of_trips(stop_times, shapeless), "shapeless-calls")
-        through = pattern_lines(stop_patterns(calls, shapeless), stops)
-        along = along.unionByName(through.withColumn("line_no", F.lit(0)))
+        along = along.unionByName(pattern_lines(stop_patterns(calls, shapeless), stops))
     return _route_features(along, routes)
 
 
@@ -170,11 +140,11 @@ def path_features(paths: DataFrame, unified: DataFrame) -> DataFrame:
             F.col("lat").alias(f"{side}_lat"),
         )
 
-    return paths.join(end("from"), ["feed_id", "from_similar_stop_id"]).join(
-        end("to"), ["feed_id", "to_similar_stop_id"]
+    return paths.join(end("from"), ["feed_id", "from_similar_stop_id"], "left").join(
+        end("to"), ["feed_id", "to_similar_stop_id"], "left"
     )
 
 
 def unified_stop_features(counts: DataFrame, unified: DataFrame) -> DataFrame:
     """Unified stops that are called at, with the number of calls (1 or more)."""
-    return unified.join(counts, ["feed_id", "similar_stop_id"])
+    return counts.join(unified, ["feed_id", "similar_stop_id"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.schemas import WEEKDAYS
+from tramline.session import durable
 
 
 def active_services(calendar: DataFrame, calendar_dates: DataFrame, day: datetime.date) -> DataFrame:
@@ -38,7 +39,10 @@ def trips_on_date(
     """Trips whose service runs on `day`; every trip when `day` is None."""
     if day is None:
         return trips
-    return trips.join(active_services(calendar, calendar_dates, day), ["feed_id", "service_id"], "left_semi")
+    # A feed has a handful of services, so this join must not shuffle the trips by them: a written table has a
+    # known size and is broadcast if it is small.
+    active = durable(active_services(calendar, calendar_dates, day), "active-services")
+    return trips.join(active, ["feed_id", "service_id"], "left_semi")
 
 
 def of_trips(rows: DataFrame, trips: DataFrame) -> DataFrame:

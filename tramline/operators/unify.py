@@ -17,23 +17,31 @@ def identity_relation(stops: DataFrame) -> DataFrame:
 
 
 def parent_matches(stops: DataFrame) -> DataFrame:
-    """Stops with an existing parent go to it, and parents stay themselves.
+    """Stops with an existing parent go to the station at the top, and parents without one stay themselves.
 
-    The format nests stops two levels deep (boarding area, platform, station), so a parent
-    that has a parent of its own passes the stop on to that one.
+    Stops that lead round in a circle of parents have no top and are left to the other rules.
     """
     # stops without a parent are set apart first: as join keys they would all meet in one task
     children = stops.where("trim(parent_station) <> ''").selectExpr("feed_id", "stop_id", "parent_station as parent")
     known = stops.selectExpr("feed_id", "stop_id as parent")
-    valid = children.join(known, ["feed_id", "parent"], "left_semi")
-    involved = (
-        valid.unionByName(valid.selectExpr("feed_id", "parent as stop_id", "cast(null as string) as parent"))
-        .groupBy(*STOP)
-        .agg(F.max("parent").alias("parent"))
+    valid = (
+        children.join(known, ["feed_id", "parent"], "left_semi").groupBy(*STOP).agg(F.max("parent").alias("above"))
+    )
+    up = durable(
+        valid.unionByName(valid.selectExpr("feed_id", "above as stop_id", "above").distinct().join(valid, STOP, "left_anti")),
+        "parents",
     )
-    above = involved.where("parent is not null").selectExpr("feed_id", "stop_id as parent", "parent as grandparent")
-    return involved.join(above, ["feed_id", "parent"], "left").selectExpr(
-        *STOP, "coalesce(grandparent, parent, stop_id) as similar_stop_id"
+    # Every round doubles the number of levels that are passed; usually there is one and the first look ends it.
+    for _ in range(32):
+        over = up.where("stop_id <> above").selectExpr("feed_id", "stop_id as above", "above as top")
+        if up.join(over, ["feed_id", "above"], "left_semi").isEmpty():
+            return up.selectExpr(*STOP, "above as similar_stop_id")
+        up = durable(
+            up.join(over, ["feed_id", "above"], "left").selectExpr(*STOP, "coalesce(top, above) as above"), "parents"
+        )
+    tops = up.where("stop_id = above").select(*STOP)
+    return up.join(tops.withColumnRenamed("stop_id", "above"), ["feed_id", "above"], "left_semi").selectExpr(
+        *STOP, "above as similar_stop_id"
     )
 
 
@@ -135,21 +143,22 @@ def _mean_six_decimals(total: str, members: str) -> Column:
 def unified_stops(relation: DataFrame, stops: DataFrame) -> DataFrame:
     """Name and position of each unified stop.
 
-    A parent keeps its own position; other groups get the mean of their members. The name
-    is that of the stop whose id the group carries.
+    A parent keeps its own position; other groups get the mean of their members, those without a
+    position left out, and a null position if none has one. The name is that of the stop whose id the
+    group carries.
     """
     places = stops.select(*STOP, "stop_lon", "stop_lat")
+    placed = F.col("stop_lon").isNotNull() & F.col("stop_lat").isNotNull()
     parents = F.col("rule") == "parent"
     # under the parent rule only the parent's own row gives the position
     counted = relation.where(~parents | (F.col("stop_id") == F.col("similar_stop_id")))
     means = (
         counted.join(places, STOP)
-        .where(F.col("stop_lon").isNotNull() & F.col("stop_lat").isNotNull())
         .groupBy("feed_id", "similar_stop_id")
         .agg(
-            F.sum(F.round(F.col("stop_lon") * _UNITS).cast("long")).alias("lon_total"),
-            F.sum(F.round(F.col("stop_lat") * _UNITS).cast("long")).alias("lat_total"),
-            F.count("*").alias("members"),
+            F.sum(F.when(placed, F.round(F.col("stop_lon") * _UNITS).cast("long"))).alias("lon_total"),
+            F.sum(F.when(placed, F.round(F.col("stop_lat") * _UNITS).cast("long"))).alias("lat_total"),
+            F.nullif(F.sum(placed.cast("long")), F.lit(0)).alias("members"),
         )
         .select(
             "feed_id",

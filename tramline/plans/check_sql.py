@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from tramline.fixed_values import CATALOG_COLUMNS, PREFECTURES, ROUTE_COLORS
-from tramline.operators.spans import SPAN
 from tramline.plans import testdata
 from tramline.plans.checks import BEGIN, DAY, END, MIXED_DELIMITER, TARGET_DATE
 from tramline.sources.catalog_files import RESPONSE_KEYS
@@ -123,22 +122,13 @@ _POINT = f"{SIX.format('shape_pt_lon')} || ' ' || {SIX.format('shape_pt_lat')}"
 
 SHAPE_LINES = {
     **NAMED,
-    # a line is cut, and joined by a line of its own, every SPAN sequence numbers
-    "shape_points": f"""
-        select feed_id, shape_id, shape_pt_sequence as no, {_POINT} as point, shape_pt_sequence // {SPAN} as span,
-               lead({_POINT}) over one_shape as next_point,
-               lead(shape_pt_sequence) over one_shape // {SPAN} as next_span
-        from shapes window one_shape as (partition by feed_id, shape_id order by shape_pt_sequence)""",
-    "shape_lines": """
-        select feed_id, shape_id, min(no) as no, string_agg(point, ',' order by no) as line
-        from shape_points group by feed_id, shape_id, span having count(*) > 1
-        union all
-        select feed_id, shape_id, no, point || ',' || next_point from shape_points where span <> next_span""",
+    "shape_lines": f"""
+        select feed_id, shape_id, string_agg({_POINT}, ',' order by shape_pt_sequence) as line
+        from shapes group by feed_id, shape_id having count(*) > 1""",
     "route_lines": """
-        select feed_id, route_id, route_name, string_agg(line, ';' order by shape_id, no) as lines
-        from (select distinct n.feed_id, n.route_id, n.route_name, l.shape_id, l.no, l.line
-              from named n join trips t using (route_id) join shape_lines l on l.shape_id = t.shape_id)
-        group by all""",
+        select feed_id, route_id, route_name, line
+        from (select distinct n.feed_id, n.route_id, n.route_name, l.shape_id, l.line
+              from named n join trips t using (route_id) join shape_lines l on l.shape_id = t.shape_id)""",
 }
 
 PATTERN_LINES = {
@@ -274,7 +264,10 @@ STATEMENTS: dict[str, str] = {
         CATALOG_ENTRIES,
         raw={"feed_stops": testdata.CATALOG_STOPS_SQL},
     ),
-    "catalog_sorted": _statement("select * from catalog_rows", CATALOG_ENTRIES),
+    "catalog_sorted": _statement(
+        "select *, row_number() over (order by lower(feed) desc, organization_id, feed_id, file_uid) as place from catalog_rows",
+        CATALOG_ENTRIES,
+    ),
     "catalog_feed_infos": _statement(
         """select file_url as path, organization || '-' || feed as "group",
                   organization_id || '-' || feed_id || '-' || file_uid as dir
@@ -388,7 +381,7 @@ STATEMENTS: dict[str, str] = {
     ),
     # sinks
     "geojson_routes": _statement(
-        "select feed_id, route_id, route_name, 'MultiLineString' as geometry_type, lines from route_lines", SHAPE_LINES
+        "select feed_id, route_id, route_name, 'LineString' as geometry_type, line from route_lines", SHAPE_LINES
     ),
     "geojson_stops": _statement(
         f"""select feed_id, stop_id, stop_name, 'Point' as geometry_type, {SIX.format('stop_lon')} as lon,
@@ -417,21 +410,44 @@ STATEMENTS: dict[str, str] = {
     ),
     "geojson_roundtrip": _statement(
         f"""select stop_id, stop_name, 'Point' as geometry_type, {SIX.format('stop_lon')} as lon,
-                   {SIX.format('stop_lat')} as lat, 'dir-F' as feed_dir from stops"""
+                   {SIX.format('stop_lat')} as lat, 'dir:F' as feed_dir from stops"""
+    ),
+    "geojson_collections": _statement(
+        """select 'C' || n as feed_id, coalesce(rows, 0) as n_features, coalesce(rows, 0) as n_read
+           from range(40) f(n) left join (
+             select length(stop_name) % 20 as k, count(*) as rows from stops group by k) on k = n"""
     ),
     "output_manifest": _statement(
-        """select 'F' as feed_id, output, 'out/' || file || '/feed_dir=dir-F' as path, n_rows from (
-             select 'routes' as output, 'routes.geojson' as file, count(*) as n_rows from route_lines
-             union all select 'stops', 'stops.geojson', count(*) from stops
-               where stop_id in (select stop_id from stop_times)
-             union all select 'aggregated_routes', 'aggregated_routes.geojson', count(*) from paths
-             union all select 'aggregated_stops', 'aggregated_stops.geojson', count(*) from counts
-             union all select 'aggregated_csv', 'result.csv', count(*) from stops)""",
+        """select feed_id, output, case when n_rows > 0 then 'out/' || file || '/feed_dir=dir%3A' || feed_id else '' end as path,
+                  n_rows
+           from (
+             select f.feed_id, o.output, o.file, coalesce(c.n, 0) as n_rows
+             from many_feeds f
+             cross join (values ('routes', 'routes.geojson'), ('stops', 'stops.geojson'),
+               ('aggregated_routes', 'aggregated_routes.geojson'), ('aggregated_stops', 'aggregated_stops.geojson'),
+               ('aggregated_csv', 'result.csv')) o(output, file)
+             left join (
+               select feed_id, 'routes' as output, count(*) as n from (
+                 select distinct t.feed_id, t.route_id, l.shape_id from many_trips t join shape_lines l using (shape_id))
+               group by feed_id
+               union all
+               select m.feed_id, 'stops', count(distinct m.stop_id) from many_calls m join stops using (stop_id) group by m.feed_id
+               union all
+               select m.feed_id, 'aggregated_stops', count(distinct similar_stop_id)
+               from many_calls m join relation using (stop_id) group by m.feed_id
+               union all
+               select feed_id, 'aggregated_routes', count(*) from (
+                 select distinct c.feed_id, a.similar_stop_id, b.similar_stop_id as other
+                 from (select feed_id, stop_id, lead(stop_id) over (partition by trip_id order by stop_sequence) as next_id
+                       from many_calls) c
+                 join relation a on a.stop_id = c.stop_id join relation b on b.stop_id = c.next_id
+                 where a.similar_stop_id <> b.similar_stop_id) group by feed_id
+               union all
+               select k.feed_id, 'aggregated_csv', count(*) from stocked_feeds k cross join stops group by k.feed_id
+             ) c on c.feed_id = f.feed_id and c.output = o.output)""",
         MIXED,
         SHAPE_LINES,
-        SEGMENTS,
-        _paths(),
-        _counts(),
+        raw=testdata.MANY_SQL,
     ),
 }
 STATEMENTS["relations_csv_roundtrip"] = STATEMENTS["stop_relations"].replace(", r.rule\n", ", r.rule, 'dir-F' as feed_dir\n")

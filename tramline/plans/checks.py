@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import times
@@ -43,8 +43,8 @@ def _position(point: Column) -> Column:
     return F.concat_ws(" ", point[0].cast("decimal(9,6)").cast("string"), point[1].cast("decimal(9,6)").cast("string"))
 
 
-def _lines_text(coordinates: str | Column) -> Column:
-    return F.array_join(F.transform(coordinates, lambda line: F.array_join(F.transform(line, _position), ",")), ";")
+def _line_text(coordinates: str | Column) -> Column:
+    return F.array_join(F.transform(coordinates, _position), ",")
 
 
 def _six(name: str) -> Column:
@@ -153,7 +153,10 @@ def catalog_search_extent(spark, sf):
 
 @query
 def catalog_sorted(spark, sf):
-    return catalog.catalog_sorted(_table(spark, sf), "feed", ascending=False)
+    """The order is shown as numbers of the rows as they come out."""
+    rows = durable(catalog.catalog_sorted(_table(spark, sf), "feed", ascending=False).withColumn(
+        "written", F.monotonically_increasing_id()), "sorted")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("written")).cast("bigint")).drop("written")
 
 
 @query
@@ -304,14 +307,12 @@ def _windowed(spark, sf):
 
 @query
 def path_frequency_windowed(spark, sf):
-    return _windowed(spark, sf).read_route_frequency().select(
-        "feed_id", "from_similar_stop_id", "to_similar_stop_id", "frequency"
-    )
+    return _windowed(spark, sf).path_counts()
 
 
 @query
 def unified_stop_counts(spark, sf):
-    return _windowed(spark, sf).read_interpolated_stops().select("feed_id", "similar_stop_id", "count")
+    return _windowed(spark, sf).stop_counts()
 
 
 @query
@@ -346,7 +347,7 @@ def _routes(spark, sf, ignore_shapes):
 
 
 def _route_columns(routes):
-    return routes.select("feed_id", "route_id", "route_name", _lines_text("coordinates").alias("lines"))
+    return routes.select("feed_id", "route_id", "route_name", _line_text("coordinates").alias("line"))
 
 
 @query
@@ -354,17 +355,9 @@ def routes_from_shapes(spark, sf):
     return _route_columns(_routes(spark, sf, ignore_shapes=False))
 
 
-def _one_row_per_line(routes):
-    """Lines one by one: a route through all its stop patterns may be several features."""
-    line = F.explode("coordinates").alias("line")
-    return routes.select("feed_id", "route_id", "route_name", line).select(
-        "feed_id", "route_id", "route_name", F.array_join(F.transform("line", _position), ",").alias("line")
-    )
-
-
 @query
 def routes_from_stops(spark, sf):
-    return _one_row_per_line(_routes(spark, sf, ignore_shapes=True))
+    return _route_columns(_routes(spark, sf, ignore_shapes=True))
 
 
 @query
@@ -376,11 +369,9 @@ def route_categories(spark, sf):
 
 
 def _read_back(rows, *properties):
-    """Feature rows through their documents and back to columns."""
-    documents = geojson.collections(rows).select(
-        F.from_json("document", GEOJSON_READ_SCHEMA, {"mode": "FAILFAST"}).alias("parsed")
-    )
-    return _feature_columns(outputs.features_of(documents.select("parsed.*")), *properties)
+    """Feature rows through their texts and back to columns."""
+    texts = rows.select(F.from_json("feature", GEOJSON_READ_SCHEMA, {"mode": "FAILFAST"}).alias("parsed"))
+    return _feature_columns(outputs.features_of(texts.select("parsed.*")), *properties)
 
 
 def _feature_columns(features, *properties):
@@ -401,8 +392,8 @@ def geojson_routes(spark, sf):
     features = _read_back(
         geojson.route_feature_rows(_routes(spark, sf, ignore_shapes=False)), "feed_id", "route_id", "route_name"
     )
-    lines = F.from_json("coordinates", "array<array<array<double>>>")
-    return features.withColumn("lines", _lines_text(lines)).drop("coordinates")
+    line = F.from_json("coordinates", "array<array<double>>")
+    return features.withColumn("line", _line_text(line)).drop("coordinates")
 
 
 @query
@@ -424,7 +415,7 @@ def geojson_aggregated_routes(spark, sf):
     )
     line = F.from_json("coordinates", "array<array<double>>")
     return (
-        features.withColumn("line", F.array_join(F.transform(line, _position), ","))
+        features.withColumn("line", _line_text(line))
         .withColumn("frequency", F.col("frequency").cast("bigint"))
         .drop("coordinates")
     )
@@ -443,8 +434,8 @@ def geojson_aggregated_stops(spark, sf):
 def geojson_roundtrip(spark, sf):
     path = fresh_path(spark, "stops.geojson")
     stops = geometry.read_stops(feed_table(spark, sf, "stops"), feed_table(spark, sf, "stop_times"))
-    feeds = stops.select("feed_id", F.concat(F.lit("dir-"), "feed_id").alias("feed_dir")).distinct()
-    geojson.write_collections(geojson.collections_of_all(feeds, geojson.stop_feature_rows(stops)), path)
+    feeds = stops.select("feed_id", F.concat(F.lit("dir:"), "feed_id").alias("feed_dir")).distinct()
+    geojson.write_features(geojson.stop_feature_rows(stops), feeds, path)
     features = outputs.read_geojson(spark, path).withColumn(
         "properties", F.map_concat("properties", F.create_map(F.lit("feed_dir"), F.col("feed_dir")))
     )
@@ -458,10 +449,27 @@ def relations_csv_roundtrip(spark, sf):
     return outputs.read_relations_csv(spark, path)
 
 
+@query
+def geojson_collections(spark, sf):
+    """Stops by the tens of suppliers as feeds of one collection each, and as many feeds without stops."""
+    stops = geometry.read_stops(feed_table(spark, sf, "stops"), feed_table(spark, sf, "stop_times"))
+    number = F.length("stop_name") % 20
+    stops = durable(stops.withColumn("feed_id", F.concat(F.lit("C"), number.cast("string"))), "collection-stops")
+    feeds = spark.range(40).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("feed_id"))
+    found = geojson.collections_of_all(feeds.withColumn("feed_dir", F.col("feed_id")), geojson.stop_feature_rows(stops))
+    parsed = F.from_json("document", GEOJSON_READ_SCHEMA, {"mode": "FAILFAST"})
+    return found.select("feed_id", F.col("n_features").cast("bigint").alias("n_features"),
+                        F.size(parsed["features"]).cast("bigint").alias("n_read"))
+
+
 @query
 def output_manifest(spark, sf):
+    """Many feeds of very different size: trip numbers are split by their leading digits, and some feeds are empty."""
     path = fresh_path(spark, "out")
-    feeds = feed_table(spark, sf, "agency").select("feed_id", F.lit("dir-F").alias("dir"))
-    options = Options(aggregate=True, ignore_no_route=True, use_delimiter=True, delimiter=MIXED_DELIMITER)
-    manifest = extract(feed_tables(spark, sf), feeds, path, options)
+    tables = testdata.many_feeds(spark, sf)
+    feeds = testdata.given(spark, sf, testdata.MANY_FEEDS_SQL).selectExpr("feed_id", "'dir:' || feed_id as dir")
+    options = Options(
+        aggregate=True, ignore_no_route=True, use_delimiter=True, delimiter=MIXED_DELIMITER, filter_by_date=False
+    )
+    manifest = extract(tables, feeds, path, options)
     return manifest.withColumn("path", F.replace("path", F.lit(path), F.lit("out")))

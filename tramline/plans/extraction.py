@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.fixed_values import OUTPUTS
 from tramline.functions.times import normalize_time, parse_bound, parse_day, time_digits
-from tramline.operators import frequency, geometry, service, unify
+from tramline.operators import frequency, geometry, service, styling, unify
 from tramline.schemas import FeedTables
 from tramline.session import durable
 from tramline.sinks import geojson
@@ -20,8 +20,8 @@ from tramline.sinks.relations_csv import write_relations_csv
 
 @dataclass(frozen=True)
 class Options:
-    """What to extract. The values here are the defaults of the options form, except for
-    `filter_by_date`, which the form switches on with the current day."""
+    """What to extract. The values here are the defaults of the options form: the date filter is on, with the
+    current day where none is given."""
 
     simple: bool = True
     aggregate: bool = False
@@ -30,11 +30,13 @@ class Options:
     unify: bool = True
     use_delimiter: bool = False
     delimiter: str = "_"
-    filter_by_date: bool = False
+    filter_by_date: bool = True
     day: datetime.date | None = None
     filter_by_time: bool = False
     begin_time: str = "00:00:00"
     end_time: str = "27:00:00"
+    scale_stop_size: bool = False
+    as_collections: bool = False  # one feature collection per feed instead of one feature per line
 
     def __post_init__(self) -> None:
         if not (self.simple or self.aggregate):
@@ -73,7 +75,6 @@ class Aggregator:
         # stops, relation and unified stops are small next to the stop times, and read many times
         self.stops = durable(unify.one_row_per_stop(tables.stops), "stops")
         self.relation = durable(unify.unify_stops(self.stops, not no_unify_stops, delimiter), "relation")
-        self.unified = durable(unify.unified_stops(self.relation, self.stops), "unified")
         self.stop_times = tables.stop_times
         self.begin, self.end = parse_bound(begin_time), parse_bound(end_time)
         day = parse_day(yyyymmdd)
@@ -83,17 +84,28 @@ class Aggregator:
             else service.trips_on_date(tables.trips, tables.calendar, tables.calendar_dates, day)
         )
 
-    def read_route_frequency(self) -> DataFrame:
-        # pairs are made first, then those departing in the window are kept
+    @cached_property
+    def unified(self) -> DataFrame:
+        """Names and positions, made when an output asks for them."""
+        return durable(unify.unified_stops(self.relation, self.stops), "unified")
+
+    def path_counts(self) -> DataFrame:
         segments = frequency.trip_segments(self.stop_times, self.trips)
+        # pairs are made first, then those departing in the window are kept
         segments = service.departing_between(segments, self.begin, self.end)
-        return geometry.path_features(frequency.path_frequency(segments, self.relation), self.unified)
+        return frequency.path_frequency(segments, self.relation)
 
-    def read_interpolated_stops(self) -> DataFrame:
+    def stop_counts(self) -> DataFrame:
         served = service.departing_between(self.stop_times, self.begin, self.end)
         if self.trips is not None:
             served = service.of_trips(served, self.trips)
-        return geometry.unified_stop_features(frequency.unified_stop_counts(served, self.relation), self.unified)
+        return frequency.unified_stop_counts(served, self.relation)
+
+    def read_route_frequency(self) -> DataFrame:
+        return geometry.path_features(self.path_counts(), self.unified)
+
+    def read_interpolated_stops(self) -> DataFrame:
+        return geometry.unified_stop_features(self.stop_counts(), self.unified)
 
     def read_stop_relations(self) -> DataFrame:
         return unify.stop_relations(self.relation, self.stops)
@@ -102,19 +114,26 @@ class Aggregator:
 def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Options = Options()) -> DataFrame:
     """Write the chosen outputs of `feeds(feed_id, dir)` and return the manifest.
 
-    Each output is one folder below `output_dir` with a folder per feed. The manifest has a row
-    per feed and output: path '' and 0 rows where the output was not asked for.
+    Each output is one folder below `output_dir` with a folder per feed. The manifest has a row per feed and output; its
+    path is the folder as it is written, or '' with 0 rows where the output was not asked for or has nothing.
     """
     spark = feeds.sparkSession
     feeds = durable(feeds.select("feed_id", F.col("dir").alias("feed_dir")).distinct(), "feeds")
     counts = []
 
     def write_geojson(output: str, features: DataFrame) -> None:
-        # read twice: for the size of each feed and for the documents
         features = durable(features, output)
-        geojson.write_collections(geojson.collections_of_all(feeds, features), f"{output_dir}/{OUTPUTS[output]}")
+        path = f"{output_dir}/{OUTPUTS[output]}"
+        if options.as_collections:
+            geojson.write_collections(geojson.collections_of_all(feeds, features), path)
+        else:
+            geojson.write_features(features, feeds, path)
+            clear(features, path)
         note(output, features)
 
+    def clear(rows: DataFrame, path: str) -> None:
+        geojson.clear_folders(feeds.join(rows.select("feed_id").distinct(), "feed_id", "left_anti"), path)
+
     def note(output: str, rows: DataFrame) -> None:
         counts.append(rows.groupBy("feed_id").agg(F.count("*").alias("n_rows")).withColumn("output", F.lit(output)))
 
@@ -129,10 +148,13 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
     if options.aggregate:
         begin, end = options.time_texts(spark)
         aggregator = Aggregator(tables, not options.unify, options.delimiter_text(), options.yyyymmdd(), begin, end)
-        write_geojson("aggregated_routes", geojson.path_feature_rows(aggregator.read_route_frequency()))
-        write_geojson("aggregated_stops", geojson.unified_stop_feature_rows(aggregator.read_interpolated_stops()))
+        paths = styling.path_style(aggregator.read_route_frequency())
+        write_geojson("aggregated_routes", geojson.path_feature_rows(paths))
+        served = styling.stop_style(aggregator.read_interpolated_stops(), scale=options.scale_stop_size)
+        write_geojson("aggregated_stops", geojson.unified_stop_feature_rows(served))
         relations = durable(aggregator.read_stop_relations(), "aggregated_csv")
         write_relations_csv(relations.join(feeds, "feed_id"), f"{output_dir}/{OUTPUTS['aggregated_csv']}")
+        clear(relations, f"{output_dir}/{OUTPUTS['aggregated_csv']}")
         note("aggregated_csv", relations)
 
     return output_manifest(feeds, reduce(DataFrame.unionByName, counts), output_dir, options)
@@ -140,6 +162,7 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
 
 def output_manifest(feeds: DataFrame, counts: DataFrame, output_dir: str, options: Options) -> DataFrame:
     """(feed_id, output, path, n_rows) for all five outputs of every feed."""
+    empty_too = F.lit(options.as_collections) & F.col("output").isin([n for n in OUTPUTS if n != "aggregated_csv"])
     done = {name: options.simple if name in ("routes", "stops") else options.aggregate for name in OUTPUTS}
     slots = F.explode(
         F.array(
@@ -156,8 +179,8 @@ def output_manifest(feeds: DataFrame, counts: DataFrame, output_dir: str, option
         .select(
             "feed_id",
             "output",
-            F.when(F.col("base") == "", F.lit(""))
-            .otherwise(F.concat("base", F.lit("/feed_dir="), "feed_dir"))
+            F.when((F.col("base") == "") | (F.coalesce("n_rows", F.lit(0)) == 0) & ~empty_too, F.lit(""))
+            .otherwise(F.concat("base", F.lit("/feed_dir="), geojson.folder_name(F.col("feed_dir"))))
             .alias("path"),
             F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         )

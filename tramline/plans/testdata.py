@@ -73,10 +73,9 @@ FEED_SQL: dict[str, str] = {
                date '1995-01-01' as start_date, date '2001-12-31' as end_date
         from {orders}""",
     "calendar_dates": """
-        select distinct 'F' as feed_id, o_orderpriority as service_id,
-               cast(o_orderdate as date) as date,
-               cast(1 + day(cast(o_orderdate as date)) % 2 as int) as exception_type
-        from {orders} where o_custkey % 50 = 0""",
+        select 'F' as feed_id, o_orderpriority as service_id, cast(o_orderdate as date) as date,
+               cast(1 + min(o_custkey) % 2 as int) as exception_type
+        from {orders} group by o_orderpriority, cast(o_orderdate as date)""",
     "shapes": f"""
         select 'F' as feed_id, 'SH' || (p_partkey % 25) as shape_id,
                cast({PLATFORM_LAT} as double) as shape_pt_lat,
@@ -171,6 +170,36 @@ def for_duckdb(sql: str) -> str:
     return sql
 
 
+# The trips as 30 feeds of very different size, by the last digits of their number; all have the same routes and
+# shapes, and of the last five, which have no trips, two have no stops either.
+_MANY = "'M' || least(greatest(cast(trip_id as bigint) % 100 - 75, 0), 24)"
+MANY_FEEDS_SQL = "select distinct 'M' || (n_nationkey % 25) as feed_id from {nation} union all select 'M' || (25 + r_regionkey) from {region}"
+MANY_SQL = {
+    "many_feeds": MANY_FEEDS_SQL,
+    "stocked_feeds": f"select feed_id from ({MANY_FEEDS_SQL}) f where feed_id not in ('M28', 'M29')",
+    "many_trips": f"select {_MANY} as feed_id, trip_id, route_id, service_id, shape_id from trips",
+    "many_calls": f"select {_MANY} as feed_id, trip_id, stop_id, stop_sequence, departure_time from stop_times",
+}
+
+
+def many_feeds(spark: SparkSession, sf_dir: str) -> FeedTables:
+    """The tables of the feeds of MANY_SQL."""
+    one = feed_tables(spark, sf_dir)
+    number = F.concat(F.lit("M"), F.least(F.greatest(F.col("trip_id").cast("bigint") % 100 - 75, F.lit(0)), F.lit(24)).cast("string"))
+    feeds = given(spark, sf_dir, MANY_FEEDS_SQL)
+    stocked = feeds.where("feed_id not in ('M28', 'M29')")
+
+    def in_every(table: DataFrame, of: DataFrame) -> DataFrame:
+        return table.drop("feed_id").crossJoin(F.broadcast(of))  # 30 feeds
+
+    return FeedTables(
+        agency=in_every(one.agency, feeds), stops=in_every(one.stops, stocked), routes=in_every(one.routes, feeds),
+        trips=one.trips.withColumn("feed_id", number), stop_times=one.stop_times.withColumn("feed_id", number),
+        calendar=in_every(one.calendar, feeds), calendar_dates=in_every(one.calendar_dates, feeds),
+        shapes=in_every(one.shapes, feeds),
+    )
+
+
 # The same feed cut into many zipped feeds of 250 trips, one text line per table row.
 _NO = "cast(floor(cast(trip_id as bigint) / 250) as int)"
 _TRIPS = f"(select {_NO} as feed_no, t.* from ({FEED_SQL['trips']}) t)"

@@ -82,31 +82,18 @@ class FeedTables:
 PRESET_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("country", "region", "name", "url")])
 
 # GeoJSON as read back: coordinates stay JSON text, since their depth depends on the type.
-GEOJSON_READ_SCHEMA = T.StructType(
+_FEATURE = T.StructType(
     [
         T.StructField("type", T.StringType()),
         T.StructField(
-            "features",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("type", T.StringType()),
-                        T.StructField(
-                            "geometry",
-                            T.StructType(
-                                [
-                                    T.StructField("type", T.StringType()),
-                                    T.StructField("coordinates", T.StringType()),
-                                ]
-                            ),
-                        ),
-                        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-                    ]
-                )
-            ),
+            "geometry",
+            T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]),
         ),
+        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
     ]
 )
+# A text is a feature by itself or a collection of features.
+GEOJSON_READ_SCHEMA = T.StructType([*_FEATURE.fields, T.StructField("features", T.ArrayType(_FEATURE))])
 
 RELATION_SCHEMA = T.StructType(
     [

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tramline.schemas import GEOJSON_READ_SCHEMA, RELATION_SCHEMA
 
 
-def features_of(documents: DataFrame) -> DataFrame:
-    """One row per feature of GeoJSON documents: properties, geometry_type, coordinates (JSON text)."""
-    other = [c for c in documents.columns if c not in ("type", "features")]
-    return documents.select(*other, F.explode("features").alias("feature")).select(
+def features_of(texts: DataFrame) -> DataFrame:
+    """One row per feature of GeoJSON features or collections: properties, geometry_type, coordinates (JSON text)."""
+    other = [c for c in texts.columns if c not in ("type", "geometry", "properties", "features")]
+    single = F.array(F.struct("type", "geometry", "properties"))
+    features = F.when(F.col("type") == "Feature", single).otherwise(F.col("features"))
+    return texts.select(*other, F.explode(features).alias("feature")).select(
         *other,
         F.col("feature.properties").alias("properties"),
         F.col("feature.geometry.type").alias("geometry_type"),
@@ -20,9 +22,8 @@ def features_of(documents: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of every document below `path`; folders like feed_dir=X become columns."""
-    documents = spark.read.schema(GEOJSON_READ_SCHEMA).json(path, mode="FAILFAST")
-    return features_of(documents)
+    """Features of every line or collection below `path`; folders like feed_dir=X become columns."""
+    return features_of(spark.read.schema(GEOJSON_READ_SCHEMA).json(path, mode="FAILFAST"))
 
 
 def read_relations_csv(spark: SparkSession, path: str) -> DataFrame:
