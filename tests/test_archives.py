@@ -76,7 +76,10 @@ def test_report_and_required_tables(spark, folder):
 
 
 def test_staged_tables(spark, folder, tmp_path):
-    tables = archives.stage_feeds(archives.read_archives(spark, str(folder)), str(tmp_path / "staged"))
+    packed = archives.read_archives(spark, str(folder))
+    tables = archives.stage_feeds(packed, str(tmp_path / "complete"))
+    assert {r.feed_id for r in tables.stop_times.select("feed_id").distinct().collect()} == {"full", "other"}
+    tables = archives.stage_feeds(packed, str(tmp_path / "staged"), only_complete=False)
     assert {r.feed_id for r in tables.stop_times.select("feed_id").distinct().collect()} == {"full", "other", "partial"}
     assert tables.trips.count() == 2 and tables.stop_times.count() == 9
     again = archives.staged_feeds(spark, str(tmp_path / "staged"))
@@ -96,3 +99,17 @@ def test_a_very_long_text_is_kept_whole(spark):
     one = spark.createDataFrame([("f", content)], "feed_id string, content binary")
     row = archives.table_from_records(archives.scan_archives(one), "stops").selectExpr("length(stop_name) as n").first()
     assert row.n == 300_000
+
+
+def test_archives_of_one_name_stay_apart(spark, folder):
+    other = folder.parent / "more"
+    other.mkdir()
+    for place in (folder, other):
+        (place / "gtfs.zip").write_bytes(zipped(FULL))
+    both = [str(folder / "gtfs.zip"), str(other / "gtfs.zip"), str(folder / "other.zip")]
+    ids = {r.feed_id for r in archives.read_archives(spark, both).select("feed_id").collect()}
+    assert ids == {both[0], both[1], "other"}
+    manifest = spark.createDataFrame([("x", both[0]), ("y", f"file://{both[1]}")], "feed_id string, path string")
+    assert {r.feed_id for r in archives.read_archives(spark, both, manifest).collect()} == {"x", "y"}
+    with pytest.raises(ValueError, match="several archives"):
+        archives.read_archives(spark, both, manifest.withColumn("feed_id", manifest.feed_id.substr(2, 1)))

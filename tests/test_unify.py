@@ -185,11 +185,28 @@ def test_crowded_cells_are_decided_by_halving(spark, gap):
 
 def test_a_thousand_copies_of_a_place_give_no_pairs_beyond_one_per_stop(spark):
     rows = [(f"s{i:04d}", "same", 0.0, 0.0, None) for i in range(1000)]
-    pairs = near.near_stop_pairs(stops_of(spark, rows))
+    pairs = near.near_group_links(stops_of(spark, rows))
     assert pairs.count() == 999
     assert pairs.where("stop_id_a = 's0000' and link = 'same_cell'").count() == 999
 
 
+def test_every_link_is_a_near_pair(spark):
+    rng = random.Random(11)
+    points = {f"p{i:03d}": (rng.uniform(0, 0.02), rng.uniform(0, 0.02)) for i in range(150)}
+    links = near.near_group_links(stops_of(spark, [(i, "n", x, y, None) for i, (x, y) in points.items()])).collect()
+    assert any(r.link == "linked_cells" for r in links)
+    for r in links:
+        (ax, ay), (bx, by) = points[r.stop_id_a], points[r.stop_id_b]
+        assert (ax - bx) ** 2 + (ay - by) ** 2 <= near.RADIUS**2
+
+
+def test_nested_parents_and_circles(spark):
+    rows = [("a", "n", 0.0, 0.0, "b"), ("b", "n", 0.0, 0.0, "c"), ("c", "n", 0.0, 0.0, "d"), ("d", "n", 0.0, 0.0, "e"),
+            ("e", "n", 0.0, 0.0, None), ("x", "n", 0.0, 0.0, "y"), ("y", "n", 0.0, 0.0, "x"), ("z", "n", 0.0, 0.0, "gone")]
+    got = {r.stop_id: r.similar_stop_id for r in unify.parent_matches(stops_of(spark, rows)).collect()}
+    assert got == {s: "e" for s in "abcde"}
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(0, 200)]

@@ -59,7 +59,7 @@ def numbered_cells(placed: DataFrame) -> DataFrame:
         parts.agg(*_boxed("min(stop_id) as first_id", "count(*) as n"))
         .groupBy(*CELL_KEY)
         .agg(
-            F.expr("collect_list(struct(part_x, part_y, x0, x1, y0, y1)) as boxes"),  # 16 at most
+            F.expr("collect_list(struct(part_x, part_y, x0, x1, y0, y1, first_id)) as boxes"),  # 16 at most
             F.expr("sum(n) as n_stops"),
             F.expr("min(first_id) as first_stop_id"),
         )
@@ -96,32 +96,36 @@ def _undecided(p: str, q: str) -> str:
 
 
 def linked_cells(placed: DataFrame, cells: DataFrame) -> DataFrame:
-    """(a, b): node numbers of two different cells that hold a near pair, each pair once."""
+    """(a, b, feed_id, near_a, near_b): two different cells, by node number, and a near pair of their stops.
+
+    Each pair of cells once. All of one box near all of the other makes the first stops of both a near pair.
+    """
     steps = ", ".join(f"struct({dx} as dx, {dy} as dy)" for dx, dy in AHEAD)
     here = (
         cells.selectExpr("feed_id", "stop_name", "cell_x", "cell_y", "node as a", "boxes as boxes_a", f"explode(array({steps})) as step")
         .selectExpr("feed_id", "stop_name", "cell_x + step.dx as cell_x", "cell_y + step.dy as cell_y", "a", "boxes_a")
     )
     there = cells.selectExpr(*CELL_KEY, "node as b", "boxes as boxes_b")
-    both = f"exists(boxes_a, p -> exists(boxes_b, q -> {_all_near('p', 'q')}))"
+    near = f"""flatten(transform(boxes_a, p -> transform(filter(boxes_b, q -> {_all_near('p', 'q')}),
+        q -> struct(p.first_id as near_a, q.first_id as near_b))))"""
     unsure = f"""flatten(transform(boxes_a, p -> transform(filter(boxes_b, q -> {_undecided('p', 'q')}),
         q -> struct(p.part_x as ax, p.part_y as ay, q.part_x as bx, q.part_y as by))))"""
     pairs = (
         here.join(there, CELL_KEY)
-        .selectExpr("feed_id", "stop_name", "a", "b", f"{both} as linked", "boxes_a", "boxes_b")
-        .selectExpr("feed_id", "stop_name", "a", "b", "linked", f"case when not linked then {unsure} end as unsure")
-        .where("linked or size(unsure) > 0")
+        .selectExpr("feed_id", "stop_name", "a", "b", f"get({near}, 0) as near", "boxes_a", "boxes_b")
+        .selectExpr("feed_id", "stop_name", "a", "b", "near", f"case when near is null then {unsure} end as unsure")
+        .where("near is not null or size(unsure) > 0")
     )
     pairs = durable(pairs, "cell-pairs")
-    found = pairs.where("linked").select("a", "b")
-    open_pairs = pairs.where("not linked").selectExpr("feed_id", "stop_name", "a", "b", "inline(unsure)")
+    found = pairs.where("near is not null").select("a", "b", "feed_id", "near.*")
+    open_pairs = pairs.where("near is null").selectExpr("feed_id", "stop_name", "a", "b", "inline(unsure)")
     level = PART_LEVEL
     while not open_pairs.isEmpty():
         level += 1
         compared = durable(_compare_halves(placed, open_pairs, level), "cell-parts")
-        hits = compared.where("linked").select("a", "b").distinct()
-        found = found.unionByName(hits)
-        open_pairs = compared.where("not linked").drop("linked").join(hits, ["a", "b"], "left_anti")
+        hits = compared.where("near is not null").groupBy("a", "b", "feed_id").agg(F.min("near").alias("near"))
+        found = found.unionByName(hits.select("a", "b", "feed_id", "near.*"))
+        open_pairs = compared.where("near is null").drop("near").join(hits, ["a", "b"], "left_anti")
     return found
 
 
@@ -134,17 +138,17 @@ def _compare_halves(placed: DataFrame, open_pairs: DataFrame, level: int) -> Dat
     )
     halves = (
         placed.selectExpr(
-            "feed_id", "stop_name", "stop_lon", "stop_lat", *_grid("part", level - 1), *_grid("half", level)
+            "feed_id", "stop_id", "stop_name", "stop_lon", "stop_lat", *_grid("part", level - 1), *_grid("half", level)
         )
         .join(needed, part, "left_semi")
         .groupBy(*part, "half_x", "half_y")
-        .agg(*_boxed())
+        .agg(*_boxed("min(stop_id) as first_id"))
     )
 
     def side(s: str) -> DataFrame:
         return halves.selectExpr(
             "feed_id", "stop_name", f"part_x as {s}x", f"part_y as {s}y",
-            f"struct(half_x, half_y, x0, x1, y0, y1) as {s}_box",
+            f"struct(half_x, half_y, x0, x1, y0, y1, first_id) as {s}_box",
         )
 
     return (
@@ -154,17 +158,17 @@ def _compare_halves(placed: DataFrame, open_pairs: DataFrame, level: int) -> Dat
         .selectExpr(
             "feed_id", "stop_name", "a", "b",
             "a_box.half_x as ax", "a_box.half_y as ay", "b_box.half_x as bx", "b_box.half_y as by",
-            f"{_all_near('a_box', 'b_box')} as linked",
+            f"case when {_all_near('a_box', 'b_box')} then struct(a_box.first_id as near_a, b_box.first_id as near_b) end as near",
         )
     )
 
 
-def near_stop_pairs(stops: DataFrame) -> DataFrame:
-    """Pairs that hold each near group together, at most one per stop and per linked cell pair.
+def near_group_links(stops: DataFrame) -> DataFrame:
+    """Near pairs that hold each near group together: feed_id, stop_id_a, stop_id_b, link.
 
-    `same_cell` joins a stop to the first stop of its cell; `linked_cells` joins the first
-    stops of two cells that hold a near pair. Their components are those of all near pairs,
-    while the number of rows stays proportional to the number of stops.
+    At most one per stop (`same_cell`, with the first stop of its cell) and one per pair of cells
+    (`linked_cells`). Every row is a near pair; the components of the rows are those of all near pairs, while
+    their number stays proportional to the number of stops.
     """
     placed = with_cell(stops)
     cells = numbered_cells(placed)
@@ -174,16 +178,8 @@ def near_stop_pairs(stops: DataFrame) -> DataFrame:
         .where("stop_id <> first_stop_id")
         .selectExpr("feed_id", "first_stop_id as stop_id_a", "stop_id as stop_id_b", "'same_cell' as link")
     )
-    first_a = cells.selectExpr("node as a", "feed_id", "first_stop_id as first_a")
-    first_b = cells.selectExpr("node as b", "first_stop_id as first_b")
-    between = (
-        linked_cells(placed, cells)
-        .join(first_a, "a")
-        .join(first_b, "b")
-        .selectExpr(
-            "feed_id", "least(first_a, first_b) as stop_id_a", "greatest(first_a, first_b) as stop_id_b",
-            "'linked_cells' as link",
-        )
+    between = linked_cells(placed, cells).selectExpr(
+        "feed_id", "least(near_a, near_b) as stop_id_a", "greatest(near_a, near_b) as stop_id_b", "'linked_cells' as link"
     )
     return same_cell.unionByName(between)
 

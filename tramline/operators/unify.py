@@ -27,20 +27,18 @@ def parent_matches(stops: DataFrame) -> DataFrame:
     valid = (
         children.join(known, ["feed_id", "parent"], "left_semi").groupBy(*STOP).agg(F.max("parent").alias("above"))
     )
-    up = durable(
-        valid.unionByName(valid.selectExpr("feed_id", "above as stop_id", "above").distinct().join(valid, STOP, "left_anti")),
-        "parents",
-    )
+    above = valid.selectExpr("feed_id", "above as stop_id", "above").distinct()
+    tops = above.join(valid.where("stop_id <> above"), STOP, "left_anti")
+    up = durable(valid.where("stop_id <> above").unionByName(tops), "parents")
     # Every round doubles the number of levels that are passed; usually there is one and the first look ends it.
-    for _ in range(32):
+    for _ in range(20):
         over = up.where("stop_id <> above").selectExpr("feed_id", "stop_id as above", "above as top")
         if up.join(over, ["feed_id", "above"], "left_semi").isEmpty():
-            return up.selectExpr(*STOP, "above as similar_stop_id")
+            break
         up = durable(
             up.join(over, ["feed_id", "above"], "left").selectExpr(*STOP, "coalesce(top, above) as above"), "parents"
         )
-    tops = up.where("stop_id = above").select(*STOP)
-    return up.join(tops.withColumnRenamed("stop_id", "above"), ["feed_id", "above"], "left_semi").selectExpr(
+    return up.join(tops.select("feed_id", "above"), ["feed_id", "above"], "left_semi").selectExpr(
         *STOP, "above as similar_stop_id"
     )
 

@@ -312,21 +312,8 @@ STATEMENTS: dict[str, str] = {
     "unify_parent": _statement("select * from parent_rows", NO_DELIMITER),
     "unify_prefix": _statement("select * from prefix_rows", _relation("_")),
     "unify_near": _statement("select * from near_rows", NO_DELIMITER),
-    "near_stop_pairs": _statement(
-        """select feed_id, first_id as stop_id_a, stop_id as stop_id_b, 'same_cell' as link
-           from celled where stop_id <> first_id
-           union all
-           select distinct a.feed_id, least(a.first_id, b.first_id), greatest(a.first_id, b.first_id), 'linked_cells'
-           from near_edges e join celled a on a.stop_id = e.x join celled b on b.stop_id = e.y
-           where a.first_id <> b.first_id""",
-        {
-            **NO_DELIMITER,
-            "celled": """
-                select feed_id, stop_id,
-                       min(stop_id) over (partition by feed_id, stop_name,
-                           floor(stop_lon / cast(0.002 as double)), floor(stop_lat / cast(0.002 as double))) as first_id
-                from after_prefix""",
-        },
+    "near_group_links": _statement(
+        "select stop_id, similar_stop_id, cast(0 as bigint) as far_links from near_rows", NO_DELIMITER
     ),
     "unify_no_delimiter": _statement("select * from relation", NO_DELIMITER),
     "relations_identity": _statement(

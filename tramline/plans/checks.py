@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tramline.functions import times
 from tramline.functions.text import extent_numbers
 from tramline.operators import catalog, frequency, geometry, near, service, styling, unify
+from tramline.operators.components import connected_components
 from tramline.plans import catalogue_search, testdata
 from tramline.plans.extraction import Aggregator, Options, extract
 from tramline.plans.testdata import feed_table, feed_tables, staged_stop_times
@@ -250,8 +251,31 @@ def unify_prefix(spark, sf):
 
 
 @query
-def near_stop_pairs(spark, sf):
-    return near.near_stop_pairs(durable(_without_parents(spark, sf), "stops-left"))
+def near_group_links(spark, sf):
+    """What the links say: the groups they connect, and how many links of a group are no near pair (none)."""
+    stops = durable(_without_parents(spark, sf), "stops-left")
+    links = durable(near.near_group_links(stops), "near-links")
+    places = stops.select("stop_id", "stop_lon", "stop_lat")
+    ends = links.join(places.selectExpr("stop_id as stop_id_a", "stop_lon as ax", "stop_lat as ay"), "stop_id_a").join(
+        places.selectExpr("stop_id as stop_id_b", "stop_lon as bx", "stop_lat as by"), "stop_id_b"
+    )
+    far = F.expr(f"(ax - bx) * (ax - bx) + (ay - by) * (ay - by) > {near.LIMIT}").cast("bigint")
+    of_link = ends.select(F.col("stop_id_a").alias("stop_id"), far.alias("far"))
+    # components by number: stops are numbered in the order of their ids
+    numbered = durable(
+        links.selectExpr("explode(array(stop_id_a, stop_id_b)) as stop_id").distinct().orderBy("stop_id")
+        .withColumn("no", F.monotonically_increasing_id()), "near-numbers",
+    )
+    edges = links.join(numbered.selectExpr("stop_id as stop_id_a", "no as a"), "stop_id_a").join(
+        numbered.selectExpr("stop_id as stop_id_b", "no as b"), "stop_id_b"
+    )
+    group = connected_components(edges.select("a", "b")).join(numbered.selectExpr("no as node", "stop_id"), "node")
+    named = group.join(numbered.selectExpr("no as component", "stop_id as similar_stop_id"), "component")
+    return (
+        named.join(of_link, "stop_id", "left")
+        .groupBy("similar_stop_id", "stop_id")
+        .agg(F.coalesce(F.sum("far"), F.lit(0)).alias("far_links"))
+    )
 
 
 @query

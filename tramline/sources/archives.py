@@ -29,10 +29,35 @@ RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, report
 PRESENT = "present"
 
 
-def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Archive files as (feed_id, content). The binary source refuses files of 2 GB or more."""
+def _plain_path(path: Column) -> Column:
+    """A path without the scheme and slashes that readers put before local ones."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def read_archives(spark: SparkSession, path: str | list[str], manifest: DataFrame | None = None) -> DataFrame:
+    """Archive files as (feed_id, content). The binary source refuses files of 2 GB or more.
+
+    `manifest(feed_id, path)` says which feed a file is; files it does not name are left out. Without one the
+    name up to its first dot is the feed, and files that share that name keep apart by their whole paths.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(base_name(F.col("path")).alias("feed_id"), "content")
+    if manifest is not None:
+        wanted = manifest.select("feed_id", _plain_path(F.col("path")).alias("plain")).distinct()
+        twice = wanted.groupBy("feed_id").agg(F.count("*").alias("n")).where("n > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"feeds with several archives: {[r.feed_id for r in twice.limit(10).collect()]}")
+        return files.withColumn("plain", _plain_path(F.col("path"))).join(wanted, "plain").select("feed_id", "content")
+    name = base_name(F.col("path"))
+    # only paths are read here; the table is small and written so that Spark knows it
+    shared = durable(
+        files.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("shared")),
+        "shared-names",
+    )
+    return (
+        files.select(name.alias("name"), "path", "content")
+        .join(shared, "name", "left")
+        .select(F.when(F.col("shared"), _plain_path(F.col("path"))).otherwise(F.col("name")).alias("feed_id"), "content")
+    )
 
 
 def scan_archives(archives: DataFrame) -> DataFrame:
@@ -169,10 +194,21 @@ STAGED_ORDER = {
 }
 
 
-def stage_feeds(archives: DataFrame, folder: str) -> FeedTables:
-    """Read archives once and write the feed tables as Parquet below `folder`."""
+def complete_records(records: DataFrame) -> DataFrame:
+    """Records of the feeds that have all required tables."""
+    complete = durable(required_tables(records).where("complete").select("feed_id"), "complete-feeds")
+    return records.join(complete, "feed_id", "left_semi")
+
+
+def stage_feeds(archives: DataFrame, folder: str, only_complete: bool = True) -> FeedTables:
+    """Read archives once and write the feed tables as Parquet below `folder`.
+
+    Feeds that lack a required table are left out unless `only_complete` is off.
+    """
     # one folder per table, so that each of the reads below touches its own rows only
     records = usable_records(durable(scan_archives(archives), "records", partition_by="gtfs_table"))
+    if only_complete:
+        records = complete_records(records)
     for table, order in STAGED_ORDER.items():
         (
             table_from_records(records, table)
