@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.session import durable
+from tramline.session import discard, durable
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = _downward(edges.select("a", "b")).distinct()
     while True:
-        links = durable(_small_star(_large_star(links)), "components")
+        earlier, links = links, durable(_small_star(_large_star(links)), "components")
+        discard(earlier)
         if _not_stars(links).isEmpty():
             break
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))

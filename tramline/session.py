@@ -57,4 +57,15 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = fresh_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    written = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    written.durable_path = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a `durable` result that nothing reads any more, such as an earlier round's."""
+    path = getattr(df, "durable_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
