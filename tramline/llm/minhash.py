@@ -4,8 +4,9 @@ One hash per shingle; its leading bits choose a bin, the least hash of a bin is
 bins borrow from a full one found by a fixed random probe sequence (Shrivastava, "Optimal
 Densification for Fast and Accurate Minwise Hashing", ICML 2017). Bands of bins are the buckets.
 In a bucket every set is linked to one centre (a star), so candidates grow with the members. Stars
-that the full sets confirm give components; only members of *different* components that share a
-bucket are then compared with each other, so no link is lost that a bucket could show.
+that the full sets confirm give components. A star can miss a link between two members that are not
+like its centre, so buckets that hold several components are gone through once more, exactly, by
+what their sets can have in common (`across_components`).
 
 With 5 bins a band and 51 bands, two sets of similarity 0.75 miss every common bucket with a
 probability of 1e-6.
@@ -17,12 +18,13 @@ repeat a doc_id get the same row back as often. Columns other than `doc_id` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import words
@@ -33,6 +35,7 @@ SHINGLE, SIMILAR = 5, 75  # words; hundredths
 ROWS, BANDS = 5, 51
 BINS = 256
 PROBES = 64
+SIZE_CLASS = 1.03  # ratio of the sizes of a class
 
 
 @lru_cache(maxsize=1)
@@ -135,11 +138,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids that are linked by their full sets; texts are fetched by join."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids that are linked by their full sets."""
     return (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
@@ -148,6 +148,106 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, bounds = words.utf8(batch.column("text"))
+        starts, ends, first = words.word_spans(data, bounds)
+        sets = words.shingle_sets(words.word_hashes(data, starts, ends), first, SHINGLE)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"]
+        )
+
+
+def _open(members: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of groups that hold more than one component."""
+    mixed = members.groupBy(*by).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(mixed.select(*by), by)
+
+
+def _can_reach(common: Column, left: Column, right: Column) -> Column:
+    """Whether sets of these sizes with so many common shingles at most can be linked."""
+    return 100 * common >= SIMILAR * (left + right - common)
+
+
+def _least_common(sizes: Column) -> Column:
+    """Common shingles that linked sets of this total size have at least."""
+    return F.ceil(SIMILAR * sizes / (100.0 + SIMILAR) - 1e-9)
+
+
+def across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked at all, among documents of open buckets.
+
+    A bucket is open if it holds several components. Shingles that no other document of an open bucket has are common to no
+    pair; counting them bounds what a document can share with any set of its bucket. Documents that
+    were edited too much to be linked leave their buckets by that bound, and most buckets close.
+
+    Those that are left are paired by prefixes (Xiao et al., "Efficient Similarity Joins for Near Duplicate
+    Detection", WWW 2008): with the shingles of each set in order of rarity, linked sets have a common
+    shingle near the beginning, so edited copies meet where they share an edit and not where all copies agree.
+    How near depends on the sizes of both, hence on the size class of the smaller one.
+    """
+    members = durable(_open(members, ["bucket"]), "minhash-open")
+
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        return (
+            texts.join(ids, "doc_id", "left_semi")
+            .mapInArrow(_shingles, "doc_id long, shingles array<long>")
+            .select("doc_id", F.explode("shingles").alias("shingle"))
+        )
+
+    own = (
+        shingles_of(members.select("doc_id").distinct())
+        .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
+        .groupBy("doc_id").agg(F.count("*").alias("n_own"))
+    )
+    sized = members.join(own, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
+    least = members.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    # The partner that suits best has as many shingles as can be shared, or as few as the bucket offers.
+    partner = F.greatest(F.col("least"), F.col("shared"))
+    alive = durable(
+        _open(sized.join(least, "bucket").where(_can_reach(F.col("shared"), F.col("n_shingles"), partner)), ["bucket"])
+        .select("doc_id", "n_shingles", "shared", "component").distinct(),
+        "minhash-alive",
+    )
+    rows = shingles_of(alive.select("doc_id"))
+    rarity = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    ordered = rows.join(rarity, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    n = F.col("n_shingles")
+    step = math.log(SIZE_CLASS)
+    size_class = lambda size: F.floor(F.log(size.cast("double")) / step + 1e-9)
+    whole = ordered.join(alive, "doc_id").withColumn("s", F.transform("s", lambda x: x["shingle"]))
+    smallest = F.greatest(F.floor(F.pow(F.lit(SIZE_CLASS), F.col("class")) - 1e-6), F.ceil(n * SIMILAR / 100.0 - 1e-9))
+    low = size_class(F.greatest(F.lit(1), F.floor(n * SIMILAR / 100.0)))
+    as_small = whole.select("*", size_class(n).alias("class"), F.lit(True).alias("small"))
+    as_large = whole.select("*", F.explode(F.sequence(low, size_class(n))).alias("class"), F.lit(False).alias("small"))
+    prefix = n - _least_common(n + F.when(F.col("small"), n).otherwise(smallest)) + 1
+    begun = as_small.unionByName(as_large).withColumn("prefix", F.least(n, F.greatest(prefix, F.lit(1))).cast("int"))
+    keyed = begun.select(
+        "class", F.explode(F.slice("s", F.lit(1), F.col("prefix"))).alias("shingle"),
+        "doc_id", "n_shingles", "shared", "component", "small",
+    )
+    keyed = durable(_open(keyed, ["class", "shingle"]), "minhash-prefixes")
+    # A common shingle is a large group of one component: only the others are paired with it.
+    main = (
+        keyed.groupBy("class", "shingle", "component").agg(F.count("*").alias("n"))
+        .groupBy("class", "shingle").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    )
+    keyed = keyed.join(main, ["class", "shingle"]).withColumn("in_main", F.col("component") == F.col("main"))
+    x, y = keyed.where("small").alias("x"), keyed.where("not small").alias("y")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(
+            right,
+            (F.col("x.class") == F.col("y.class"))
+            & (F.col("x.shingle") == F.col("y.shingle"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (F.struct("x.n_shingles", "x.doc_id") < F.struct("y.n_shingles", "y.doc_id"))
+            & _can_reach(F.least("x.shared", "y.shared"), F.col("x.n_shingles"), F.col("y.n_shingles")),
+        ).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    return pairs(x.where("not in_main"), y).union(pairs(x.where("in_main"), y.where("not in_main"))).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `docs(doc_id, text, ...)`."""
     signed = durable(signatures(docs), "minhash-signed")
@@ -163,40 +263,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     stars = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
     buckets = durable(members.join(stars.select("bucket", "centre"), "bucket"), "minhash-buckets")
+    texts = durable(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+        .groupBy("doc_id").agg(F.min("text").alias("text")),
+        "minhash-texts",
+    )
     tried = durable(
         buckets.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(),
         "minhash-stars",
     )
-    links = durable(confirmed(tried, docs), "minhash-links")
+    links = durable(confirmed(tried, texts), "minhash-links")
     found = connected_components(links)
-    placed = durable(
-        buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id")
-        ),
-        "minhash-placed",
-    )
-    # Buckets whose members are all in one component have nothing left to decide.
-    open_buckets = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("bucket")
-    )
-    rest = placed.join(open_buckets, "bucket").select("bucket", "doc_id", "n_shingles", "component")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (
-        x.join(
-            y,
-            (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.component") < F.col("y.component"))
-            & (100 * F.col("x.n_shingles") >= SIMILAR * F.col("y.n_shingles"))
-            & (100 * F.col("y.n_shingles") >= SIMILAR * F.col("x.n_shingles")),
-        )
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
-    more = durable(confirmed(durable(across, "minhash-across"), docs), "minhash-more")
+    rest = durable(across_components(placed, texts).join(tried, ["a", "b"], "left_anti"), "minhash-across")
+    more = durable(confirmed(rest, texts), "minhash-more")
     if not more.isEmpty():
         found = connected_components(links.union(more))
     # The smallest doc_id of a component is a representative: it stands for its own group of copies.
