@@ -8,8 +8,8 @@ similarity of their five-word shingles (shingles weigh as often as they occur; s
 sum of maxima, 0.75 or more).
 
 Only windows that can pass that verification are fingerprinted: at least three quarters of the
-item's shingles must be in the window, so windows with fewer shingles of *any* item are left
-out. Membership is looked up in a bitmap of a fixed number of bits over all items' shingles; its false positives
+item's shingles must be in the window, so windows with fewer shingles of any item *of that length* are left
+out. Membership is looked up in a bitmap of a fixed number of bits over all items' shingles, with and without their item's length; its false positives
 cost work, never results. Bitmap, item lengths and fingerprints come from the benchmark table alone
 and their size is fixed or follows the benchmark, not the documents.
 
@@ -57,6 +57,12 @@ def _bit(shingles: np.ndarray) -> np.ndarray:
     return (shingles % np.uint64(BITMAP_BITS)).astype(np.int64)
 
 
+def _of_length(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Other hashes for the same shingles, as shingles of items of n words."""
+    with np.errstate(over="ignore"):
+        return words.mix(shingles + np.uint64(n) * words.BASE)
+
+
 def shingles_of(text: str) -> Counter:
     """Five-word shingles with their counts; fewer words are one shingle."""
     found = text.encode().lower().split()
@@ -83,7 +89,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(item)
                 lengths.append(len(own))
                 prints.append(simhash(own[None, :])[0].tobytes())
-                bits.append(np.unique(_bit(_own_shingles(own))))
+                found = _own_shingles(own)
+                bits.append(np.unique(np.concatenate([_bit(found), _bit(_of_length(found, len(own)))])))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
             ["item_id", "n_words", "print", "bits"],
@@ -111,7 +118,8 @@ def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _windows(bitmap: np.ndarray, lengths: list[int]):
-    """Function that gives the windows of documents that can be similar to an item of some length."""
+    """Function that gives the windows of documents that can be similar to an item of their length."""
+    by_size = {k: [n for n in lengths if min(SHINGLE, n) == k] for k in {min(SHINGLE, n) for n in lengths}}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,26 +127,27 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
             data, bounds = words.utf8(column)
             starts, ends, first = words.word_spans(data, bounds)
             hashes = words.word_hashes(data, starts, ends)
-            hits = {
-                k: _is_set(bitmap, _bit(words.shingle_hashes(hashes, k)))
-                for k in {min(SHINGLE, n) for n in lengths}
-            }
             out: list[tuple] = []
-            for k, hit in hits.items():
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                own = [n for n in lengths if min(SHINGLE, n) == k]
-                for i in range(batch.num_rows):
+            for k, own in by_size.items():
+                shingles = words.shingle_hashes(hashes, k)
+                at_hit = np.flatnonzero(_is_set(bitmap, _bit(shingles)))
+                # No item of these lengths can be in a document with fewer of its shingles than this.
+                fewest = min(SIMILAR * (n - k + 1) for n in own)
+                begins, stops = np.searchsorted(at_hit, first[:-1]), np.searchsorted(at_hit, first[1:] - k + 1)
+                for i in np.flatnonzero(stops - begins >= fewest).tolist():
                     a, b = int(first[i]), int(first[i + 1])
-                    last = max(a, b - k + 1)
-                    if sums[min(last, len(hit))] == sums[min(a, len(hit))]:
-                        continue  # not one shingle of any item
+                    near = at_hit[begins[i] : stops[i]]
                     doc = batch.column("doc_id")[i].as_py()
                     for n in own:
-                        places = np.arange(a, b - n + 1)
-                        if not len(places):
-                            continue
                         need = SIMILAR * (n - k + 1)
-                        places = places[sums[places + n - k + 1] - sums[places] >= need]
+                        hit = near[_is_set(bitmap, _bit(_of_length(shingles[near], n)))]
+                        if len(hit) < need or b - a < n:
+                            continue
+                        sums = np.zeros(b - a + 1, np.int64)
+                        sums[hit - a + 1] = 1
+                        sums = np.cumsum(sums)
+                        places = np.arange(b - a - n + 1)
+                        places = places[sums[places + n - k + 1] - sums[places] >= need] + a
                         for group in np.array_split(places, -(-len(places) * n // WORDS_AT_ONCE) or 1):
                             if len(group):
                                 prints = simhash(hashes[group[:, None] + np.arange(n)])
