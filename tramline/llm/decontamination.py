@@ -1,6 +1,6 @@
 """Passages of benchmark items in documents, by SimHash of item-sized windows.
 
-A window has as many words as an item. Its 128-bit SimHash over words (Charikar, STOC 2002) is
+A window has as many words as an item; a document with fewer words than an item is one window for it as a whole. Its 128-bit SimHash over words (Charikar, STOC 2002) is
 compared with those of the items of that length by multi-index Hamming search (Norouzi et al., CVPR
 2012): split into RADIUS + 1 blocks, two fingerprints within RADIUS agree on at least one block, so an
 equi-join on blocks finds all of them. The candidates are verified by the exact weighted
@@ -93,7 +93,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits.append(np.unique(np.concatenate([_bit(found), _bit(_of_length(found, len(own)))])))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-            ["item_id", "n_words", "print", "bits"],
+            ["item_id", "item_words", "print", "bits"],
         )
 
 
@@ -141,7 +141,11 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
                     for n in own:
                         need = SIMILAR * (n - k + 1)
                         hit = near[_is_set(bitmap, _bit(_of_length(shingles[near], n)))]
-                        if len(hit) < need or b - a < n:
+                        if len(hit) < need:
+                            continue
+                        if b - a < n:  # too short for a window of n words: the document is the window
+                            text = bytes(data[starts[a] : ends[b - 1]]).decode()
+                            out.append((doc, 0, b - a, n, simhash(hashes[None, a:b])[0].tobytes(), text))
                             continue
                         sums = np.zeros(b - a + 1, np.int64)
                         sums[hit - a + 1] = 1
@@ -153,7 +157,7 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
                                 prints = simhash(hashes[group[:, None] + np.arange(n)])
                                 for at, print_ in zip(group.tolist(), prints, strict=True):
                                     text = bytes(data[starts[at] : ends[at + n - 1]]).decode()
-                                    out.append((doc, at - a, n, print_.tobytes(), text))
+                                    out.append((doc, at - a, n, n, print_.tobytes(), text))
                                 if len(out) >= 20_000:
                                     yield _batch(out)
                                     out = []
@@ -163,11 +167,11 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays(
         [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
-        ["doc_id", "word_start", "n_words", "print", "passage"],
+        ["doc_id", "word_start", "n_words", "item_words", "print", "passage"],
     )
 
 
@@ -179,36 +183,37 @@ def _blocks(print_: str) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, word_start, n_words, similarity, distance) of each item found in a document.
 
-    One row per document and item: the most similar window, the first of equals.
+    One row per document and item: the most similar window, the first of equals. `n_words` is the
+    window's own, less than the item's where the document is shorter.
     """
     items = durable(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-            _item_rows, "item_id long, n_words int, print binary, bits array<long>"
+            _item_rows, "item_id long, item_words int, print binary, bits array<long>"
         ),
         "decontamination-items",
     )
-    lengths = sorted(r.n_words for r in items.select("n_words").distinct().collect())
+    lengths = sorted(r.item_words for r in items.select("item_words").distinct().collect())
     find = _windows(_bitmap(items), lengths)
     windows = durable(
         docs.where("text is not null and doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(find, "doc_id long, word_start long, n_words int, print binary, passage string"),
+        .mapInArrow(find, "doc_id long, word_start long, n_words int, item_words int, print binary, passage string"),
         "decontamination-windows",
     )
     # Equal windows of many documents are compared once.
-    distinct = windows.select("n_words", "print", "passage").distinct()
+    distinct = windows.select("item_words", "print", "passage").distinct()
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
     near = (
-        distinct.select("n_words", F.col("print").alias("seen"), "passage", _blocks("print"))
-        .join(items.select("n_words", "item_id", "print", _blocks("print")), ["n_words", "block", "value"])
+        distinct.select("item_words", F.col("print").alias("seen"), "passage", _blocks("print"))
+        .join(items.select("item_words", "item_id", "print", _blocks("print")), ["item_words", "block", "value"])
         .withColumn("distance", _distance("seen", "print"))
         .where(F.col("distance") <= RADIUS)
-        .select("n_words", "passage", "item_id", "distance")
+        .select("item_words", "passage", "item_id", "distance")
         .distinct()
     )
     measured = (
         near.join(texts.where("item_id is not null"), "item_id")
-        .mapInArrow(_verify, "item_id long, n_words int, passage string, distance int, similarity double")
+        .mapInArrow(_verify, "item_id long, item_words int, passage string, distance int, similarity double")
         .where(F.col("similarity") >= SIMILAR)
         .distinct()
     )
@@ -217,8 +222,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct("similarity", -F.col("word_start"), -F.col("distance")),
     )
     return (
-        windows.select("doc_id", "word_start", "n_words", "passage")
-        .join(measured, ["n_words", "passage"])
+        windows.select("doc_id", "word_start", "n_words", "item_words", "passage")
+        .join(measured, ["item_words", "passage"])
         .groupBy("doc_id", "item_id")
         .agg(best.alias("best"))
         .select("doc_id", "item_id", "best.*")
@@ -240,8 +245,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = zip(batch.column("passage").to_pylist(), batch.column("item_text").to_pylist(), strict=True)
         found = [similarity(a, b or "") for a, b in pairs]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("item_id", "n_words", "passage", "distance")] + [pa.array(found, pa.float64())],
-            ["item_id", "n_words", "passage", "distance", "similarity"],
+            [batch.column(c) for c in ("item_id", "item_words", "passage", "distance")] + [pa.array(found, pa.float64())],
+            ["item_id", "item_words", "passage", "distance", "similarity"],
         )
 
 
