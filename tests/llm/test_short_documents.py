@@ -39,3 +39,20 @@ def test_documents_shorter_than_an_item(spark):
     assert found == brute_force(docs, items)
     sizes = {k: len(t.split()) for k, t in items}
     assert sum(r.n_words < sizes[r.item_id] for r in got) > 30
+
+
+def test_similar_windows_outside_the_radius(spark):
+    """Windows of distinct words shifted as far as the similarity allows, some with distances over the radius."""
+    draw = random.Random(3)
+    docs, items = [], []
+    for k in range(400):
+        own = [f"v{k}x{j}x{draw.randrange(10**6)}" for j in range(60)]
+        items.append((k, " ".join(own)))
+        new = [f"n{k}x{j}x{draw.randrange(10**6)}" for j in range(8)]
+        docs.append((k, " ".join(own[8:] + new)))
+        docs.append((k + 1000, " ".join(own[8:])))
+    got = decontamination.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(400)} | {(k + 1000, k) for k in range(400)}
+    assert any(r.distance > decontamination.RADIUS for r in got)

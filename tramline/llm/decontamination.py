@@ -5,7 +5,8 @@ compared with those of the items of that length by multi-index Hamming search (N
 2012): split into RADIUS + 1 blocks, two fingerprints within RADIUS agree on at least one block, so an
 equi-join on blocks finds all of them. The candidates are verified by the exact weighted
 similarity of their five-word shingles (shingles weigh as often as they occur; sum of minima over
-sum of maxima, 0.75 or more).
+sum of maxima, 0.75 or more). Few similar windows have a greater distance; they meet their item by prefixes
+(Xiao et al., WWW 2008): with shingles in one fixed order, similar texts share one near the beginning.
 
 Only windows that can pass that verification are fingerprinted: at least three quarters of the
 item's shingles must be in the window, so windows with fewer shingles of any item *of that length* are left
@@ -63,6 +64,20 @@ def _of_length(shingles: np.ndarray, n: int) -> np.ndarray:
         return words.mix(shingles + np.uint64(n) * words.BASE)
 
 
+def _prefix(shingles: np.ndarray, others: int) -> np.ndarray:
+    """The first shingles in order of their hashes; one of them is in each similar text with `others` or more shingles.
+
+    The k-th occurrence of a shingle counts as a shingle of its own, so sets stand for the weights.
+    """
+    shingles = np.sort(shingles)
+    place = np.arange(len(shingles))
+    first = np.maximum.accumulate(np.where(np.diff(shingles, prepend=~shingles[:1]) != 0, place, 0))
+    with np.errstate(over="ignore"):
+        own = np.sort(words.mix(shingles + (place - first).astype(np.uint64) * words.BASE))
+    common = int(np.ceil(SIMILAR * (len(own) + others) / (1 + SIMILAR) - 1e-9))
+    return own[: max(0, len(own) - common + 1)]
+
+
 def shingles_of(text: str) -> Counter:
     """Five-word shingles with their counts; fewer words are one shingle."""
     found = text.encode().lower().split()
@@ -82,7 +97,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bounds = words.utf8(batch.column("text"))
         starts, ends, first = words.word_spans(data, bounds)
         hashes = words.word_hashes(data, starts, ends)
-        ids, lengths, prints, bits = [], [], [], []
+        ids, lengths, prints, bits, keys = [], [], [], [], []
         for i, item in enumerate(batch.column("item_id").to_pylist()):
             own = hashes[first[i] : first[i + 1]]
             if item is not None and len(own):
@@ -90,10 +105,11 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lengths.append(len(own))
                 prints.append(simhash(own[None, :])[0].tobytes())
                 found = _own_shingles(own)
+                keys.append(_prefix(found, int(np.ceil(SIMILAR * len(found)))).view(np.int64))
                 bits.append(np.unique(np.concatenate([_bit(found), _bit(_of_length(found, len(own)))])))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
-            ["item_id", "item_words", "print", "bits"],
+            [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+            ["item_id", "item_words", "print", "bits", "keys"],
         )
 
 
@@ -175,6 +191,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with the prefix of their shingles, as it is for items of the length they were looked up for."""
+    for batch in batches:
+        data, bounds = words.utf8(batch.column("passage"))
+        starts, ends, first = words.word_spans(data, bounds)
+        hashes = words.word_hashes(data, starts, ends)
+        keys = []
+        for i, n in enumerate(batch.column("item_words").to_pylist()):
+            k = min(SHINGLE, n)
+            keys.append(_prefix(words.shingle_hashes(hashes[first[i] : first[i + 1]], k), n - k + 1).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("item_words", "print", "passage")), pa.array(keys, pa.list_(pa.int64()))],
+            ["item_words", "print", "passage", "keys"],
+        )
+
+
 def _blocks(print_: str) -> Column:
     """(block, value) of each block of a fingerprint: one hexadecimal digit."""
     return F.posexplode(F.slice(F.split(F.hex(print_), ""), 1, HASH_BITS // 4)).alias("block", "value")
@@ -188,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = durable(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-            _item_rows, "item_id long, item_words int, print binary, bits array<long>"
+            _item_rows, "item_id long, item_words int, print binary, bits array<long>, keys array<long>"
         ),
         "decontamination-items",
     )
@@ -203,14 +235,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Equal windows of many documents are compared once.
     distinct = windows.select("item_words", "print", "passage").distinct()
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    near = (
+    within = (
         distinct.select("item_words", F.col("print").alias("seen"), "passage", _blocks("print"))
         .join(items.select("item_words", "item_id", "print", _blocks("print")), ["item_words", "block", "value"])
         .withColumn("distance", _distance("seen", "print"))
         .where(F.col("distance") <= RADIUS)
         .select("item_words", "passage", "item_id", "distance")
-        .distinct()
     )
+    beyond = (
+        distinct.mapInArrow(_keyed, "item_words int, print binary, passage string, keys array<long>")
+        .select("item_words", F.col("print").alias("seen"), "passage", F.explode("keys").alias("key"))
+        .join(items.select("item_words", "item_id", "print", F.explode("keys").alias("key")), ["item_words", "key"])
+        .withColumn("distance", _distance("seen", "print"))
+        .where(F.col("distance") > RADIUS)
+        .select("item_words", "passage", "item_id", "distance")
+    )
+    near = within.unionByName(beyond).distinct()
     measured = (
         near.join(texts.where("item_id is not null"), "item_id")
         .mapInArrow(_verify, "item_id long, item_words int, passage string, distance int, similarity double")
