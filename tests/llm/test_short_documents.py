@@ -56,3 +56,14 @@ def test_similar_windows_outside_the_radius(spark):
     ).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(400)} | {(k + 1000, k) for k in range(400)}
     assert any(r.distance > decontamination.RADIUS for r in got)
+
+
+def test_documents_without_id_are_searched(spark):
+    item = " ".join(f"b{j}" for j in range(20))
+    rows = [(None, f"x y {item} z", 1), (None, item, 2), (None, "x y z", 3), (None, None, 4), (1, item, 5), (2, "x y z", 6), (None, item, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.n for r in decontamination.keep_clean(docs, bench).collect()) == [3, 4, 6]
+    got = decontamination.leaks(docs, bench)
+    assert got.columns == ["doc_id", "item_id", "word_start", "n_words", "similarity", "distance"]
+    assert sorted((r.doc_id or 0, r.word_start) for r in got.collect()) == [(0, 0), (0, 2), (1, 0)]

@@ -14,7 +14,8 @@ out. Membership is looked up in a bitmap of a fixed number of bits over all item
 cost work, never results. Bitmap, item lengths and fingerprints come from the benchmark table alone
 and their size is fixed or follows the benchmark, not the documents.
 
-Nulls and texts without words contain nothing, and items of that kind are found nowhere. An item of fewer than five
+Nulls and texts without words contain nothing, and items of that kind are found nowhere. Documents without a
+doc_id are searched as well and told apart by their texts: equal ones are one, reported with a null doc_id. An item of fewer than five
 words is one shingle. Items that repeat are found under each of their ids. Columns other than doc_id / item_id and text are not read.
 """
 
@@ -153,7 +154,7 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
                 for i in np.flatnonzero(stops - begins >= fewest).tolist():
                     a, b = int(first[i]), int(first[i + 1])
                     near = at_hit[begins[i] : stops[i]]
-                    doc = batch.column("doc_id")[i].as_py()
+                    doc = batch.column("doc_id")[i].as_py(), batch.column("unnamed")[i].as_py()
                     for n in own:
                         need = SIMILAR * (n - k + 1)
                         hit = near[_is_set(bitmap, _bit(_of_length(shingles[near], n)))]
@@ -161,7 +162,7 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
                             continue
                         if b - a < n:  # too short for a window of n words: the document is the window
                             text = bytes(data[starts[a] : ends[b - 1]]).decode()
-                            out.append((doc, 0, b - a, n, simhash(hashes[None, a:b])[0].tobytes(), text))
+                            out.append((*doc, 0, b - a, n, simhash(hashes[None, a:b])[0].tobytes(), text))
                             continue
                         sums = np.zeros(b - a + 1, np.int64)
                         sums[hit - a + 1] = 1
@@ -173,7 +174,7 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
                                 prints = simhash(hashes[group[:, None] + np.arange(n)])
                                 for at, print_ in zip(group.tolist(), prints, strict=True):
                                     text = bytes(data[starts[at] : ends[at + n - 1]]).decode()
-                                    out.append((doc, at - a, n, n, print_.tobytes(), text))
+                                    out.append((*doc, at - a, n, n, print_.tobytes(), text))
                                 if len(out) >= 20_000:
                                     yield _batch(out)
                                     out = []
@@ -183,11 +184,11 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays(
         [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
-        ["doc_id", "word_start", "n_words", "item_words", "print", "passage"],
+        ["doc_id", "unnamed", "word_start", "n_words", "item_words", "print", "passage"],
     )
 
 
@@ -212,12 +213,22 @@ def _blocks(print_: str) -> Column:
     return F.posexplode(F.slice(F.split(F.hex(print_), ""), 1, HASH_BITS // 4)).alias("block", "value")
 
 
+def _unnamed() -> Column:
+    """What tells documents without a doc_id apart."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.sha2("text", 256)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, word_start, n_words, similarity, distance) of each item found in a document.
 
     One row per document and item: the most similar window, the first of equals. `n_words` is the
     window's own, less than the item's where the document is shorter.
     """
+    return _found(docs, benchmark).drop("unnamed")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `leaks` with `unnamed`."""
     items = durable(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
             _item_rows, "item_id long, item_words int, print binary, bits array<long>, keys array<long>"
@@ -227,9 +238,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r.item_words for r in items.select("item_words").distinct().collect())
     find = _windows(_bitmap(items), lengths)
     windows = durable(
-        docs.where("text is not null and doc_id is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(find, "doc_id long, word_start long, n_words int, item_words int, print binary, passage string"),
+        docs.where("text is not null")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), _unnamed().alias("unnamed"), "text")
+        .mapInArrow(find, "doc_id long, unnamed binary, word_start long, n_words int, item_words int, print binary, passage string"),
         "decontamination-windows",
     )
     # Equal windows of many documents are compared once.
@@ -262,11 +273,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct("similarity", -F.col("word_start"), -F.col("distance")),
     )
     return (
-        windows.select("doc_id", "word_start", "n_words", "item_words", "passage")
+        windows.select("doc_id", "unnamed", "word_start", "n_words", "item_words", "passage")
         .join(measured, ["item_words", "passage"])
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "unnamed", "item_id")
         .agg(best.alias("best"))
-        .select("doc_id", "item_id", "best.*")
+        .select("doc_id", "unnamed", "item_id", "best.*")
     )
 
 
@@ -292,5 +303,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no benchmark item was found, with all their columns."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("leaking_id"), "left_anti")
+    found = _found(docs, benchmark).select(F.col("doc_id").alias("leaking_id"), F.col("unnamed").alias("leaking_text")).distinct()
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_id"))
+    return docs.join(found, same_id & _unnamed().eqNullSafe(F.col("leaking_text")), "left_anti")
