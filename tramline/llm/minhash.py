@@ -1,15 +1,16 @@
 """Near-duplicate documents by one-permutation hashing with optimal densification.
 
 One hash per shingle; its leading bits choose a bin, the least hash of a bin is its value. Empty
-bins borrow from a full one found by a fixed random probe sequence (Shrivastava, "Optimal
-Densification for Fast and Accurate Minwise Hashing", ICML 2017). Bands of bins are the buckets.
+bins borrow from the first full one in a fixed random order of all bins, one order for each bin (Shrivastava, "Optimal
+Densification for Fast and Accurate Minwise Hashing", ICML 2017), so what is borrowed does not depend on how many bins are full. Bands of bins are the buckets.
 In a bucket every set is linked to one centre (a star), so candidates grow with the members. Stars
 that the full sets confirm give components. A star can miss a link between two members that are not
 like its centre, so buckets that hold several components are gone through once more, exactly, by
 what their sets can have in common (`across_components`).
 
 With 5 bins a band and 51 bands, two sets of similarity 0.75 miss every common bucket with a
-probability of 1e-6.
+probability of 1e-6. Of few shingles two can fall in one bin, which makes that likelier; so small sets have
+the first shingles in order of their hashes as buckets besides, and similar ones share one for certain.
 
 Nulls and texts without words have an empty set and are linked with nothing. Equal texts, and texts
 with equal word sequences, collapse before hashing, so a large group of copies is one set. Rows that
@@ -34,16 +35,17 @@ from tramline.session import durable
 SHINGLE, SIMILAR = 5, 75  # words; hundredths
 ROWS, BANDS = 5, 51
 BINS = 256
-PROBES = 64
+PROBES = 64  # looked at together: most texts need no more
+SMALL = 12  # shingles: sets up to here meet by shingles as well
 SIZE_CLASS = 1.03  # ratio of the sizes of a class
 
 
 @lru_cache(maxsize=1)
 def _probe_table() -> np.ndarray:
-    """Bin that an empty bin looks at in its k-th try: the same for every text."""
-    cells = np.arange(BINS * PROBES, dtype=np.uint64)
+    """Bin that an empty bin looks at in its k-th try, each of all bins once: the same for every text."""
+    cells = np.arange(BINS * BINS, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        return (words.mix(cells * words.BASE + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, PROBES)
+        return np.argsort(words.mix(cells * words.BASE + np.uint64(77)).reshape(BINS, BINS), axis=1)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -58,24 +60,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     empty = np.flatnonzero(~full)
     if len(empty):
         table = _probe_table()
-        hit = full[table[empty]]
+        hit = full[table[empty, :PROBES]]
         chosen = table[empty, hit.argmax(axis=1)]
-        lost = ~hit.any(axis=1)
-        if lost.any():  # few full bins: the probe order goes on as a cycle through the full ones
-            own = np.flatnonzero(full)
-            with np.errstate(over="ignore"):
-                chosen[lost] = own[words.mix(empty[lost].astype(np.uint64) * words.BASE) % np.uint64(len(own))]
+        lost = empty[~hit.any(axis=1)]
+        if len(lost):  # few full bins: the order goes on to the first of them
+            chosen[~hit.any(axis=1)] = table[lost, full[table[lost]].argmax(axis=1)]
         values[empty] = values[chosen]
     return values
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key per band."""
+    """One 64-bit bucket key per band, and those of the first shingles of a small set."""
     with np.errstate(over="ignore"):
         rows = signature(hashes)[: ROWS * BANDS].reshape(BANDS, ROWS)
         key = np.arange(1, BANDS + 1, dtype=np.uint64) * words.BASE
         for k in range(ROWS):
             key = words.mix(key ^ rows[:, k])
+        if len(hashes) <= SMALL:  # linked sets have SIMILAR hundredths of these in common at least
+            first = len(hashes) + (-SIMILAR * len(hashes)) // 100 + 1
+            key = np.concatenate([key, words.mix(hashes[:first] ^ words.BASE)])
     return key.view(np.int64)
 
 
