@@ -12,7 +12,8 @@ it). Texts of any two lengths are thus comparable. The likeness of two fingerpri
 of equal digits, each stratum weighing as many steps as it spans.
 
 Documents whose digits agree on a band of sampled places are candidates (`near_groups`): bands are drawn from the
-last full stratum, buckets are stars around their smallest doc_id, and candidates are verified by likeness.
+last full stratum, buckets are stars around their smallest doc_id, and candidates are verified by likeness. Links
+between two members that are unlike that centre are not found. `compare_with_next` uses no bands.
 
 Rows without a doc_id have no place in the order and are left out of the result. A null text
 counts as empty. An empty text has an empty fingerprint, like itself alone. Repeated doc_ids follow each other in
