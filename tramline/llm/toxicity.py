@@ -1,13 +1,13 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the distinct words of a text and the beginnings of its words (4 to 7 characters), lower
-case. Those that clearly go with toxic labels, or clearly against them, in a bounded sample are the
-vocabulary. Labels say toxic or not; the grade of a toxic document is 1, 2 or 3 by how many distinct
+case. Those that clearly go with toxic labels in a bounded sample are the vocabulary; features that speak against
+toxicity are not in it. Labels say toxic or not; the grade of a toxic document is 1, 2 or 3 by how many distinct
 features of the vocabulary it shows, cut at the terciles of the toxic documents. The proportional-odds model
 P(grade <= k) = logistic(threshold_k - w.x) shares its weights over the ordered thresholds
 (McCullagh, "Regression Models for Ordinal Data", 1980). The expected severity is the sum of
 P(grade > k); a document counts as toxic where P(grade > 0) reaches a threshold set on documents that took no
-part in training.
+part in training, 0.3 at least.
 
 Null and empty texts have no features and get the model's least severity. Without labels of both kinds nothing is toxic.
 Labels of one document that differ count as toxic. Repeated rows are graded each by itself; columns other than
@@ -70,7 +70,7 @@ class Model:
 
 
 def vocabulary(sample: DataFrame) -> dict[str, float]:
-    """Features of the sample (label, found) that tell the kinds apart, with the logarithm of their ratio."""
+    """Features of the sample (label, found) that go with toxic labels, with the logarithm of their ratio."""
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return {}
