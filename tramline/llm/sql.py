@@ -53,4 +53,28 @@ select page_id, payload_bytes, payload_digest,
   case when page_id > first then 'revisit' else 'response' end as record_type,
   case when page_id > first then first end as refers_to
 from measured""",
+    "op11_infilling": """
+with drawn as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+units as (
+  select doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u,
+    ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4
+  from drawn),
+placed as (
+  select *, cast(len(u) as bigint) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as x,
+    greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as y,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50
+      then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from units),
+parts as (
+  select doc_id, text, n, form, array_to_string(u[1:x], '') as p, array_to_string(u[x + 1:y], '') as m,
+    array_to_string(u[y + 1:], '') as s
+  from placed)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+  case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts""",
 }

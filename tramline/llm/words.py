@@ -6,8 +6,11 @@ whole texts and handles nulls (as empty), empty texts and empty batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -17,6 +20,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SEGMENT_BYTES = 1 << 20  # bytes hashed at once: bounds memory, not what is read
+SLICE_BYTES = 4 << 20  # bytes of text worked on at once
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -118,3 +122,19 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, length: int) -> list[np.n
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have `most` bytes together, or one longer text; in order, all rows.
+
+    Arrays made of a slice are a few times its size, whatever the size of the batch.
+    """
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
