@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import (
+    alignment,
     archives,
     decontamination,
     fingerprints,
@@ -100,6 +101,11 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over every document, aligned, with what the corpus links."""
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -112,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
     "op11_infilling": op11_infilling,
+    "op12_alignment": op12_alignment,
 }
