@@ -17,6 +17,7 @@ from tramline.llm import (
     licences,
     minhash,
     mixing,
+    permutations,
     quality,
     sharding,
     toxicity,
@@ -106,6 +107,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every hundredth one."""
+    return permutations.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_toxicity": op2_toxicity,
@@ -119,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_infilling": op11_infilling,
     "op12_alignment": op12_alignment,
+    "op13_neighbours": op13_neighbours,
 }
