@@ -1,9 +1,14 @@
+import csv
 import io
+import random
 import zipfile
 
 import pytest
 
 from tramline.sources import archives
+from tramline.sources.files import open_file, write_file
+
+WAYS = pytest.mark.parametrize("way", [archives.list_archives, archives.read_archives])
 
 FULL = {
     "agency": "agency_id,agency_name\n1,A\n",
@@ -36,8 +41,9 @@ def folder(tmp_path):
     return feeds
 
 
-def test_scan_types_and_texts(spark, folder):
-    records = archives.scan_archives(archives.read_archives(spark, str(folder / "full.v2.zip")))
+@WAYS
+def test_scan_types_and_texts(spark, folder, way):
+    records = archives.scan_archives(way(spark, str(folder / "full.v2.zip")))
     stops = {r.stop_id: r for r in archives.table_from_records(records, "stops").collect()}
     assert stops["01"].stop_name == "駅" and stops["01"].stop_lat == 35.5 and stops["01"].feed_id == "full"
     assert stops["02"].stop_name == "a, b" and stops["02"].stop_lat is None and stops["02"].stop_lon is None
@@ -54,12 +60,13 @@ def test_scan_types_and_texts(spark, folder):
     assert archives.table_from_records(records, "shapes").count() == 0
 
 
-def test_report_and_required_tables(spark, folder):
-    packed = archives.read_archives(spark, str(folder))
+@WAYS
+def test_report_and_required_tables(spark, folder, way):
+    packed = way(spark, str(folder))
     records = archives.scan_archives(packed)
     fetched = packed.selectExpr("feed_id", "200 as status").unionByName(
         spark.createDataFrame([("gone", 404), ("empty", 200)], "feed_id string, status int")
-    )
+    ).distinct()
     report = {r.feed_id: r.outcome for r in archives.ingest_report(records, fetched).collect()}
     assert report == {
         "full": "ok",
@@ -75,8 +82,9 @@ def test_report_and_required_tables(spark, folder):
     assert missing == {"full": ([], True), "other": ([], True), "partial": (["calendar", "trips"], False)}
 
 
-def test_staged_tables(spark, folder, tmp_path):
-    packed = archives.read_archives(spark, str(folder))
+@WAYS
+def test_staged_tables(spark, folder, tmp_path, way):
+    packed = way(spark, str(folder))
     tables = archives.stage_feeds(packed, str(tmp_path / "complete"))
     assert {r.feed_id for r in tables.stop_times.select("feed_id").distinct().collect()} == {"full", "other"}
     tables = archives.stage_feeds(packed, str(tmp_path / "staged"), only_complete=False)
@@ -101,15 +109,70 @@ def test_a_very_long_text_is_kept_whole(spark):
     assert row.n == 300_000
 
 
-def test_archives_of_one_name_stay_apart(spark, folder):
+@WAYS
+def test_archives_of_one_name_stay_apart(spark, folder, way):
     other = folder.parent / "more"
     other.mkdir()
     for place in (folder, other):
         (place / "gtfs.zip").write_bytes(zipped(FULL))
     both = [str(folder / "gtfs.zip"), str(other / "gtfs.zip"), str(folder / "other.zip")]
-    ids = {r.feed_id for r in archives.read_archives(spark, both).select("feed_id").collect()}
+    ids = {r.feed_id for r in way(spark, both).select("feed_id").collect()}
     assert ids == {both[0], both[1], "other"}
     manifest = spark.createDataFrame([("x", both[0]), ("y", f"file://{both[1]}")], "feed_id string, path string")
-    assert {r.feed_id for r in archives.read_archives(spark, both, manifest).collect()} == {"x", "y"}
+    assert {r.feed_id for r in way(spark, both, manifest).collect()} == {"x", "y"}
     with pytest.raises(ValueError, match="several archives"):
-        archives.read_archives(spark, both, manifest.withColumn("feed_id", manifest.feed_id.substr(2, 1)))
+        way(spark, both, manifest.withColumn("feed_id", manifest.feed_id.substr(2, 1)))
+
+
+def rows_of(text):
+    wanted = ["a", "b", "c"]
+    return [row for columns in archives._parsed(io.BufferedReader(io.BytesIO(text.encode())), wanted)
+            for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+
+
+def row_by_row(text):
+    """The same with the plain reader of the standard library."""
+    reader = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    header = [n.strip() for n in next(reader, [])]
+    places = [header.index(n) if n in header else -1 for n in "abc"]
+    return [tuple(row[p] if 0 <= p < len(row) else None for p in places) for row in reader if row]
+
+
+def test_rows_of_any_shape_are_kept(monkeypatch):
+    monkeypatch.setattr(archives, "BLOCK_BYTES", 400)
+    draw = random.Random(2)
+    pieces = ["x", "1", '"q, ""r"""', '"two\nlines"', "", "駅", " pad ", '"', "a\"b"]
+    headers = ["a,b,c", "c,a", "\ufeffb, a ,z,c", '"a",b', "z", "a,b,c,a", ""]
+    for k in range(200):
+        end = draw.choice(["\n", "\r\n", "\r"])
+        plain = [p for p in pieces if p != '"']
+        lines = [draw.choice(headers)] + [",".join(draw.choice(plain) for _ in range(draw.choice([3, 3, 3, 1, 2, 5]))) for _ in range(draw.randrange(0, 60))]
+        text = end.join(lines) + draw.choice(["", end, end * 2])
+        assert sorted(map(str, rows_of(text))) == sorted(map(str, row_by_row(text))), (k, text)
+
+
+def test_large_tables_stream_and_entries_are_dealt(spark, tmp_path):
+    calls = "trip_id,stop_sequence,stop_id,departure_time\n" + "".join(f"t{i // 50},{i % 50},s{i % 9},10:00:00\n" for i in range(300_000))
+    (tmp_path / "big.zip").write_bytes(zipped({**FULL, "stop_times": calls}))
+    listed = archives.list_archives(spark, str(tmp_path / "*.zip"))
+    assert listed.columns == ["feed_id", "path", "length"]
+    entries = {r.gtfs_table: r.size for r in archives.archive_entries(listed).collect()}
+    assert entries["stop_times"] == len(calls) and set(entries) == set(FULL)
+    records = archives.scan_archives(listed)
+    assert records.rdd.getNumPartitions() > 1
+    assert archives.table_from_records(records, "stop_times").count() == 300_000
+
+
+def test_files_are_there_as_a_whole_or_not_at_all(tmp_path):
+    target = str(tmp_path / "sub" / "x.bin")
+    write_file(f"file://{target}", lambda out: out.write(b"abc"))
+
+    def fails(out):
+        out.write(b"zz")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        write_file(target, fails)
+    with open_file(f"file:{target}") as file:
+        assert file.read() == b"abc"
+    assert [f.name for f in (tmp_path / "sub").iterdir()] == ["x.bin"]

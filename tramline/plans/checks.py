@@ -55,9 +55,16 @@ def _six(name: str) -> Column:
 # --- sources -----------------------------------------------------------------------------
 
 
+def _scanned(spark, sf):
+    """Records of archives that lie in a folder as files."""
+    folder = fresh_path(spark, "feeds")
+    fetched = testdata.archive_files(spark, sf, folder)
+    return fetched, archives.scan_archives(archives.list_archives(spark, f"{folder}/*.zip"))
+
+
 @query
 def feed_scan(spark, sf):
-    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records", partition_by="gtfs_table")
+    records = durable(_scanned(spark, sf)[1], "records", partition_by="gtfs_table")
     return (
         archives.usable_records(records)
         .where(F.col("report").isNull())
@@ -67,7 +74,7 @@ def feed_scan(spark, sf):
 
 @query
 def feed_required_tables(spark, sf):
-    records = durable(archives.scan_archives(testdata.feed_archives(spark, sf)), "records", partition_by="gtfs_table")
+    records = durable(_scanned(spark, sf)[1], "records", partition_by="gtfs_table")
     return archives.required_tables(archives.usable_records(records)).select(
         "feed_id", F.array_join("missing", ",").alias("missing"), F.col("complete").cast("int").alias("complete")
     )
@@ -75,9 +82,8 @@ def feed_required_tables(spark, sf):
 
 @query
 def feed_ingest_report(spark, sf):
-    packed = durable(testdata.feed_archives(spark, sf), "archives")
-    records = archives.scan_archives(packed.where(F.col("status") == 200))
-    return archives.ingest_report(records, packed.select("feed_id", "status"))
+    fetched, records = _scanned(spark, sf)
+    return archives.ingest_report(records, fetched.select("feed_id", "status"))
 
 
 @query

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions.times import time_to_secs
 from tramline.schemas import FeedTables
 from tramline.session import durable
+from tramline.sources.files import write_file
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -249,6 +252,23 @@ def feed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("feed_no").applyInPandas(_zip_feed, "feed_id string, status int, content binary")
 
 
+def archive_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The fetched archives of `feed_archives` as files `folder`/<feed>.zip: (feed_id, status, path), path null for others."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for feed_id, content in zip(batch.column("feed_id").to_pylist(), batch.column("content"), strict=True):
+                paths.append(f"{folder}/{feed_id}.zip" if content.is_valid else None)
+                if content.is_valid:
+                    write_file(paths[-1], lambda out, content=content: out.write(content.as_buffer()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("feed_id"), batch.column("status"), pa.array(paths, pa.string())], ["feed_id", "status", "path"]
+            )
+
+    return durable(feed_archives(spark, sf_dir).mapInArrow(write, "feed_id string, status int, path string"), "archive-files")
+
+
 def _zip_feed(rows: pd.DataFrame) -> pd.DataFrame:
     number = int(rows["feed_no"].iloc[0])
     fault = number % 5

@@ -1,7 +1,9 @@
 """Zipped feeds: scan, check, report and staging as typed tables.
 
-Unzipping runs on the executors, one archive per call and never more than a chunk of rows
-in Python at a time. Everything after it is DataFrame work.
+Archives are read by entry. A first pass opens each file at its end and lists the tables in it; the entries are then dealt
+to tasks, each of which seeks to its own and unpacks it as a stream, so an archive may have any size, its
+tables are read side by side, and no content passes through a join or lies in memory as a whole. For stores that only Spark's
+own readers open, archives can be read as contents instead (`read_archives`). Everything after the scan is DataFrame work.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import csv as arrow_csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,53 +25,103 @@ from tramline.functions.text import base_name
 from tramline.functions.times import time_to_secs
 from tramline.schemas import CALENDAR_TABLES, FEED_COLUMNS, REQUIRED_TABLES, FeedTables
 from tramline.session import durable
+from tramline.sources.files import open_file, plain_path
 
 CHUNK_ROWS = 20_000
+BLOCK_BYTES = 8 << 20  # of a table file parsed at once; a longer row makes the archive unreadable
+ENTRY_BYTES = 64 << 20  # of tables for a task, on average
 
 RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, report string"
+ENTRY_SCHEMA = "feed_id string, path string, gtfs_table string, size long, report string"
 
 PRESENT = "present"
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, csv.Error)
 
 
-def _plain_path(path: Column) -> Column:
-    """A path without the scheme and slashes that readers put before local ones."""
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def read_archives(spark: SparkSession, path: str | list[str], manifest: DataFrame | None = None) -> DataFrame:
-    """Archive files as (feed_id, content). The binary source refuses files of 2 GB or more.
+def list_archives(spark: SparkSession, path: str | list[str], manifest: DataFrame | None = None) -> DataFrame:
+    """Archive files as (feed_id, path, length), without reading them.
 
     `manifest(feed_id, path)` says which feed a file is; files it does not name are left out. Without one the
     name up to its first dot is the feed, and files that share that name keep apart by their whole paths.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
     if manifest is not None:
-        wanted = manifest.select("feed_id", _plain_path(F.col("path")).alias("plain")).distinct()
+        wanted = manifest.select("feed_id", plain_path(F.col("path")).alias("plain")).distinct()
         twice = wanted.groupBy("feed_id").agg(F.count("*").alias("n")).where("n > 1")
         if not twice.isEmpty():
             raise ValueError(f"feeds with several archives: {[r.feed_id for r in twice.limit(10).collect()]}")
-        return files.withColumn("plain", _plain_path(F.col("path"))).join(wanted, "plain").select("feed_id", "content")
-    name = base_name(F.col("path"))
-    # only paths are read here; the table is small and written so that Spark knows it
-    shared = durable(
-        files.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("shared")),
-        "shared-names",
-    )
-    return (
-        files.select(name.alias("name"), "path", "content")
-        .join(shared, "name", "left")
-        .select(F.when(F.col("shared"), _plain_path(F.col("path"))).otherwise(F.col("name")).alias("feed_id"), "content")
-    )
+        return files.withColumn("plain", plain_path(F.col("path"))).join(wanted, "plain").select("feed_id", "path", "length")
+    named = files.withColumn("name", base_name(F.col("path")))
+    shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("shared"))
+    feed = F.when(F.col("shared"), plain_path(F.col("path"))).otherwise(F.col("name"))
+    return named.join(shared, "name", "left").select(feed.alias("feed_id"), "path", "length")
+
+
+def read_archives(spark: SparkSession, path: str | list[str], manifest: DataFrame | None = None) -> DataFrame:
+    """Archives as (feed_id, content), for stores that tasks cannot open by themselves; of 2 GB at most.
+
+    Feeds are named as `list_archives` does. Paths are matched first and written; the contents meet that small table
+    without being shuffled.
+    """
+    listed = durable(list_archives(spark, path, manifest).select("path", "feed_id"), "listed-archives")
+    contents = spark.read.format("binaryFile").load(path).select("path", "content")
+    return contents.join(listed, "path").select("feed_id", "content")
+
+
+def archive_entries(archives: DataFrame) -> DataFrame:
+    """(feed_id, path, gtfs_table, size, report) of each known table in `archives(feed_id, path)`.
+
+    Only the directories at the ends of the files are read. A file without a readable one gives a report instead.
+    """
+    return archives.select("feed_id", "path").mapInArrow(_list_entries, ENTRY_SCHEMA)
+
+
+def _list_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for feed_id, path in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            try:
+                with open_file(path) as file, zipfile.ZipFile(file) as archive:
+                    found = {i.filename: i.file_size for i in archive.infolist()}
+                rows += [(feed_id, path, t, found[f"{t}.txt"], None) for t in FEED_COLUMNS if f"{t}.txt" in found]
+            except UNREADABLE as error:
+                rows.append((feed_id, path, None, 0, _reason(error)))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
+            ["feed_id", "path", "gtfs_table", "size", "report"],
+        )
 
 
 def scan_archives(archives: DataFrame) -> DataFrame:
-    """Records of every known table in `archives(feed_id, content)`.
+    """Records of every known table in `archives(feed_id, path)` or `archives(feed_id, content)`.
 
     `fields` holds the columns of FEED_COLUMNS in order, null where a file lacks one, and
     `report` is null. Besides, every table found gives one row with `report` = 'present', and an
     archive that cannot be read gives one with the reason instead of failing the job.
     """
-    return archives.select("feed_id", "content").mapInArrow(_unzip, RECORD_SCHEMA)
+    if "content" in archives.columns:
+        return archives.select("feed_id", "content").mapInArrow(_unzip, RECORD_SCHEMA)
+    entries = durable(archive_entries(archives), "archive-entries")
+    total = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).head()
+    cores = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(total["n"], max(cores, -(-total["bytes"] // ENTRY_BYTES))))
+    # Dealt by number: a list of entries is small, and adaptive execution would put it into one task.
+    return entries.repartition(tasks, "path", "gtfs_table").mapInArrow(_read_entries, RECORD_SCHEMA)
+
+
+def _read_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["report"] is not None:
+                yield _told(row["feed_id"], None, row["report"])
+                continue
+            try:
+                with open_file(row["path"]) as file, zipfile.ZipFile(file) as archive:
+                    yield from _table(row["feed_id"], archive, row["gtfs_table"])
+            except UNREADABLE as error:
+                yield _told(row["feed_id"], None, _reason(error))
 
 
 def _unzip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,35 +130,112 @@ def _unzip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as archive:
                     present = set(archive.namelist())
-                    for table, columns in FEED_COLUMNS.items():
+                    for table in FEED_COLUMNS:
                         if f"{table}.txt" in present:
-                            with archive.open(f"{table}.txt") as entry:
-                                for chunk in _chunks(entry, [name for name, _ in columns]):
-                                    yield _records(feed_id, table, chunk)
-                            yield _records(feed_id, table, [None], PRESENT)
-            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, csv.Error) as error:
-                yield _records(feed_id, None, [None], f"{type(error).__name__}: {error}")
+                            yield from _table(feed_id, archive, table)
+            except UNREADABLE as error:
+                yield _told(feed_id, None, _reason(error))
+
+
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def _table(feed_id: str, archive: zipfile.ZipFile, table: str) -> Iterator[pa.RecordBatch]:
+    with archive.open(f"{table}.txt") as entry:
+        for columns in _parsed(entry, [name for name, _ in FEED_COLUMNS[table]]):
+            yield _records(feed_id, table, columns)
+    yield _told(feed_id, table, PRESENT)
+
+
+class _Rest(io.RawIOBase):
+    """A stream with what was already read of it put back."""
+
+    def __init__(self, begun: bytes, stream) -> None:
+        self.begun, self.stream = begun, stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        block = self.begun[: len(buffer)] or self.stream.read(len(buffer))
+        self.begun = self.begun[len(block) :] if self.begun else b""
+        buffer[: len(block)] = block
+        return len(block)
+
+
+def _parsed(entry, wanted: list[str]) -> Iterator[list[pa.Array]]:
+    """The wanted columns of a table file, a block of rows at a time; null where a row or the file lacks one.
+
+    Arrow parses rows as long as the header. It hands over the others, which are read one by one, as are whole
+    files whose header is no plain line.
+    """
+    line = entry.readline()
+    header = line.removeprefix(b"\xef\xbb\xbf").rstrip(b"\r\n")
+    if b'"' in header or b"\r" in header or not header:
+        for rows in _chunks(_Rest(line, entry), wanted):
+            yield [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+        return
+    names = [name.strip() for name in next(csv.reader([header.decode()]), [])]
+    begun = entry.read(1)
+    if not begun:
+        return
+    places = [names.index(name) if name in names else -1 for name in wanted]
+    odd: list[str] = []
+
+    def put_aside(row) -> str:
+        odd.append(row.text)
+        return "skip"
+
+    kept = sorted({p for p in places if p >= 0}) or [0]
+    reader = arrow_csv.open_csv(
+        io.BufferedReader(_Rest(begun, entry)),
+        read_options=arrow_csv.ReadOptions(use_threads=False, block_size=BLOCK_BYTES, column_names=[str(i) for i in range(len(names))]),
+        parse_options=arrow_csv.ParseOptions(newlines_in_values=True, invalid_row_handler=put_aside),
+        convert_options=arrow_csv.ConvertOptions(
+            include_columns=[str(p) for p in kept], column_types={str(p): pa.string() for p in kept}, strings_can_be_null=False
+        ),
+    )
+    for batch in reader:
+        none = pa.nulls(batch.num_rows, pa.string())
+        yield [batch.column(kept.index(p)) if p >= 0 else none for p in places]
+        yield from _one_by_one(odd, places)
+        odd.clear()
+    yield from _one_by_one(odd, places)
+
+
+def _one_by_one(texts: list[str], places: list[int]) -> Iterator[list[pa.Array]]:
+    rows = [row for text in texts for row in csv.reader(io.StringIO(text, newline="")) if row]
+    if rows:
+        yield [pa.array([row[p] if 0 <= p < len(row) else None for row in rows], pa.string()) for p in places]
 
 
 def _chunks(entry, wanted: list[str]) -> Iterator[list]:
     """Rows of one table file in chunks; each row a list of the wanted columns."""
     csv.field_size_limit(2**31 - 1)  # texts of any length
-    reader = csv.reader(io.TextIOWrapper(entry, encoding="utf-8-sig", newline=""))
+    reader = csv.reader(io.TextIOWrapper(io.BufferedReader(entry), encoding="utf-8-sig", newline=""))
     header = [name.strip() for name in next(reader, [])]
     places = [header.index(name) if name in header else -1 for name in wanted]
     while rows := list(islice(reader, CHUNK_ROWS)):
-        yield [[row[p] if 0 <= p < len(row) else None for p in places] for row in rows if row]
+        if some := [[row[p] if 0 <= p < len(row) else None for p in places] for row in rows if row]:
+            yield some
+
+
+def _records(feed_id: str, table: str, columns: list[pa.Array]) -> pa.RecordBatch:
+    """Rows of a table, their fields as one list each."""
+    count, width = len(columns[0]), len(columns)
+    by_row = np.arange(count * width).reshape(width, count).T.ravel()
+    fields = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32) * width, pa.concat_arrays(columns).take(pa.array(by_row)))
+    return _batch([feed_id] * count, [table] * count, fields, pa.nulls(count, pa.string()))
+
+
+def _told(feed_id: str, table: str | None, report: str) -> pa.RecordBatch:
+    return _batch([feed_id], [table], pa.nulls(1, pa.list_(pa.string())), pa.array([report]))
 
 
-def _records(feed_id: str, table: str | None, fields: list, report: str | None = None) -> pa.RecordBatch:
-    count = len(fields)
+def _batch(feeds: list, tables: list, fields: pa.Array, reports: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([feed_id] * count, pa.string()),
-            pa.array([table] * count, pa.string()),
-            pa.array(fields, pa.list_(pa.string())),
-            pa.array([report] * count, pa.string()),
-        ],
+        [pa.array(feeds, pa.string()), pa.array(tables, pa.string()), fields, reports],
         names=["feed_id", "gtfs_table", "fields", "report"],
     )
 
