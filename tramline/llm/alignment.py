@@ -9,7 +9,8 @@ Tokens of different tokenizers in a group are linked, every occurrence with ever
 
 Texts are taken in units that begin with a space behind another character. Neither tokenizer has a token across such a
 place (words of the first begin there; no piece of the second, as is checked, has its space mark behind anything else), so
-a unit has the same tokens in every text. The distinct units of a slice are encoded once, and those of frequent use are kept.
+a unit has the same tokens in every text. Distinct units are encoded and aligned once by a Python process, which keeps a
+bounded number of them.
 
 What a text contributes to the corpus is the set of its linked id pairs; the count of a pair is the number
 of texts that hold it. Pairs that make up at least a `FREQUENT`-th of all those (text, pair) rows are at most
@@ -23,6 +24,7 @@ empty table gives an empty one. Other columns than doc_id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -39,7 +41,12 @@ from tramline.session import durable
 TOKENIZERS = "/opt/tokenizers"
 FIRST_FILE, SECOND_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 100_000  # pairs broadcast at most
-CACHED_UNIT, CACHED_UNITS = 64, 60_000  # bytes of a unit that is kept, and how many are
+KNOWN_UNITS, KNOWN_BYTES = 250_000, 16 << 20  # units a process keeps, and bytes of those it takes in at once
+UNITS_AT_ONCE = 1 << 15  # units encoded and aligned together: bounds memory only
+LARGE_GROUP = 10_000  # links of a group from which its ids are counted before they are paired
+
+# Fixed value: how byte-level vocabularies split a text before their merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _SPACE = 0x20
 # Second last and last bytes of the other white space in UTF-8 (code points with the property White_Space).
@@ -75,16 +82,23 @@ class Tokens:
 
     def __init__(self, files: TokenizerFiles) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.first = Tokenizer.from_str(files.first.decode())
-        self.first.encode_special_tokens = True  # their strings in a text are then ordinary text
-        self.second = sentencepiece.SentencePieceProcessor(model_proto=files.second)
         byte = _byte_of_char()
-        vocabulary = json.loads(files.first)["model"]["vocab"]
+        model = json.loads(files.first)
+        added = {t["id"] for t in model["added_tokens"]}
+        vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        order = [vocabulary[a + b] for a, b in pairs]
+        if order != sorted(order) or model["pre_tokenizer"]["type"] != "ByteLevel":
+            raise ValueError("merges of the first vocabulary are not in order of their ids")
         self.first_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for entry, i in vocabulary.items():
-            self.first_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+            self.first_bytes[i] = entry.encode() if i in added else bytes(byte[c] for c in entry)
+        # With merges in order of ids, ids are ranks; special tokens are left out, so their strings are ordinary text.
+        ranks = {b: i for i, b in enumerate(self.first_bytes) if i not in added}
+        self.first = tiktoken.Encoding("first", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=files.second)
         size = self.second.get_piece_size()
         pieces = [self.second.id_to_piece(i) for i in range(size)]
         self.second_bytes = [
@@ -93,18 +107,22 @@ class Tokens:
         #: Units are only cut where no piece can lie across; otherwise a text is one unit.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.sizes = len(self.first_bytes), size
+        self.lengths = tuple(np.array([len(b) for b in t], np.int64) for t in (self.first_bytes, self.second_bytes))
+        #: Ids as text behind what stands before them: the first of a group, any other, the first of the second tokenizer.
+        self.texts = tuple(np.array([f"{c}{i}" for i in range(max(self.sizes))], object) for c in ";,|")
 
     def encode(self, units: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each unit (which begins with a space) in both; None if either does not give its bytes back."""
+        """Ids of each unit (which begins with a space) in both; None if the second does not give its bytes back.
+
+        The first works on bytes and always does.
+        """
         texts = [u.decode() for u in units]
-        first = [e.ids for e in self.first.encode_batch(texts, add_special_tokens=False)]
         # The second adds the space itself, but not to an empty text: a unit of one space is its mark.
         second = [ids or [self.second.piece_to_id("▁")] for ids in self.second.encode([t[1:] for t in texts], num_threads=1)]
+        of = self.second_bytes
         return [
-            (a, b)
-            if b"".join([self.first_bytes[i] for i in a]) == u and b"".join([self.second_bytes[i] for i in b]) == u
-            else None
-            for u, a, b in zip(units, first, second, strict=True)
+            (self.first.encode_ordinary(t), b) if b"".join([of[i] for i in b]) == u else None
+            for u, t, b in zip(units, texts, second, strict=True)
         ]
 
 
@@ -128,59 +146,128 @@ def terminals(first_ends: np.ndarray, second_ends: np.ndarray) -> tuple[np.ndarr
         follow = further
 
 
-@dataclass(slots=True)
+@dataclass
 class Aligned:
-    """A unit: tokens of both, groups, links, the groups as text, distinct linked pairs and how often each."""
+    """Units one after another: counts (tokens of both, groups, links), groups as text, and distinct linked pairs.
 
-    counts: tuple[int, int, int, int]
-    text: str
+    The text of a unit has `;` before each group. Pairs of unit i are those from begins[i] on, sizes[i] in number.
+    """
+
+    counts: np.ndarray
+    texts: list[str]
+    sizes: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
 
+    @property
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def joined(parts: list[Aligned]) -> Aligned:
+    together = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    texts = [t for p in parts for t in p.texts]
+    return Aligned(together("counts"), texts, together("sizes"), together("pairs"), together("times"))
 
-def align(encoded: list[tuple[list[int], list[int]]], tokens: Tokens) -> list[Aligned]:
-    """Groups of each unit, all units in one row of bytes (both end a token at the end of a unit)."""
-    if not encoded:
-        return []
-    first = np.array([i for a, _ in encoded for i in a], np.int64)
-    second = np.array([i for _, b in encoded for i in b], np.int64)
-    size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (tokens.first_bytes, tokens.second_bytes))
-    label_a, label_b = terminals(np.cumsum(size_a[first]), np.cumsum(size_b[second]))
-    at_a, at_b, out = 0, 0, []
-    for a, b in encoded:
-        groups_a, groups_b = label_a[at_a : at_a + len(a)].tolist(), label_b[at_b : at_b + len(b)].tolist()
-        at_a, at_b = at_a + len(a), at_b + len(b)
-        groups: dict[int, tuple[list[int], list[int]]] = {}
-        for i, g in zip(a, groups_a, strict=True):
-            groups.setdefault(g, ([], []))[0].append(i)
-        for i, g in zip(b, groups_b, strict=True):
-            groups[g][1].append(i)
-        found: dict[int, int] = {}
-        links = 0
-        for x, y in groups.values():
-            links += len(x) * len(y)
-            many_y = _occurrences(y)
-            for i, n in _occurrences(x):
-                for j, m in many_y:
-                    pair = i * tokens.sizes[1] + j
-                    found[pair] = found.get(pair, 0) + n * m
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups.values()])
-        out.append(
-            Aligned(
-                (len(a), len(b), len(groups), links), text,
-                np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found)),
-            )
-        )
-    return out
 
+def no_units() -> Aligned:
+    none = np.zeros(0, np.int64)
+    return Aligned(np.zeros((0, 4), np.int64), [], none, none, none)
 
-def _occurrences(ids: list[int]) -> list[tuple[int, int]]:
-    if len(ids) == 1:
-        return [(ids[0], 1)]
-    counts: dict[int, int] = {}
-    for i in ids:
-        counts[i] = counts.get(i, 0) + 1
-    return list(counts.items())
+
+def align(encoded: list[tuple[list[int], list[int]]], tokens: Tokens) -> Aligned:
+    """Groups of each unit, all units in one row of bytes (both end a token at the end of a unit)."""
+    if not encoded:
+        return no_units()
+    n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
+    first = np.fromiter((i for a, _ in encoded for i in a), np.int64, int(n_a.sum()))
+    second = np.fromiter((i for _, b in encoded for i in b), np.int64, int(n_b.sum()))
+    label_a, label_b = terminals(np.cumsum(tokens.lengths[0][first]), np.cumsum(tokens.lengths[1][second]))
+    # The last token of a component is one of the second: groups are numbered in order of theirs.
+    last = np.cumsum(label_b == np.arange(len(second)) + len(first)) - 1
+    group_a, group_b = last[label_a - len(first)], last[label_b - len(first)]
+    n_groups = int(last[-1]) + 1
+    in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+    begin_a, begin_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    unit_of = np.repeat(np.arange(len(encoded)), n_b)[begin_b]
+    of_units = lambda values: np.bincount(unit_of, values, len(encoded)).astype(np.int64)
+    counts = np.stack([n_a, n_b, of_units(np.ones(n_groups)), of_units(in_a * in_b)], axis=1)
+
+    width = tokens.sizes[0] * tokens.sizes[1]
+    small = in_a * in_b <= LARGE_GROUP
+    chosen = np.flatnonzero(small[group_a])  # each of these with every token of the second in its group
+    many = in_b[group_a[chosen]]
+    left = np.repeat(chosen, many)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + begin_b[group_a[left]]
+    keys = [unit_of[group_a[left]] * width + first[left] * tokens.sizes[1] + second[right]]
+    times = [np.ones(len(left), np.int64)]
+    for g in np.flatnonzero(~small):  # counted by distinct ids first
+        x, n = np.unique(first[begin_a[g] : begin_a[g] + in_a[g]], return_counts=True)
+        y, m = np.unique(second[begin_b[g] : begin_b[g] + in_b[g]], return_counts=True)
+        keys.append((unit_of[g] * width + x[:, None] * tokens.sizes[1] + y).ravel())
+        times.append((n[:, None] * m).ravel())
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    often = np.bincount(back, np.concatenate(times), len(distinct)).astype(np.int64)
+    sizes = np.bincount(distinct // width, minlength=len(encoded))
+
+    # Groups as text: of each group the tokens of the first, then those of the second, each with what stands before it.
+    text = np.empty(len(first) + len(second), object)
+    head_a, head_b = np.zeros(len(first), bool), np.zeros(len(second), bool)
+    head_a[begin_a], head_b[begin_b] = True, True
+    text[np.arange(len(first)) + begin_b[group_a]] = np.where(head_a, tokens.texts[0][first], tokens.texts[1][first])
+    text[np.arange(len(second)) + (begin_a + in_a)[group_b]] = np.where(head_b, tokens.texts[2][second], tokens.texts[1][second])
+    pieces, ends = text.tolist(), np.cumsum(n_a + n_b).tolist()
+    texts = ["".join(pieces[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return Aligned(counts, texts, sizes, distinct % width, often)
+
+
+class Known:
+    """Units that were aligned before, by content, and their numbers; all are forgotten when there are too many."""
+
+    def __init__(self, tokens: Tokens) -> None:
+        self.tokens = tokens
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.units = no_units()
+
+    def find(self, units: list[bytes]) -> tuple[np.ndarray, Aligned]:
+        """The number of each distinct unit among those returned with it; -1 for one that is not given back."""
+        if len(self.number) > KNOWN_UNITS or len(self.units.pairs) > 8 * KNOWN_UNITS:
+            self.clear()
+        new = [u for u in units if u not in self.number]
+        fresh: dict[bytes, int] = {}
+        parts, count = [self.units], len(self.units.texts)
+        gc.disable()  # many small lists and no cycles: collections would take a quarter of the time
+        try:
+            for at in range(0, len(new), UNITS_AT_ONCE):
+                part = new[at : at + UNITS_AT_ONCE]
+                encoded = self.tokens.encode(part)
+                for u, e in zip(part, encoded, strict=True):
+                    fresh[u] = count if e is not None else -1
+                    count += e is not None
+                parts.append(align([e for e in encoded if e is not None], self.tokens))
+        finally:
+            gc.enable()
+        aligned = joined(parts)
+        numbers = np.array([fresh[u] if u in fresh else self.number[u] for u in units], np.int64)
+        if sum(map(len, new)) <= KNOWN_BYTES:  # very long units are not worth keeping
+            self.number.update(fresh)
+            self.units = aligned
+        return numbers, aligned
+
+
+_known: dict[str, Known] = {}
+
+
+def _known_units(files: TokenizerFiles) -> Known:
+    """The units of this Python process, which Spark uses for many tasks."""
+    key = hashlib.sha256(files.first + files.second).hexdigest()
+    if key not in _known:
+        _known.clear()
+        _known[key] = Known(Tokens(files))
+    return _known[key]
 
 
 def unit_bounds(data: np.ndarray, bounds: np.ndarray, cuts: bool) -> np.ndarray:
@@ -211,62 +298,45 @@ def tokenized(docs: DataFrame, files: TokenizerFiles) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(files)  # a few MB: the vocabularies
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
-        kept: dict[bytes, Aligned | None] = {}
+        known = _known_units(shared.value)
         for whole in batches:
             for batch in words.slices(whole):
-                yield _rows(batch, tokens, kept)
+                yield _rows(batch, known)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {TEXT_SCHEMA}")
+    return words.batched(docs).select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {TEXT_SCHEMA}")
 
 
-def _rows(batch: pa.RecordBatch, tokens: Tokens, kept: dict[bytes, Aligned | None]) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, known: Known) -> pa.RecordBatch:
     texts = [b" " + t.encode() if t else b"" for t in batch.column("text").to_pylist()]
     data = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.cumsum([0] + [len(t) for t in texts])
-    starts = unit_bounds(data, bounds, tokens.cuts)
+    starts = unit_bounds(data, bounds, known.tokens.cuts)
     offsets = pa.py_buffer(starts.astype(np.int64))
     units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-    distinct = units.dictionary.to_pylist()
-    place = units.indices.to_numpy(zero_copy_only=False)
-    if len(kept) > CACHED_UNITS:
-        kept.clear()
-    new = [u for u in distinct if u not in kept]
-    encoded = tokens.encode(new)
-    found = iter(align([e for e in encoded if e is not None], tokens))
-    fresh = {u: next(found) if e is not None else None for u, e in zip(new, encoded, strict=True)}
-    known = [fresh[u] if u in fresh else kept[u] for u in distinct]
-    kept.update({u: x for u, x in fresh.items() if len(u) <= CACHED_UNIT})
-
-    none = Aligned((0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-    bad = np.array([x is None for x in known], bool)
-    known = [x or none for x in known]
-    counts = np.array([x.counts for x in known], np.int64).reshape(-1, 4)
-    strings = [x.text for x in known]
-    sizes = np.array([len(x.pairs) for x in known], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    all_pairs = np.concatenate([x.pairs for x in known] or [none.pairs])
-    all_times = np.concatenate([x.times for x in known] or [none.times])
+    numbers, found = known.find(units.dictionary.to_pylist())
+    place = numbers[units.indices.to_numpy(zero_copy_only=False)]
+    begins, nothing = found.begins, np.zeros(0, np.int64)
     first = np.searchsorted(starts, bounds)  # unit with which each text begins
-    numbers, digests, pairs, times = [], [], [], []
+    rows, digests, pairs, times = [], [], [], []
     for i in range(len(texts)):
-        own, n = np.unique(place[first[i] : first[i + 1]], return_counts=True)
-        if not len(own) or bad[own].any():
-            numbers.append((0, 0, 0, 0))
+        in_text = place[first[i] : first[i + 1]]
+        own, n = np.unique(in_text, return_counts=True)
+        if not len(own) or own[0] < 0:
+            rows.append((0, 0, 0, 0))
             digests.append("")
-            pairs.append(none.pairs)
-            times.append(none.times)
+            pairs.append(nothing)
+            times.append(nothing)
             continue
-        numbers.append(tuple((counts[own] * n[:, None]).sum(axis=0).tolist()))
-        groups = ";".join([strings[u] for u in place[first[i] : first[i + 1]].tolist()])
+        rows.append(tuple(n @ found.counts[own]))
+        groups = "".join([found.texts[u] for u in in_text.tolist()])[1:]
         digests.append(hashlib.sha256(groups.encode()).hexdigest())
-        many = sizes[own]
+        many = found.sizes[own]
         at = np.repeat(begins[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        pair, back = np.unique(all_pairs[at], return_inverse=True)
+        pair, back = np.unique(found.pairs[at], return_inverse=True)
         pairs.append(pair)
-        times.append(np.bincount(back, all_times[at] * np.repeat(n, many), len(pair)).astype(np.int64))
-    columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(4)]
+        times.append(np.bincount(back, found.times[at] * np.repeat(n, many), len(pair)).astype(np.int64))
+    columns = [pa.array([int(x[k]) for x in rows], pa.int64()) for k in range(4)]
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id"), *columns, pa.array(digests, pa.string()),

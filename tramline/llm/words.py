@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,6 +23,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SEGMENT_BYTES = 1 << 20  # bytes hashed at once: bounds memory, not what is read
 SLICE_BYTES = 4 << 20  # bytes of text worked on at once
+BATCH_BYTES = 8 << 20  # of Arrow batches between Spark and Python
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -138,3 +141,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """`docs`, with Arrow batches of BATCH_BYTES from here on, unless the session has its own bound.
+
+    By default a batch is up to 10,000 rows of 64 MB, of which the JVM and each Python worker hold copies.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b") == str(64 << 20):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has a word; false for null."""
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores behind it until no column is called so."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
