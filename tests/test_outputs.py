@@ -126,28 +126,94 @@ def stops_of(spark, rows):
     return spark.createDataFrame(rows, "feed_id string, stop_id string, stop_name string, lon double, lat double")
 
 
-def test_features_of_a_huge_feed_are_many_files(spark, tmp_path):
-    stops = spark.range(0, 500, 1, 10).selectExpr(
-        "if(id < 490, 'big', 'small') as feed_id", "cast(id as string) as stop_id", "'n' as stop_name",
+def test_files_follow_volume(spark, tmp_path):
+    """A thousand feeds from fifty tasks, one of them with most of the rows."""
+    stops = spark.range(0, 30_000, 1, 50).selectExpr(
+        "if(id < 20000, 'big', 'f' || id % 1000) as feed_id", "cast(id as string) as stop_id", "'n' as stop_name",
         "if(id = 3, null, double(id)) as lon", "double(1) as lat",
     )
-    feeds = spark.createDataFrame([("big", "big"), ("small", "d:1")], "feed_id string, feed_dir string")
-    feeds = durable(feeds, "feeds")  # as in the job: Spark then knows its size
-    geojson.write_features(geojson.stop_feature_rows(stops), feeds, str(tmp_path / "o"))
+    feeds = durable(stops.selectExpr("feed_id", "if(feed_id = 'f1', 'd:1', feed_id) as feed_dir").distinct(), "feeds")
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.shuffle.partitions": "50",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        geojson.write_features(geojson.stop_feature_rows(stops), feeds, str(tmp_path / "o"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [len(list(f.glob("*.txt"))) for f in (tmp_path / "o").iterdir() if f.is_dir()]
+    assert len(files) == 1001 and sum(files) < 1100
     assert len(list((tmp_path / "o" / "feed_dir=big").glob("*.txt"))) > 3
     back = outputs.read_geojson(spark, str(tmp_path / "o"))
-    assert back.select(F.col("properties")["stop_id"]).distinct().count() == 500
-    assert {r.feed_dir for r in back.select("feed_dir").distinct().collect()} == {"big", "d:1"}
+    assert back.select(F.col("properties")["stop_id"]).distinct().count() == 30_000
+    assert {"big", "d:1"} <= {r.feed_dir for r in back.select("feed_dir").distinct().collect()}
     assert back.where("coordinates is null").select(F.col("properties")["stop_id"].alias("s")).first().s == "3"
 
 
-def test_collections_where_asked_for(spark, tmp_path):
-    feeds = spark.createDataFrame([("a", "a"), ("none", "none")], "feed_id string, feed_dir string")
-    rows = geojson.stop_feature_rows(stops_of(spark, [("a", str(i), "n", 1.0, 2.0) for i in range(9)]))
-    geojson.write_collections(geojson.collections_of_all(feeds, rows), str(tmp_path / "o"))
-    read = {f.parent.name: json.loads(f.read_text()) for f in (tmp_path / "o").glob("*/*.txt")}
-    assert {k: len(v["features"]) for k, v in read.items()} == {"feed_dir=a": 9, "feed_dir=none": 0}
-    assert outputs.read_geojson(spark, str(tmp_path / "o")).count() == 9
+def test_collections_of_any_size(spark, tmp_path, monkeypatch):
+    from tramline.sinks import documents
+    from tramline.sources import files, json_arrays
+
+    monkeypatch.setattr(documents, "by_volume", lambda rows, by: rows.repartition(7))  # many parts of each feed
+    monkeypatch.setattr(json_arrays, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(files, "COPIED", 50)
+    feeds = spark.createDataFrame([("a", "a:1"), ("one", "one"), ("none", "都 x")], "feed_id string, feed_dir string")
+    names = ['say "hi"', "back\\slash\\", "[{,}]", "駅"]
+    rows = stops_of(spark, [("a", str(i), names[i % 4], 1.0, None if i == 5 else 2.0) for i in range(900)] + [("one", "x", "n", 1.0, 2.0)])
+    geojson.write_collections(geojson.stop_feature_rows(rows), feeds, str(tmp_path / "o"))
+    read = {f.parent.name: json.loads(f.read_text(encoding="utf-8")) for f in (tmp_path / "o").glob("*/*")}
+    assert {k: len(v["features"]) for k, v in read.items()} == {"feed_dir=a%3A1": 900, "feed_dir=one": 1, "feed_dir=都 x": 0}
+    assert all(v["type"] == "FeatureCollection" for v in read.values())
+    back = outputs.read_collections(spark, str(tmp_path / "o")).select("feed_dir", F.col("properties")["stop_name"].alias("n")).collect()
+    assert len(back) == 901 and {r.n for r in back} == {*names, "n"} and {r.feed_dir for r in back} == {"a%3A1", "one"}
+
+
+def test_a_run_that_fails_leaves_the_earlier_outputs(spark, tables, tmp_path, monkeypatch):
+    from tramline.plans import extraction
+    from tramline.sinks import publishing
+
+    feeds = spark.createDataFrame([("f", "f"), ("quiet", "quiet")], "feed_id string, dir string")
+    out, options = tmp_path / "out", Options(aggregate=True, filter_by_date=False)
+
+    def state():
+        return {str(f.relative_to(out)): f.read_bytes() for f in out.rglob("*") if f.is_file() and not f.name.endswith(".crc")}
+
+    extract(tables, feeds, str(out), options)
+    before = state()
+    smaller = FeedTables(**{**vars(tables), "stops": tables.stops.where("stop_id <> 'lone'")})
+    with monkeypatch.context() as patch:  # while the last output is written
+        patch.setattr(extraction, "write_relations_csv", lambda *_: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            extract(smaller, feeds, str(out), options)
+    assert state() == before and not list(out.glob(".staging*"))
+
+    with monkeypatch.context() as patch:  # while folders are put in place
+        real, calls = publishing.file_system, []
+
+        class Failing:
+            def __init__(self, system):
+                self.system = system
+
+            def __getattr__(self, name):
+                return getattr(self.system, name)
+
+            def rename(self, source, target):
+                calls.append(source)
+                return len(calls) < 3 and self.system.rename(source, target)
+
+        patch.setattr(publishing, "file_system", lambda *a: (Failing(real(*a)[0]), real(*a)[1]))
+        patch.setattr(publishing, "THREADS", 1)
+        with pytest.raises(OSError):
+            extract(smaller, feeds, str(out), options)
+    assert list(out.glob(".staging*"))
+    publishing.finish(spark, str(out))
+    assert not list(out.glob(".staging*"))
+    assert len(features(f"{out}/stops.geojson", "f")) == 4 and len(features(f"{out}/aggregated_routes.geojson", "f")) == 2
+    kept = {(r.feed_id, r.output): r.n_rows for r in spark.read.parquet(f"{out}/manifest").collect()}
+    assert kept["f", "stops"] == 4 and kept["f", "aggregated_csv"] == 4
+    publishing.finish(spark, str(out))  # nothing left to do
 
 
 def test_a_feed_that_lost_its_rows_leaves_no_old_files(spark, tables, tmp_path):

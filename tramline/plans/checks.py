@@ -22,6 +22,7 @@ from tramline.plans.testdata import feed_table, feed_tables, staged_stop_times
 from tramline.schemas import GEOJSON_READ_SCHEMA
 from tramline.session import durable, fresh_path
 from tramline.sinks import geojson
+from tramline.sinks.documents import write_documents
 from tramline.sinks.relations_csv import write_relations_csv
 from tramline.sources import archives, catalog_files, outputs
 
@@ -86,11 +87,20 @@ def feed_ingest_report(spark, sf):
     return archives.ingest_report(records, fetched.select("feed_id", "status"))
 
 
+def _document(spark, rows, groups, name, head, tail):
+    """Write (place, value) as one JSON document per place, as the files are that lists and responses come in."""
+    path = fresh_path(spark, name)
+    folder = F.concat(F.lit("place="), F.col("place"))
+    write_documents(rows.withColumn("place", F.col("place").cast("string")), groups, path, "place", head, tail, f"{name}.json", folder)
+    return f"{path}/*/{name}.json"
+
+
 @query
 def preset_feeds(spark, sf):
-    path = fresh_path(spark, "presets")
-    testdata.given(spark, sf, testdata.PRESET_SQL).write.json(path)
-    return catalog_files.with_label(catalog_files.read_presets(spark, path, multi_line=False))
+    rows = testdata.given(spark, sf, testdata.PRESET_SQL)
+    texts = rows.select(F.lit("0").alias("place"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    path = _document(spark, texts, texts.select("place").distinct(), "presets", "[", "]")
+    return catalog_files.with_label(catalog_files.read_presets(spark, path))
 
 
 @query
@@ -106,11 +116,10 @@ def feed_manifest(spark, sf):
 
 def _entries(spark, sf):
     """Catalogue entries as read from staged responses, one response per 20 suppliers."""
-    path = fresh_path(spark, "responses")
     rows = testdata.given(spark, sf, testdata.CATALOG_SQL)
-    body = F.collect_list(F.struct(*rows.columns)).alias("body")
-    page = F.floor(F.substring("feed_id", 2, 20).cast("bigint") / 20)
-    rows.groupBy(page.alias("page")).agg(body).select("body").write.json(path)
+    page = F.floor(F.substring("feed_id", 2, 20).cast("bigint") / 20).cast("string")
+    texts = durable(rows.select(page.alias("place"), F.to_json(F.struct(*rows.columns)).alias("value")), "entries")
+    path = _document(spark, texts, texts.select("place").distinct(), "response", '{"status": [200], "body": [', "]}")
     return catalog_files.read_catalog(spark, path)
 
 
@@ -481,15 +490,21 @@ def relations_csv_roundtrip(spark, sf):
 
 @query
 def geojson_collections(spark, sf):
-    """Stops by the tens of suppliers as feeds of one collection each, and as many feeds without stops."""
+    """Stops by the tens of suppliers as feeds of one collection each, and as many feeds without stops; read back from files."""
+    path = fresh_path(spark, "collections")
     stops = geometry.read_stops(feed_table(spark, sf, "stops"), feed_table(spark, sf, "stop_times"))
     number = F.length("stop_name") % 20
     stops = durable(stops.withColumn("feed_id", F.concat(F.lit("C"), number.cast("string"))), "collection-stops")
     feeds = spark.range(40).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("feed_id"))
-    found = geojson.collections_of_all(feeds.withColumn("feed_dir", F.col("feed_id")), geojson.stop_feature_rows(stops))
-    parsed = F.from_json("document", GEOJSON_READ_SCHEMA, {"mode": "FAILFAST"})
-    return found.select("feed_id", F.col("n_features").cast("bigint").alias("n_features"),
-                        F.size(parsed["features"]).cast("bigint").alias("n_read"))
+    feeds = durable(feeds.withColumn("feed_dir", F.col("feed_id")), "collection-feeds")
+    geojson.write_collections(geojson.stop_feature_rows(stops), feeds, path)
+    read = outputs.read_collections(spark, path).groupBy("feed_dir").agg(F.count(F.col("properties")["stop_id"]).alias("n_read"))
+    files = spark.read.format("binaryFile").load(path).groupBy("feed_dir").agg(F.count("*").alias("n_files"))
+    counts = stops.groupBy("feed_id").agg(F.count("*").alias("n_features"))
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("bigint")).alias(name)
+    return feeds.join(files.where("n_files = 1"), "feed_dir").join(read, "feed_dir", "left").join(counts, "feed_id", "left").select(
+        "feed_id", zero("n_features"), zero("n_read")
+    )
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -13,10 +14,12 @@ from tramline.fixed_values import OUTPUTS
 from tramline.functions.times import normalize_time, parse_bound, parse_day, time_digits
 from tramline.operators import frequency, geometry, service, styling, unify
 from tramline.schemas import FeedTables
-from tramline.session import durable
-from tramline.sinks import geojson
+from tramline.session import durable, remove
+from tramline.sinks import geojson, publishing
 from tramline.sinks.relations_csv import write_relations_csv
 
+MANIFEST = "manifest"
+
 
 @dataclass(frozen=True)
 class Options:
@@ -115,25 +118,52 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
     """Write the chosen outputs of `feeds(feed_id, dir)` and return the manifest.
 
     Each output is one folder below `output_dir` with a folder per feed. The manifest has a row per feed and output; its
-    path is the folder as it is written, or '' with 0 rows where the output was not asked for or has nothing.
+    path is the folder as it is written, or '' with 0 rows where the output was not asked for or has nothing. It is
+    also written to `output_dir`/manifest.
+
+    Everything is written aside and put in place at the end, so a run that fails leaves the earlier outputs whole.
+    Folders of other feeds, and outputs not asked for, stay.
     """
     spark = feeds.sparkSession
+    publishing.finish(spark, output_dir)
     feeds = durable(feeds.select("feed_id", F.col("dir").alias("feed_dir")).distinct(), "feeds")
+    run = uuid.uuid4().hex
+    staged = publishing.staging_folder(output_dir, run)
+    try:
+        counts = _write_outputs(tables, feeds, staged, options)
+        manifest = durable(output_manifest(feeds, counts, output_dir, options), "manifest")
+        manifest.write.parquet(f"{staged}/{MANIFEST}")
+        publishing.publish(_places(feeds, manifest, options), output_dir, run)
+    except BaseException:
+        if not publishing.is_ready(spark, staged):
+            remove(spark, staged)
+        raise
+    return manifest
+
+
+def _places(feeds: DataFrame, manifest: DataFrame, options: Options) -> DataFrame:
+    """What the run puts in place of earlier folders: the outputs it was asked for, then the manifest."""
+    asked = [n for n in OUTPUTS if (options.simple if n in ("routes", "stops") else options.aggregate)]
+    files = F.create_map(*[F.lit(x) for n in asked for x in (n, OUTPUTS[n])])
+    folder = F.concat(F.lit("/feed_dir="), geojson.folder_name(F.col("feed_dir")))
+    outputs = manifest.where(F.col("output").isin(asked)).join(feeds, "feed_id").select(
+        F.concat(files[F.col("output")], folder).alias("place"), F.lit(0).alias("step"), (F.col("path") != "").alias("keep")
+    )
+    last = feeds.sparkSession.range(1).select(F.lit(MANIFEST).alias("place"), F.lit(1).alias("step"), F.lit(True).alias("keep"))
+    return outputs.groupBy("place", "step").agg(F.max("keep").alias("keep")).unionByName(last)
+
+
+def _write_outputs(tables: FeedTables, feeds: DataFrame, folder: str, options: Options) -> DataFrame:
+    """Write the chosen outputs below `folder`; (feed_id, n_rows, output) of those that have rows."""
+    spark = feeds.sparkSession
     counts = []
 
     def write_geojson(output: str, features: DataFrame) -> None:
         features = durable(features, output)
-        path = f"{output_dir}/{OUTPUTS[output]}"
-        if options.as_collections:
-            geojson.write_collections(geojson.collections_of_all(feeds, features), path)
-        else:
-            geojson.write_features(features, feeds, path)
-            clear(features, path)
+        write = geojson.write_collections if options.as_collections else geojson.write_features
+        write(features, feeds, f"{folder}/{OUTPUTS[output]}")
         note(output, features)
 
-    def clear(rows: DataFrame, path: str) -> None:
-        geojson.clear_folders(feeds.join(rows.select("feed_id").distinct(), "feed_id", "left_anti"), path)
-
     def note(output: str, rows: DataFrame) -> None:
         counts.append(rows.groupBy("feed_id").agg(F.count("*").alias("n_rows")).withColumn("output", F.lit(output)))
 
@@ -153,11 +183,10 @@ def extract(tables: FeedTables, feeds: DataFrame, output_dir: str, options: Opti
         served = styling.stop_style(aggregator.read_interpolated_stops(), scale=options.scale_stop_size)
         write_geojson("aggregated_stops", geojson.unified_stop_feature_rows(served))
         relations = durable(aggregator.read_stop_relations(), "aggregated_csv")
-        write_relations_csv(relations.join(feeds, "feed_id"), f"{output_dir}/{OUTPUTS['aggregated_csv']}")
-        clear(relations, f"{output_dir}/{OUTPUTS['aggregated_csv']}")
+        write_relations_csv(relations.join(feeds, "feed_id"), f"{folder}/{OUTPUTS['aggregated_csv']}")
         note("aggregated_csv", relations)
 
-    return output_manifest(feeds, reduce(DataFrame.unionByName, counts), output_dir, options)
+    return reduce(DataFrame.unionByName, counts)
 
 
 def output_manifest(feeds: DataFrame, counts: DataFrame, output_dir: str, options: Options) -> DataFrame:

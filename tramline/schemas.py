@@ -82,7 +82,7 @@ class FeedTables:
 PRESET_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("country", "region", "name", "url")])
 
 # GeoJSON as read back: coordinates stay JSON text, since their depth depends on the type.
-_FEATURE = T.StructType(
+FEATURE_SCHEMA = T.StructType(
     [
         T.StructField("type", T.StringType()),
         T.StructField(
@@ -93,7 +93,7 @@ _FEATURE = T.StructType(
     ]
 )
 # A text is a feature by itself or a collection of features.
-GEOJSON_READ_SCHEMA = T.StructType([*_FEATURE.fields, T.StructField("features", T.ArrayType(_FEATURE))])
+GEOJSON_READ_SCHEMA = T.StructType([*FEATURE_SCHEMA.fields, T.StructField("features", T.ArrayType(FEATURE_SCHEMA))])
 
 RELATION_SCHEMA = T.StructType(
     [

@@ -62,10 +62,21 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return written
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in Hadoop's form."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all that is in it, if it is there."""
+    system, folder = file_system(spark, path)
+    system.delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table behind a `durable` result that nothing reads any more, such as an earlier round's."""
     path = getattr(df, "durable_path", None)
     if path:
-        context = df.sparkSession.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(df.sparkSession, path)

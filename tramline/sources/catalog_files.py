@@ -9,23 +9,20 @@ from pyspark.sql import types as T
 from tramline.fixed_values import CATALOG_COLUMNS, PRESET_FEEDS
 from tramline.functions.text import feed_label
 from tramline.schemas import PRESET_SCHEMA
+from tramline.sources.json_arrays import read_array
 
 # Prefecture names come from the fixed list, not from the response.
 RESPONSE_KEYS = [key for _, key, _ in CATALOG_COLUMNS if key != "feed_pref"]
 
-RESPONSE_SCHEMA = T.StructType(
-    [
-        T.StructField(
-            "body",
-            T.ArrayType(T.StructType([T.StructField(key, T.StringType()) for key in RESPONSE_KEYS])),
-        )
-    ]
-)
+ENTRY_SCHEMA = T.StructType([T.StructField(key, T.StringType()) for key in RESPONSE_KEYS])
+RESPONSE_SCHEMA = T.StructType([T.StructField("body", T.ArrayType(ENTRY_SCHEMA))])
 
 
 def read_presets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Preset list: one JSON array per file, or with `multi_line=False` one object per line."""
-    return spark.read.schema(PRESET_SCHEMA).json(path, multiLine=multi_line, mode="FAILFAST")
+    """Preset list: one JSON array per file, of any size, or with `multi_line=False` one object per line."""
+    if multi_line:
+        return read_array(spark, path, PRESET_SCHEMA).select("element.*")
+    return spark.read.schema(PRESET_SCHEMA).json(path, mode="FAILFAST")
 
 
 def builtin_presets(spark: SparkSession) -> DataFrame:
@@ -36,14 +33,14 @@ def with_label(presets: DataFrame) -> DataFrame:
     return presets.withColumn("label", feed_label(F.col("country"), F.col("region"), F.col("name")))
 
 
-def read_catalog(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Entries of staged catalogue responses, one response per line (or per file).
+def read_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Entries of staged catalogue responses: one response per file, of any size, or with `multi_line=False` per line.
 
     A response without `body` has no entries; a text that is no JSON is an error.
     """
-    responses = spark.read.schema(RESPONSE_SCHEMA).json(path, multiLine=multi_line, mode="FAILFAST")
-    return (
-        responses.select(F.explode("body").alias("entry"))
-        .select("entry.*")
-        .withColumn("feed_pref_id", F.col("feed_pref_id").try_cast("int"))
-    )
+    if multi_line:
+        entries = read_array(spark, path, ENTRY_SCHEMA, "body").select("element.*")
+    else:
+        responses = spark.read.schema(RESPONSE_SCHEMA).json(path, mode="FAILFAST")
+        entries = responses.select(F.explode("body").alias("entry")).select("entry.*")
+    return entries.withColumn("feed_pref_id", F.col("feed_pref_id").try_cast("int"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.schemas import GEOJSON_READ_SCHEMA, RELATION_SCHEMA
+from tramline.schemas import FEATURE_SCHEMA, GEOJSON_READ_SCHEMA, RELATION_SCHEMA
+from tramline.sources.json_arrays import read_array
 
 
 def features_of(texts: DataFrame) -> DataFrame:
@@ -26,6 +27,17 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return features_of(spark.read.schema(GEOJSON_READ_SCHEMA).json(path, mode="FAILFAST"))
 
 
+def read_collections(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Features of documents that are one feature collection each, of any size, with the folder's `feed_dir`."""
+    found = read_array(spark, path, FEATURE_SCHEMA, "features")
+    return found.select(
+        F.regexp_extract("path", "/feed_dir=([^/]*)/[^/]*$", 1).alias("feed_dir"),
+        F.col("element.properties").alias("properties"),
+        F.col("element.geometry.type").alias("geometry_type"),
+        F.col("element.geometry.coordinates").alias("coordinates"),
+    )
+
+
 def read_relations_csv(spark: SparkSession, path: str) -> DataFrame:
     """Stop relation tables below `path`, always as UTF-8."""
     return spark.read.schema(RELATION_SCHEMA).csv(
