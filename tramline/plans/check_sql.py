@@ -437,4 +437,65 @@ STATEMENTS: dict[str, str] = {
         raw=testdata.MANY_SQL,
     ),
 }
+# The archives that have every required table, each a feed of its own.
+PACKED = {
+    name: f"select * from ({testdata.ARCHIVE_SQL[table]}) where feed_no % 5 = 0"
+    for name, table in (("packed_stops", "stops"), ("packed_trips", "trips"), ("packed_calls", "stop_times"))
+}
+PACKED |= {
+    "packed_prefix": """
+        select feed_no, stop_id, min(stop_id) over (partition by feed_no, prefix) as similar_stop_id
+        from (select *, array_to_string(list_slice(string_split(stop_id, '_'), 1, -2), '_') as prefix from packed_stops)
+        qualify count(*) over (partition by feed_no, prefix) > 1""",
+    "packed_rest": """
+        select feed_no, stop_id, stop_name, cast(stop_lon as double) as lon, cast(stop_lat as double) as lat
+        from packed_stops anti join packed_prefix using (feed_no, stop_id)""",
+    "packed_edges": f"""
+        select feed_no, a.stop_id as x, b.stop_id as y from packed_rest a join packed_rest b using (feed_no, stop_name)
+        where (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= {LIMIT}""",
+    "packed_reach(feed_no, x, y)": """
+        select feed_no, x, y from packed_edges
+        union select r.feed_no, r.x, e.y from packed_reach r join packed_edges e on e.feed_no = r.feed_no and e.x = r.y""",
+    "packed_relation": """
+        select * from packed_prefix
+        union all select feed_no, x, min(y) from packed_reach group by feed_no, x""",
+    "packed_order": """
+        select feed_no, trip_id, stop_id, cast(stop_sequence as int) as place,
+               lead(stop_id) over (partition by feed_no, trip_id order by cast(stop_sequence as int)) as next_id
+        from packed_calls""",
+}
+
+STATEMENTS["archives_to_outputs"] = _statement(
+    """select 'Z' || f.feed_no as feed_id, o.output, coalesce(c.n, 0) as n_rows, coalesce(c.n, 0) as n_read
+       from (select distinct feed_no from packed_trips) f
+       cross join (values ('routes'), ('stops'), ('aggregated_routes'), ('aggregated_stops'), ('aggregated_csv')) o(output)
+       left join (
+         select feed_no, 'routes' as output, count(*) as n from (
+           select distinct t.feed_no, t.route_id, p.pattern from packed_trips t join (
+             select feed_no, trip_id, string_agg(stop_id, ',' order by place) as pattern
+             from packed_order group by feed_no, trip_id having count(*) > 1) p using (feed_no, trip_id))
+         group by feed_no
+         union all select feed_no, 'stops', count(distinct stop_id) from packed_calls group by feed_no
+         union all select feed_no, 'aggregated_csv', count(*) from packed_stops group by feed_no
+         union all select feed_no, 'aggregated_stops', count(distinct similar_stop_id)
+         from packed_calls join packed_relation using (feed_no, stop_id) group by feed_no
+         union all select feed_no, 'aggregated_routes', count(*) from (
+           select distinct o.feed_no, a.similar_stop_id as begin_id, b.similar_stop_id as end_id from packed_order o
+           join packed_relation a on a.feed_no = o.feed_no and a.stop_id = o.stop_id
+           join packed_relation b on b.feed_no = o.feed_no and b.stop_id = o.next_id
+           where a.similar_stop_id <> b.similar_stop_id) group by feed_no
+       ) c on c.feed_no = f.feed_no and c.output = o.output""",
+    PACKED,
+)
+STATEMENTS["geojson_properties"] = _statement(
+    """select 'routes' as output, 'feed_id,route_id,route_name' as properties, count(*) as n_features from route_lines
+       union all select 'stops', 'feed_id,stop_id,stop_name', count(*) from stops
+       union all select 'aggregated_routes', 'feed_id,from_similar_stop_id,from_similar_stop_name,to_similar_stop_id,'
+         || 'to_similar_stop_name,frequency,line_width', count(*) from (
+         select distinct from_stop_id, to_stop_id from segments where from_stop_id <> to_stop_id)
+       union all select 'aggregated_stops', 'feed_id,similar_stop_id,similar_stop_name,count,symbol_size', count(distinct stop_id)
+       from stop_times""",
+    SHAPE_LINES,
+    SEGMENTS,
+)
 STATEMENTS["relations_csv_roundtrip"] = STATEMENTS["stop_relations"].replace(", r.rule\n", ", r.rule, 'dir-F' as feed_dir\n")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tramline.fixed_values import OUTPUTS
 from tramline.functions import times
 from tramline.functions.text import extent_numbers
 from tramline.operators import catalog, frequency, geometry, near, service, styling, unify
@@ -518,3 +519,46 @@ def output_manifest(spark, sf):
     )
     manifest = extract(tables, feeds, path, options)
     return manifest.withColumn("path", F.replace("path", F.lit(path), F.lit("out")))
+
+
+@query
+def archives_to_outputs(spark, sf):
+    """From archive files to collections and tables, all read back: feeds with every required table, by id prefix and name."""
+    base = fresh_path(spark, "run")
+    fetched = testdata.archive_files(spark, sf, f"{base}/feeds")
+    listed = archives.list_archives(spark, f"{base}/feeds/*.zip", fetched.where("path is not null").select("feed_id", "path"))
+    tables = archives.stage_feeds(listed, f"{base}/staged")
+    feeds = tables.agency.select("feed_id", F.col("feed_id").alias("dir")).distinct()
+    options = Options(
+        aggregate=True, ignore_shapes=True, ignore_no_route=True, use_delimiter=True, filter_by_date=False, as_collections=True
+    )
+    manifest = extract(tables, feeds, f"{base}/out", options)
+    table = outputs.read_relations_csv(spark, f"{base}/out/{OUTPUTS['aggregated_csv']}")
+    read = table.select("feed_id", F.lit("aggregated_csv").alias("output"))
+    for output in OUTPUTS:
+        if output != "aggregated_csv":
+            features = outputs.read_collections(spark, f"{base}/out/{OUTPUTS[output]}")
+            read = read.unionByName(features.select(F.col("feed_dir").alias("feed_id"), F.lit(output).alias("output")))
+    read = read.groupBy("feed_id", "output").agg(F.count("*").alias("n_read"))
+    return manifest.join(read, ["feed_id", "output"], "left").select(
+        "feed_id", "output", "n_rows", F.coalesce("n_read", F.lit(0)).alias("n_read")
+    )
+
+
+@query
+def geojson_properties(spark, sf):
+    """Names of the properties that the features of each output have, in their order."""
+    tables = feed_tables(spark, sf)
+    work = Aggregator(tables, no_unify_stops=True)
+    rows = {
+        "routes": geojson.route_feature_rows(_routes(spark, sf, ignore_shapes=False)),
+        "stops": geojson.stop_feature_rows(geometry.read_stops(tables.stops, tables.stop_times)),
+        "aggregated_routes": geojson.path_feature_rows(styling.path_style(work.read_route_frequency())),
+        "aggregated_stops": geojson.unified_stop_feature_rows(styling.stop_style(work.read_interpolated_stops())),
+    }
+    found = None
+    for output, features in rows.items():
+        keys = F.array_join(F.json_object_keys(F.get_json_object("feature", "$.properties")), ",")
+        one = features.groupBy(F.lit(output).alias("output"), keys.alias("properties")).agg(F.count("*").alias("n_features"))
+        found = one if found is None else found.unionByName(one)
+    return found
