@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tramline.operators import near, unify
 from tramline.operators.components import connected_components
 
@@ -207,6 +209,41 @@ def test_nested_parents_and_circles(spark):
     assert got == {s: "e" for s in "abcde"}
 
 
+def test_circles_end_the_search_for_tops_at_once(spark, monkeypatch):
+    written, real = [], unify.durable_counted
+    monkeypatch.setattr(unify, "durable_counted", lambda *a, **k: written.append(1) or real(*a, **k))
+    circle = [(f"c{i}", "n", 0.0, 0.0, f"c{(i + 1) % 4}") for i in range(4)] + [("tail", "n", 0.0, 0.0, "c0")]
+    assert unify.parent_matches(stops_of(spark, circle)).collect() == [] and len(written) <= 2
+    written.clear()
+    chain = [(f"k{i}", "n", 0.0, 0.0, f"k{i + 1}" if i < 100 else None) for i in range(101)]
+    got = {r.stop_id: r.similar_stop_id for r in unify.parent_matches(stops_of(spark, circle + chain)).collect()}
+    assert got == {f"k{i}": "k100" for i in range(101)} and len(written) <= 9
+
+
+def test_edges_of_a_hub_stay_in_many_tasks(spark, monkeypatch):
+    from tramline.operators import components
+
+    monkeypatch.setattr(components, "HUB", 1000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.range(1, 40_001, 1, 8).selectExpr("id as a", "cast(0 as long) as b")
+        around = edges.groupBy("b").agg(F.min("a").alias("smallest"), F.count("*").alias("n")).withColumnRenamed("b", "a")
+        turned = edges.selectExpr("b as a", "a as other")
+        met = components._with_smallest(turned, around, 40_000)
+        rows = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows) == 40_000 and max(rows) <= 2 * 40_000 / 8
+        more = edges.unionByName(spark.createDataFrame([(50_001, 50_000), (50_002, 50_001), (40_000, 50_002)], "a long, b long"))
+        found = connected_components(more)
+        assert found.where("component = 0").count() == found.count() == 40_004
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_components_of_no_edges_and_loops(spark):
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(0, 200)]

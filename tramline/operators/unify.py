@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.operators.near import near_groups
-from tramline.session import durable
+from tramline.session import durable, durable_counted
 
 STOP = ["feed_id", "stop_id"]
 
@@ -29,18 +31,24 @@ def parent_matches(stops: DataFrame) -> DataFrame:
     )
     above = valid.selectExpr("feed_id", "above as stop_id", "above").distinct()
     tops = above.join(valid.where("stop_id <> above"), STOP, "left_anti")
-    up = durable(valid.where("stop_id <> above").unionByName(tops), "parents")
-    # Every round doubles the number of levels that are passed; usually there is one and the first look ends it.
-    for _ in range(20):
-        over = up.where("stop_id <> above").selectExpr("feed_id", "stop_id as above", "above as top")
-        if up.join(over, ["feed_id", "above"], "left_semi").isEmpty():
+    top = tops.select(*STOP).withColumn("at_top", F.lit(True))
+    first = valid.where("stop_id <> above").join(top.withColumnRenamed("stop_id", "above"), ["feed_id", "above"], "left")
+    first = first.select(*STOP, "above", F.coalesce("at_top", F.lit(False)).alias("at_top"))
+    arrived = F.count_if("at_top")
+    up, seen = durable_counted(first, "parents", arrived=arrived, on_the_way=F.count_if(~F.col("at_top")))
+    done = [up.where("at_top")]
+    # A round doubles the levels that are passed. Whoever has a top above has a stop on the way that arrives in the next
+    # round, so a round in which nobody arrives leaves circles only.
+    while seen["on_the_way"]:
+        way = up.where("not at_top")
+        known = reduce(DataFrame.unionByName, done, way).select("feed_id", F.col("stop_id").alias("above"), F.col("above").alias("over"), "at_top")
+        further = way.drop("at_top").join(known, ["feed_id", "above"]).select(*STOP, F.col("over").alias("above"), "at_top")
+        up, seen = durable_counted(further, "parents", arrived=arrived, on_the_way=F.count_if(~F.col("at_top")))
+        done.append(up.where("at_top"))
+        if not seen["arrived"]:
             break
-        up = durable(
-            up.join(over, ["feed_id", "above"], "left").selectExpr(*STOP, "coalesce(top, above) as above"), "parents"
-        )
-    return up.join(tops.select("feed_id", "above"), ["feed_id", "above"], "left_semi").selectExpr(
-        *STOP, "above as similar_stop_id"
-    )
+    found = reduce(DataFrame.unionByName, done).select(*STOP, F.col("above").alias("similar_stop_id"))
+    return found.unionByName(tops.select(*STOP, F.col("above").alias("similar_stop_id")))
 
 
 def id_prefix(stop_id: Column, delimiter: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -62,6 +62,13 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return written
 
 
+def durable_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """`durable`, with aggregates over the rows that the same pass takes."""
+    seen = Observation()
+    written = durable(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name)
+    return written, dict(seen.get)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path in Hadoop's form."""
     context = spark.sparkContext
