@@ -67,7 +67,9 @@ def test_report_and_required_tables(spark, folder, way):
     fetched = packed.selectExpr("feed_id", "200 as status").unionByName(
         spark.createDataFrame([("gone", 404), ("empty", 200)], "feed_id string, status int")
     ).distinct()
-    report = {r.feed_id: r.outcome for r in archives.ingest_report(records, fetched).collect()}
+    found = {r.feed_id: r for r in archives.ingest_report(records, fetched).collect()}
+    report = {k: r.outcome for k, r in found.items()}
+    assert (found["full"].n_rows, found["full"].n_rejected, found["broken"].n_rows, found["gone"].n_rejected) == (10, 1, 0, 0)
     assert report == {
         "full": "ok",
         "other": "ok",
@@ -93,6 +95,11 @@ def test_staged_tables(spark, folder, tmp_path, way):
     again = archives.staged_feeds(spark, str(tmp_path / "staged"))
     assert again.stop_times.schema == tables.stop_times.schema
     assert again.calendar.count() == 0 and "monday" in again.calendar.columns
+    rejected = spark.read.parquet(str(tmp_path / "staged" / "rejected")).collect()
+    assert {(r.feed_id, r.gtfs_table, r.column, r.n_rejected) for r in rejected} == {
+        (f, "stops", "stop_lat", 1) for f in ("full", "other", "partial")}
+    complete = spark.read.parquet(str(tmp_path / "complete" / "rejected"))
+    assert {r.feed_id for r in complete.collect()} == {"full", "other"}
 
 
 def test_an_archive_larger_than_a_chunk(spark, monkeypatch):
@@ -176,3 +183,45 @@ def test_files_are_there_as_a_whole_or_not_at_all(tmp_path):
     with open_file(f"file:{target}") as file:
         assert file.read() == b"abc"
     assert [f.name for f in (tmp_path / "sub").iterdir()] == ["x.bin"]
+
+
+def test_a_search_in_a_box_skips_stops_along_the_curve(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    stops = spark.range(200_000).select(
+        F.concat(F.lit("f"), F.col("id") % 50).alias("feed_id"), F.col("id").cast("string").alias("stop_id"),
+        (F.lit(130.0) + (F.col("id") * 7919 % 100_003) / 10_000.0).alias("stop_lon"),
+        (F.lit(30.0) + (F.col("id") * 104_729 % 99_991) / 10_000.0).alias("stop_lat"),
+    )
+    small = archives.STOP_GROUP_BYTES // 16
+    stops.repartitionByRange("feed_id", "stop_id").sortWithinPartitions("feed_id", "stop_id").write.option(
+        "parquet.block.size", small).parquet(str(tmp_path / "by_feed"))
+    archives.in_staged_order(stops, "stops").write.option("parquet.block.size", small).parquet(str(tmp_path / "by_place"))
+    read, found = {}, {}
+    for name in ("by_feed", "by_place"):
+        box = spark.read.parquet(str(tmp_path / name)).where("stop_lon between 133 and 133.2 and stop_lat between 35 and 35.2")
+        found[name] = {r.stop_id for r in box.select("stop_id").collect()}
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = box.select("stop_id")
+        plan.collect()
+        scan = plan._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        read[name] = scan.metrics().apply("numOutputRows").value()
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found["by_feed"] == found["by_place"] and found["by_feed"]
+    print(read)
+    assert read["by_place"] * 5 < read["by_feed"]
+
+
+def test_places_on_the_curve(spark):
+    from pyspark.sql import functions as F
+
+    from tramline.functions.curve import place_on_curve
+
+    rows = [(-180.0, -90.0), (180.0, 90.0), (139.7, 35.6), (139.7001, 35.6001), (None, 1.0), (float("nan"), 1.0), (500.0, -500.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double, y double").select(place_on_curve(F.col("x"), F.col("y"))).collect()]
+
+    def plainly(lon, lat):
+        x, y = (min(65535, max(0, int((v + h) / (2 * h) * 65536 // 1))) for v, h in ((lon, 180), (lat, 90)))
+        return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(16))
+
+    assert got == [None if x is None or x != x else plainly(x, y) for x, y in rows]

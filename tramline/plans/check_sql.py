@@ -188,27 +188,20 @@ def _statement(body: str, *ctes: dict[str, str], raw: dict[str, str] | None = No
     return testdata.for_duckdb(text)
 
 
+ARCHIVE_ROWS = [
+    _archive_rows("agency", ["agency_id", "agency_name"]),
+    _archive_rows("stops", ["stop_id", "stop_name", "stop_lat", "stop_lon", "''", "''"]),
+    _archive_rows("routes", ["route_id", "agency_id", "route_short_name", "route_long_name", "route_type"]),
+    _archive_rows("trips", ["route_id", "service_id", "trip_id", "''"]),
+    _archive_rows("stop_times", ["trip_id", "stop_id", "stop_sequence", "''", "departure_time"]),
+    _archive_rows("calendar", ["service_id", "monday", *["''"] * 5, "sunday", "start_date", "end_date"]),
+]
+
 NO_DELIMITER, MIXED = _relation(""), _relation(MIXED_DELIMITER)
 
 STATEMENTS: dict[str, str] = {
     # sources
-    "feed_scan": _statement(
-        " union all ".join(
-            [
-                _archive_rows("agency", ["agency_id", "agency_name"]),
-                _archive_rows("stops", ["stop_id", "stop_name", "stop_lat", "stop_lon", "''", "''"]),
-                _archive_rows(
-                    "routes", ["route_id", "agency_id", "route_short_name", "route_long_name", "route_type"]
-                ),
-                _archive_rows("trips", ["route_id", "service_id", "trip_id", "''"]),
-                _archive_rows("stop_times", ["trip_id", "stop_id", "stop_sequence", "''", "departure_time"]),
-                _archive_rows(
-                    "calendar",
-                    ["service_id", "monday", *["''"] * 5, "sunday", "start_date", "end_date"],
-                ),
-            ]
-        )
-    ),
+    "feed_scan": _statement(" union all ".join(ARCHIVE_ROWS)),
     "feed_required_tables": _statement(
         """select 'Z' || feed_no as feed_id,
                   case feed_no % 5 when 1 then 'trips' when 3 then 'calendar' else '' end as missing,
@@ -218,10 +211,15 @@ STATEMENTS: dict[str, str] = {
            where feed_no % 5 not in (2, 4)"""
     ),
     "feed_ingest_report": _statement(
-        """select 'Z' || feed_no as feed_id, case when feed_no % 5 = 4 then 404 else 200 end as status,
-                  case feed_no % 5 when 4 then 'not fetched' when 2 then 'unreadable' else 'ok' end as outcome
-           from (select distinct cast(floor(o_orderkey / 250) as int) as feed_no
-                 from orders join customer on o_custkey = c_custkey)"""
+        f"""select 'Z' || feed_no as feed_id, case when feed_no % 5 = 4 then 404 else 200 end as status,
+                   case feed_no % 5 when 4 then 'not fetched' when 2 then 'unreadable' else 'ok' end as outcome,
+                   coalesce(r.n_rows, 0) as n_rows, cast(coalesce(r.n_rejected, 0) as bigint) as n_rejected
+            from (select distinct cast(floor(o_orderkey / 250) as int) as feed_no
+                  from orders join customer on o_custkey = c_custkey) f
+            left join (
+              select feed_id, count(*) as n_rows,
+                     count(*) filter (where gtfs_table = 'routes' and record like '%|bus') as n_rejected
+              from ({" union all ".join(ARCHIVE_ROWS)}) group by feed_id) r on r.feed_id = 'Z' || f.feed_no"""
     ),
     "preset_feeds": _statement(
         "select *, '[' || country || '][' || region || ']' || name as label from presets",

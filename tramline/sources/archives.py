@@ -13,14 +13,16 @@ import io
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import csv as arrow_csv
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.functions.curve import place_on_curve
 from tramline.functions.text import base_name
 from tramline.functions.times import time_to_secs
 from tramline.schemas import CALENDAR_TABLES, FEED_COLUMNS, REQUIRED_TABLES, FeedTables
@@ -34,6 +36,8 @@ ENTRY_BYTES = 64 << 20  # of tables for a task, on average
 RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, report string"
 ENTRY_SCHEMA = "feed_id string, path string, gtfs_table string, size long, report string"
 
+REJECTED_SCHEMA = "feed_id string, gtfs_table string, `column` string, n_rejected long"
+
 PRESENT = "present"
 UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, csv.Error)
 
@@ -246,19 +250,29 @@ def _reports(records: DataFrame) -> DataFrame:
 
 
 def ingest_report(records: DataFrame, fetched: DataFrame) -> DataFrame:
-    """One row per feed of `fetched(feed_id, status)`: whether it can be used, and why not.
+    """One row per feed of `fetched(feed_id, status)`: whether it can be used and why not, its rows and the values lost.
 
     A feed that was not fetched, or whose archive is unreadable or holds no feed table (Spark
-    skips empty files altogether), is skipped; the others go on.
+    skips empty files altogether), is skipped; the others go on. `n_rejected` counts values that do not fit their
+    column and are null from here on; feeds that are skipped have 0 rows and values.
     """
     seen = _reports(records).groupBy("feed_id").agg(F.max((F.col("report") != PRESENT).cast("int")).alias("broken"))
-    return fetched.join(seen, "feed_id", "left").select(
-        "feed_id",
-        "status",
+    rows = (
+        records.where(F.col("report").isNull())
+        .groupBy("feed_id")
+        .agg(F.count("*").alias("n_rows"), F.sum(_rejected_in_row()).alias("n_rejected"))
+    )
+    outcome = (
         F.when(F.col("status") != 200, F.lit("not fetched"))
         .when(F.col("broken").isNull() | (F.col("broken") == 1), F.lit("unreadable"))
         .otherwise(F.lit("ok"))
-        .alias("outcome"),
+    )
+    used = lambda name: F.when(F.col("outcome") == "ok", F.coalesce(name, F.lit(0))).otherwise(0).cast("long").alias(name)
+    return (
+        fetched.join(seen, "feed_id", "left")
+        .withColumn("outcome", outcome)
+        .join(rows, "feed_id", "left")
+        .select("feed_id", "status", "outcome", used("n_rows"), used("n_rejected"))
     )
 
 
@@ -299,12 +313,43 @@ def _typed(value: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-def table_from_records(records: DataFrame, table: str) -> DataFrame:
+def _rejects(table: str) -> list[tuple[str, Column]]:
+    """For each column of a table that is no text: whether a record has a value there that does not fit."""
+    found = []
+    for i, (name, kind) in enumerate(FEED_COLUMNS[table]):
+        if kind != "string":
+            value = F.get("fields", F.lit(i))
+            found.append((name, (F.trim(value) != "") & _typed(value, kind).isNull()))
+    return found
+
+
+def _rejected_in_row() -> Column:
+    """Number of values of a record that do not fit their columns."""
+    of_table = F.lit(0)
+    for table in FEED_COLUMNS:
+        of_row = reduce(lambda n, flag: n + F.coalesce(flag.cast("int"), F.lit(0)), [f for _, f in _rejects(table)], F.lit(0))
+        of_table = F.when(F.col("gtfs_table") == table, of_row).otherwise(of_table)
+    return of_table
+
+
+def rejected_values(records: DataFrame, tables: Iterable[str] = FEED_COLUMNS) -> DataFrame:
+    """(feed_id, gtfs_table, column, n_rejected) where a feed has values that do not fit."""
+    parts = []
+    for table in tables:
+        flags = _rejects(table)
+        if flags:
+            own = records.where((F.col("gtfs_table") == table) & F.col("report").isNull())
+            counted = own.groupBy("feed_id", "gtfs_table").agg(*[F.count_if(flag).alias(name) for name, flag in flags])
+            parts.append(counted.unpivot(["feed_id", "gtfs_table"], [n for n, _ in flags], "column", "n_rejected").where("n_rejected > 0"))
+    return reduce(DataFrame.unionByName, parts) if parts else records.sparkSession.createDataFrame([], REJECTED_SCHEMA)
+
+
+def table_from_records(records: DataFrame, table: str, keep: Iterable[str] = ()) -> DataFrame:
     """One feed table with its types; a value that does not fit its type is null, and so is ''."""
     typed = [
         _typed(F.get("fields", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(FEED_COLUMNS[table])
     ]
-    rows = records.where((F.col("gtfs_table") == table) & F.col("report").isNull()).select("feed_id", *typed)
+    rows = records.where((F.col("gtfs_table") == table) & F.col("report").isNull()).select("feed_id", *typed, *keep)
     if table == "stop_times":
         rows = rows.withColumn("departure_secs", time_to_secs(F.col("departure_time")))
     return rows
@@ -313,9 +358,10 @@ def table_from_records(records: DataFrame, table: str) -> DataFrame:
 # How staged tables are laid out: rows of one trip, shape or feed lie together, so later
 # groupings combine them before the shuffle and filters skip row groups by their statistics.
 # Range boundaries are sampled over all the listed columns, so one huge feed still spreads.
+# Stops lie along a curve through the map, so that a search in a box reads the row groups around it.
 STAGED_ORDER = {
     "agency": ["feed_id", "agency_id"],
-    "stops": ["feed_id", "stop_id"],
+    "stops": [place_on_curve, "feed_id", "stop_id"],
     "routes": ["feed_id", "route_id"],
     "trips": ["feed_id", "trip_id"],
     "stop_times": ["feed_id", "trip_id", "stop_sequence"],
@@ -323,6 +369,7 @@ STAGED_ORDER = {
     "calendar_dates": ["feed_id", "date", "service_id"],
     "shapes": ["feed_id", "shape_id", "shape_pt_sequence"],
 }
+STOP_GROUP_BYTES = 1 << 20  # of a row group of stops: small, as they are what a box skips
 
 
 def complete_records(records: DataFrame) -> DataFrame:
@@ -331,23 +378,36 @@ def complete_records(records: DataFrame) -> DataFrame:
     return records.join(complete, "feed_id", "left_semi")
 
 
+def in_staged_order(rows: DataFrame, table: str) -> DataFrame:
+    """Rows of a table ranged and sorted as they are staged."""
+    order = [c(F.col("stop_lon"), F.col("stop_lat")) if callable(c) else F.col(c) for c in STAGED_ORDER[table]]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def stage_feeds(archives: DataFrame, folder: str, only_complete: bool = True) -> FeedTables:
     """Read archives once and write the feed tables as Parquet below `folder`.
 
-    Feeds that lack a required table are left out unless `only_complete` is off.
+    Feeds that lack a required table are left out unless `only_complete` is off. `folder`/rejected says how many
+    values of each feed, table and column did not fit. The pass that writes a table counts them; only
+    tables that have any are looked through by feed.
     """
     # one folder per table, so that each of the reads below touches its own rows only
     records = usable_records(durable(scan_archives(archives), "records", partition_by="gtfs_table"))
     if only_complete:
         records = complete_records(records)
-    for table, order in STAGED_ORDER.items():
-        (
-            table_from_records(records, table)
-            .repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .write.mode("overwrite")
-            .parquet(f"{folder}/{table}")
-        )
+    damaged = []
+    for table in STAGED_ORDER:
+        # Flags go through the shuffle as one number: what is counted before it is counted twice, by its sampling.
+        flags = [F.when(flag, 1 << i).otherwise(0) for i, (_, flag) in enumerate(_rejects(table))]
+        odd = reduce(lambda a, b: a.bitwiseOR(b), flags, F.lit(0))
+        seen = Observation()
+        rows = table_from_records(records.withColumn("odd", odd), table, keep=["odd"])
+        writer = in_staged_order(rows, table).observe(seen, F.count_if(F.col("odd") > 0).alias("n")).drop("odd").write.mode("overwrite")
+        if table == "stops":
+            writer = writer.option("parquet.block.size", STOP_GROUP_BYTES)
+        writer.parquet(f"{folder}/{table}")
+        damaged += [table] if seen.get["n"] else []
+    rejected_values(records, damaged).write.mode("overwrite").parquet(f"{folder}/rejected")
     return staged_feeds(archives.sparkSession, folder)
 
 
