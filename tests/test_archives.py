@@ -225,3 +225,26 @@ def test_places_on_the_curve(spark):
         return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(16))
 
     assert got == [None if x is None or x != x else plainly(x, y) for x, y in rows]
+
+
+def test_trips_in_buckets_are_joined_and_followed_without_a_shuffle(spark, folder, tmp_path):
+    from tramline.operators import frequency
+
+    places = {way: archives.stage_feeds(archives.list_archives(spark, str(folder)), str(tmp_path / way), buckets=n)
+              for way, n in (("ranges", None), ("buckets", 8))}
+    for name in ("trips", "stop_times"):
+        a, b = (sorted(map(str, getattr(t, name).collect())) for t in places.values())
+        assert a == b
+    again = archives.staged_feeds(spark, str(tmp_path / "buckets"))
+    spark.sql(f"drop table {archives._table_name(str(tmp_path / 'buckets'), 'trips')}")
+    again = archives.staged_feeds(spark, str(tmp_path / "buckets"))
+    found = {}
+    for way, tables in (("ranges", places["ranges"]), ("buckets", again)):
+        segments = frequency.trip_segments(tables.stop_times)
+        timetable = frequency.trip_stop_times(tables.stop_times, tables.trips, tables.routes, tables.stops)
+        joined = tables.stop_times.hint("merge").join(tables.trips, ["feed_id", "trip_id"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (segments, joined)]
+        found[way] = [sorted(map(str, df.collect())) for df in (segments, timetable, joined.select("trip_id", "stop_id"))], [
+            "Exchange hashpartitioning(feed_id" in p for p in plans]
+    assert found["ranges"][0] == found["buckets"][0]
+    assert found["ranges"][1] == [True, True] and found["buckets"][1] == [False, False]

@@ -9,6 +9,7 @@ own readers open, archives can be read as contents instead (`read_archives`). Ev
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import zipfile
 import zlib
@@ -369,6 +370,8 @@ STAGED_ORDER = {
     "calendar_dates": ["feed_id", "date", "service_id"],
     "shapes": ["feed_id", "shape_id", "shape_pt_sequence"],
 }
+TRIP, BY_TRIP = ["feed_id", "trip_id"], ("trips", "stop_times")
+LAYOUT, LAYOUT_SCHEMA = "layout", "gtfs_table string, buckets int"
 STOP_GROUP_BYTES = 1 << 20  # of a row group of stops: small, as they are what a box skips
 
 
@@ -384,32 +387,64 @@ def in_staged_order(rows: DataFrame, table: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def stage_feeds(archives: DataFrame, folder: str, only_complete: bool = True) -> FeedTables:
+def stage_feeds(archives: DataFrame, folder: str, only_complete: bool = True, buckets: int | None = None) -> FeedTables:
     """Read archives once and write the feed tables as Parquet below `folder`.
 
     Feeds that lack a required table are left out unless `only_complete` is off. `folder`/rejected says how many
     values of each feed, table and column did not fit. The pass that writes a table counts them; only
     tables that have any are looked through by feed.
+
+    With `buckets`, trips and stop times are stored in that many buckets by trip, and whatever joins or groups them by
+    trip needs no shuffle again. A bucket is read by one task, so this suits timetables as they are, of many
+    trips; in ranges, the layout without it, one trip of any length spreads over tasks.
     """
     # one folder per table, so that each of the reads below touches its own rows only
     records = usable_records(durable(scan_archives(archives), "records", partition_by="gtfs_table"))
     if only_complete:
         records = complete_records(records)
-    damaged = []
+    spark = archives.sparkSession
+    damaged, layout = [], []
     for table in STAGED_ORDER:
         # Flags go through the shuffle as one number: what is counted before it is counted twice, by its sampling.
         flags = [F.when(flag, 1 << i).otherwise(0) for i, (_, flag) in enumerate(_rejects(table))]
         odd = reduce(lambda a, b: a.bitwiseOR(b), flags, F.lit(0))
         seen = Observation()
         rows = table_from_records(records.withColumn("odd", odd), table, keep=["odd"])
-        writer = in_staged_order(rows, table).observe(seen, F.count_if(F.col("odd") > 0).alias("n")).drop("odd").write.mode("overwrite")
+        bucketed = buckets is not None and table in BY_TRIP
+        dealt = rows.repartition(buckets, *TRIP) if bucketed else in_staged_order(rows, table)
+        writer = dealt.observe(seen, F.count_if(F.col("odd") > 0).alias("n")).drop("odd").write.mode("overwrite")
         if table == "stops":
             writer = writer.option("parquet.block.size", STOP_GROUP_BYTES)
-        writer.parquet(f"{folder}/{table}")
+        if bucketed:
+            spark.sql(f"drop table if exists {_table_name(folder, table)}")
+            writer = writer.bucketBy(buckets, *TRIP).sortBy(*STAGED_ORDER[table])
+            writer.option("path", f"{folder}/{table}").saveAsTable(_table_name(folder, table))
+            layout.append((table, buckets))
+        else:
+            writer.parquet(f"{folder}/{table}")
         damaged += [table] if seen.get["n"] else []
     rejected_values(records, damaged).write.mode("overwrite").parquet(f"{folder}/rejected")
-    return staged_feeds(archives.sparkSession, folder)
+    spark.createDataFrame(layout, LAYOUT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{LAYOUT}")
+    return staged_feeds(spark, folder)
 
 
 def staged_feeds(spark: SparkSession, folder: str) -> FeedTables:
-    return FeedTables(**{table: spark.read.parquet(f"{folder}/{table}") for table in STAGED_ORDER})
+    """The tables below `folder`. Those in buckets are put into the session's catalog, where Spark keeps that layout."""
+    buckets = {r.gtfs_table: r.buckets for r in spark.read.schema(LAYOUT_SCHEMA).parquet(f"{folder}/{LAYOUT}").collect()}
+    found = {}
+    for table in STAGED_ORDER:
+        found[table] = spark.read.parquet(f"{folder}/{table}")
+        if table in buckets:
+            name = _table_name(folder, table)
+            if not spark.catalog.tableExists(name):
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found[table].schema)
+                spark.sql(
+                    f"create table {name} ({columns}) using parquet clustered by ({', '.join(TRIP)}) "
+                    f"sorted by ({', '.join(STAGED_ORDER[table])}) into {buckets[table]} buckets location '{folder}/{table}'"
+                )
+            found[table] = spark.table(name)
+    return FeedTables(**found)
+
+
+def _table_name(folder: str, table: str) -> str:
+    return f"tramline_{hashlib.md5(folder.encode()).hexdigest()[:16]}_{table}"
