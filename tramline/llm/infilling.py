@@ -171,7 +171,7 @@ def transform(docs: DataFrame, rate: int = 50, spm_rate: int = 80, seed: int = 4
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return words.batched(docs).select("doc_id", "text").mapInArrow(
         fill, f"doc_id {kind}, n long, form string, prefix_chars long, middle_chars long, output string"
     )
 

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,13 +132,15 @@ def _pieces(text: str, seed: int) -> list[str]:
     return cut
 
 
-def _examples(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
+def _examples(rows: list) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Distinct buckets of each example with their shares, so that a long text costs no more than its vocabulary."""
     found, langs = [], []
     for row in rows:
         for piece in _pieces(row.text, abs(int(row.doc_id or 0))):
             x = subwords(letters(piece))
             if len(x):
-                found.append(x)
+                distinct, counts = np.unique(x, return_counts=True)
+                found.append((distinct, (counts / counts.sum()).astype(np.float32)))
                 langs.append(row.lang)
     return found, np.array(langs)
 
@@ -152,10 +153,7 @@ def fit(rows: list, calibration: list, epochs: int = 5, rate: float = 0.5, batch
     if not names:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), known, 1.0, 0.0, 0.0)
     y = np.searchsorted(np.array(names), langs)
-    # Distinct buckets of each example with their shares, so that a long text costs no more than its vocabulary.
-    unique = [np.unique(x, return_counts=True) for x in found]
-    shares = [(c / c.sum()).astype(np.float32) for _, c in unique]
-    buckets = [b for b, _ in unique]
+    buckets, shares = [b for b, _ in found], [s for _, s in found]
     for b in buckets:
         known[b] = 1
     draw = np.random.default_rng(7)
@@ -242,15 +240,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return words.batched(docs).select("doc_id", "text").mapInArrow(
         predict, f"doc_id {kind}, lang_pred string, score double, rejected boolean"
     )
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose language is not rejected, with all their columns."""
-    @F.pandas_udf("boolean")
-    def rejected(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.predict(t)[2] for t in texts], dtype=bool)
 
-    return docs.where(~rejected("text"))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not model.predict(text.as_py())[2] for text in batch.column("text")], pa.bool_()))
+
+    return words.batched(docs).mapInArrow(keep, docs.schema)

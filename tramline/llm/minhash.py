@@ -14,7 +14,8 @@ the first shingles in order of their hashes as buckets besides, and similar ones
 
 Nulls and texts without words have an empty set and are linked with nothing. Equal texts, and texts
 with equal word sequences, collapse before hashing, so a large group of copies is one set. Rows that
-repeat a doc_id get the same row back as often. Columns other than `doc_id` and `text` are not read.
+repeat a doc_id are documents of their own, by their texts; rows without doc_id are linked as others are and
+named after the smallest doc_id they reach, null if there is none. Columns other than `doc_id` and `text` are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm import words
 from tramline.operators.components import connected_components
-from tramline.session import durable
+from tramline.session import durable, durable_counted
 
 SHINGLE, SIMILAR = 5, 75  # words; hundredths
 ROWS, BANDS = 5, 51
@@ -38,6 +39,7 @@ BINS = 256
 PROBES = 64  # looked at together: most texts need no more
 SMALL = 12  # shingles: sets up to here meet by shingles as well
 SIZE_CLASS = 1.03  # ratio of the sizes of a class
+CENTRES, SALTS = 1000, 64  # centres whose pairs are dealt out at most, and over how many keys
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +85,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in words.slices(whole)):
         data, bounds = words.utf8(batch.column("text"))
         starts, ends, first = words.word_spans(data, bounds)
         hashes = words.word_hashes(data, starts, ends)
@@ -104,19 +106,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(same, pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
             ],
-            ["doc_id", "same", "n_shingles", "bands"],
+            ["doc_id", "text_key", "same", "n_shingles", "bands"],
         )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): the key tells texts of one doc_id apart."""
+    return words.batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+ROW_KEY = ["id", "unnamed", "key"]
+
+
+def _row_key(doc_id: Column, text_key: Column) -> list[Column]:
+    """Columns without nulls that tell rows of different ids or texts apart."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("unnamed"), text_key.alias("key")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n_shingles, bands) of each document; `same` is equal for equal word sequences."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sign, "doc_id long, same binary, n_shingles long, bands array<long>"
-    )
+    """(doc_id, text_key, same, n_shingles, bands) of each document; `same` is equal for equal word sequences."""
+    return _keyed(docs).mapInArrow(_sign, "doc_id long, text_key long, same binary, n_shingles long, bands array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +146,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keep = []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            x, y = shingles(left), shingles(right)
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            x, y = shingles(left.as_py()), shingles(right.as_py())
             both = len(x & y)
             keep.append(both > 0 and 100 * both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays(
@@ -141,23 +155,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids that are linked by their full sets."""
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked by their full sets; `pairs` are many for a centre `a`.
+
+    A centre with at least a `CENTRES`-th of all pairs has them dealt over `SALTS` keys, its text with each; there
+    are `CENTRES` such centres at most, so the list of them is bounded.
+    """
+    pairs, seen = durable_counted(pairs, f"{name}-pairs", n=F.count(F.lit(1)))
+    of_centre = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    many = (F.col("n") * CENTRES >= seen["n"]) & (F.col("n") > SALTS)
+    crowded = [r.a for r in of_centre.where(many).collect()] if seen["n"] > SALTS else []
+    dealt = F.col("a").isin(crowded) if crowded else F.lit(False)
+    salt = F.when(dealt, F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    salts = F.when(dealt, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return durable(
+        pairs.withColumn("salt", salt)
+        .join(left.withColumn("salt", F.explode(salts)), ["a", "salt"])
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
         .select("a", "b", "left", "right")
-        .mapInArrow(_verify, "a long, b long")
+        .mapInArrow(_verify, "a long, b long"),
+        name,
     )
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in words.slices(whole)):
         data, bounds = words.utf8(batch.column("text"))
         starts, ends, first = words.word_spans(data, bounds)
         sets = words.shingle_sets(words.word_hashes(data, starts, ends), first, SHINGLE)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "shingles"]
+            [batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]
         )
 
 
@@ -193,32 +221,32 @@ def across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     def shingles_of(ids: DataFrame) -> DataFrame:
         return (
-            texts.join(ids, "doc_id", "left_semi")
-            .mapInArrow(_shingles, "doc_id long, shingles array<long>")
-            .select("doc_id", F.explode("shingles").alias("shingle"))
+            texts.join(ids, "node", "left_semi")
+            .mapInArrow(_shingles, "node long, shingles array<long>")
+            .select("node", F.explode("shingles").alias("shingle"))
         )
 
     own = (
-        shingles_of(members.select("doc_id").distinct())
-        .groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
-        .groupBy("doc_id").agg(F.count("*").alias("n_own"))
+        shingles_of(members.select("node").distinct())
+        .groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        .groupBy("node").agg(F.count("*").alias("n_own"))
     )
-    sized = members.join(own, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
+    sized = members.join(own, "node", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("n_own", F.lit(0)))
     least = members.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
     # The partner that suits best has as many shingles as can be shared, or as few as the bucket offers.
     partner = F.greatest(F.col("least"), F.col("shared"))
     alive = durable(
         _open(sized.join(least, "bucket").where(_can_reach(F.col("shared"), F.col("n_shingles"), partner)), ["bucket"])
-        .select("doc_id", "n_shingles", "shared", "component").distinct(),
+        .select("node", "n_shingles", "shared", "component").distinct(),
         "minhash-alive",
     )
-    rows = shingles_of(alive.select("doc_id"))
+    rows = shingles_of(alive.select("node"))
     rarity = rows.groupBy("shingle").agg(F.count("*").alias("n"))
-    ordered = rows.join(rarity, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    ordered = rows.join(rarity, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
     n = F.col("n_shingles")
     step = math.log(SIZE_CLASS)
     size_class = lambda size: F.floor(F.log(size.cast("double")) / step + 1e-9)
-    whole = ordered.join(alive, "doc_id").withColumn("s", F.transform("s", lambda x: x["shingle"]))
+    whole = ordered.join(alive, "node").withColumn("s", F.transform("s", lambda x: x["shingle"]))
     smallest = F.greatest(F.floor(F.pow(F.lit(SIZE_CLASS), F.col("class")) - 1e-6), F.ceil(n * SIMILAR / 100.0 - 1e-9))
     low = size_class(F.greatest(F.lit(1), F.floor(n * SIMILAR / 100.0)))
     as_small = whole.select("*", size_class(n).alias("class"), F.lit(True).alias("small"))
@@ -227,7 +255,7 @@ def across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
     begun = as_small.unionByName(as_large).withColumn("prefix", F.least(n, F.greatest(prefix, F.lit(1))).cast("int"))
     keyed = begun.select(
         "class", F.explode(F.slice("s", F.lit(1), F.col("prefix"))).alias("shingle"),
-        "doc_id", "n_shingles", "shared", "component", "small",
+        "node", "n_shingles", "shared", "component", "small",
     )
     keyed = durable(_open(keyed, ["class", "shingle"]), "minhash-prefixes")
     # A common shingle is a large group of one component: only the others are paired with it.
@@ -244,63 +272,79 @@ def across_components(members: DataFrame, texts: DataFrame) -> DataFrame:
             (F.col("x.class") == F.col("y.class"))
             & (F.col("x.shingle") == F.col("y.shingle"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.struct("x.n_shingles", "x.doc_id") < F.struct("y.n_shingles", "y.doc_id"))
+            & (F.struct("x.n_shingles", "x.node") < F.struct("y.n_shingles", "y.node"))
             & _can_reach(F.least("x.shared", "y.shared"), F.col("x.n_shingles"), F.col("y.n_shingles")),
-        ).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     return pairs(x.where("not in_main"), y).union(pairs(x.where("in_main"), y.where("not in_main"))).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of `docs(doc_id, text, ...)`."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (same, first) of each group of copies: the first row of its component.
+
+    A first row is (unnamed, doc_id, text_key), least doc_ids first and rows without one last.
+    """
     signed = durable(signatures(docs), "minhash-signed")
-    full = F.col("n_shingles") > 0
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     groups = durable(
-        signed.where(full)
+        signed.where("n_shingles > 0")
         .groupBy("same")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
+        .agg(F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        # Numbered in order of doc_ids, as what others were made of often comes first and is the best centre.
+        .repartitionByRange("first").sortWithinPartitions("first")
+        .withColumn("node", F.monotonically_increasing_id()),  # written once, so it stays
         "minhash-groups",
     )
-    members = groups.where("rep is not null").select(
-        F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("bucket")
-    )
-    stars = members.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    members = groups.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    stars = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     buckets = durable(members.join(stars.select("bucket", "centre"), "bucket"), "minhash-buckets")
+    wanted = groups.join(buckets.select("node").distinct(), "node", "left_semi")
     texts = durable(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.min("text").alias("text")),
+        _keyed(docs).select(*_row_key(F.col("doc_id"), F.col("text_key")), "text")
+        .join(wanted.select("node", *_row_key(F.col("first.doc_id"), F.col("first.text_key"))), ROW_KEY)
+        .groupBy(*ROW_KEY).agg(F.first("node").alias("node"), F.min("text").alias("text"))
+        .select("node", "text"),
         "minhash-texts",
     )
     tried = durable(
-        buckets.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(),
+        buckets.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
         "minhash-stars",
     )
-    links = durable(confirmed(tried, texts), "minhash-links")
+    links = confirmed(tried, texts, "minhash-links")
     found = connected_components(links)
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+    placed = buckets.join(found, "node", "left").select(
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")
     )
-    rest = durable(across_components(placed, texts).join(tried, ["a", "b"], "left_anti"), "minhash-across")
-    more = durable(confirmed(rest, texts), "minhash-more")
+    more = confirmed(across_components(placed, texts).join(tried, ["a", "b"], "left_anti"), texts, "minhash-more")
     if not more.isEmpty():
         found = connected_components(links.union(more))
-    # The smallest doc_id of a component is a representative: it stands for its own group of copies.
-    classes = (
-        groups.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("same", F.coalesce("component", "rep").alias("component_id"))
-    )
+    nodes = groups.select("same", "node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = nodes.groupBy("component").agg(F.min("first").alias("first"))
+    return signed, nodes.select("same", "component").join(firsts, "component").select("same", "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of `docs(doc_id, text, ...)`."""
+    signed, classes = _classes(docs)
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = signed.where(full).join(classes, "same").select("doc_id", "n_shingles", "component_id")
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    grouped = signed.where("n_shingles > 0").join(classes, "same").select(
+        "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id")
+    )
+    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the first of their group of near duplicates.
+    """The rows of `docs` that are the first of their group of near duplicates, with all their columns.
 
-    All columns stay. Of rows that repeat a doc_id, one stays; a null doc_id stays only as an
-    empty text does: with nothing to be linked to.
+    Rows that share a doc_id are documents of their own: one stays if it is the first of its group. Of rows equal in
+    doc_id and text one stays. Rows without words have nothing to be linked to and all stay. Rows without doc_id
+    come last in their group.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    _, classes = _classes(docs)
+    kept = classes.select(*_row_key(F.col("first.doc_id"), F.col("first.text_key"))).distinct()
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), *_row_key(F.col("doc_id").cast("long"), F.xxhash64("text")),
+        words.has_words(F.col("text")).alias("full"),
+    )
+    once = rows.where("full").join(kept, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return once.select("row.*").unionByName(rows.where("not full").select("row.*"))
