@@ -5,14 +5,13 @@ compared with those of the items of that length by multi-index Hamming search (N
 2012): split into RADIUS + 1 blocks, two fingerprints within RADIUS agree on at least one block, so an
 equi-join on blocks finds all of them. The candidates are verified by the exact weighted
 similarity of their five-word shingles (shingles weigh as often as they occur; sum of minima over
-sum of maxima, 0.75 or more). Few similar windows have a greater distance; they meet their item by prefixes
+sum of maxima, 0.75 or more). That finds copies and lightly edited ones; similar windows of a greater distance meet their item by prefixes
 (Xiao et al., WWW 2008): with shingles in one fixed order, similar texts share one near the beginning.
 
 Only windows that can pass that verification are fingerprinted: at least three quarters of the
 item's shingles must be in the window, so windows with fewer shingles of any item *of that length* are left
-out. Membership is looked up in a bitmap of a fixed number of bits over all items' shingles, with and without their item's length; its false positives
-cost work, never results. Bitmap, item lengths and fingerprints come from the benchmark table alone
-and their size is fixed or follows the benchmark, not the documents.
+out. Membership is looked up in a bitmap over all items' shingles, with and without their item's length, whose size follows their number up to
+32 MB; its false positives cost work, never results. Bitmap, item lengths and fingerprints come from the benchmark table alone.
 
 Nulls and texts without words contain nothing, and items of that kind are found nowhere. Documents without a
 doc_id are searched as well and told apart by their texts: equal ones are one, reported with a null doc_id. An item of fewer than five
@@ -34,9 +33,9 @@ from tramline.session import durable
 
 SHINGLE, SIMILAR = 5, 0.75
 HASH_BITS = 128
-RADIUS = 31
-BLOCKS = RADIUS + 1  # of four bits each
-BITMAP_BITS = 1 << 22
+RADIUS = 7
+BLOCKS = RADIUS + 1  # of 16 bits each
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28  # of the bitmap: 32 MB at most
 WORDS_AT_ONCE = 1 << 18  # words whose bits are added up at once: bounds memory only
 
 
@@ -55,8 +54,9 @@ def _own_shingles(hashes: np.ndarray) -> np.ndarray:
     return words.shingle_hashes(hashes, min(SHINGLE, len(hashes))) if len(hashes) else np.zeros(0, np.uint64)
 
 
-def _bit(shingles: np.ndarray) -> np.ndarray:
-    return (shingles % np.uint64(BITMAP_BITS)).astype(np.int64)
+def _bit(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each shingle in a bitmap of `bits`, a power of two."""
+    return (shingles & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _of_length(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bounds = words.utf8(batch.column("text"))
         starts, ends, first = words.word_spans(data, bounds)
         hashes = words.word_hashes(data, starts, ends)
-        ids, lengths, prints, bits, keys = [], [], [], [], []
+        ids, lengths, prints, marks, keys = [], [], [], [], []
         for i, item in enumerate(batch.column("item_id").to_pylist()):
             own = hashes[first[i] : first[i + 1]]
             if item is not None and len(own):
@@ -107,30 +107,35 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(simhash(own[None, :])[0].tobytes())
                 found = _own_shingles(own)
                 keys.append(_prefix(found, int(np.ceil(SIMILAR * len(found)))).view(np.int64))
-                bits.append(np.unique(np.concatenate([_bit(found), _bit(_of_length(found, len(own)))])))
+                marks.append(np.unique(np.concatenate([found, _of_length(found, len(own))])).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-            ["item_id", "item_words", "print", "bits", "keys"],
+            [pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(prints, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+            ["item_id", "item_words", "print", "marks", "keys"],
         )
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
     """One byte per 8 bits, set where any item has a shingle; gathered in buckets of 32,768 bits.
 
-    Spark counts values and buckets from 1.
+    The size follows the items' shingles, so few bits are set at any size up to MOST_BITS; beyond, more windows are
+    looked at than need be. Spark counts values and buckets from 1.
     """
-    bits = items.select(F.explode("bits").alias("bit")).distinct()
-    parts = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(
+    n = items.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).head()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * n).bit_length()))
+    marks = items.select(F.explode("marks").alias("mark"))
+    set_bits = marks.select(F.col("mark").bitwiseAND(F.lit(bits - 1).cast("long")).alias("bit")).distinct()
+    parts = set_bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("part")
     )
-    whole = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
-    for row in parts.collect():  # at most BITMAP_BITS / 8 bytes in all
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # at most MOST_BITS / 8 bytes in all
         at = (row.bucket - 1) * 4096
         whole[at : at + len(row.part)] = np.frombuffer(row.part, np.uint8)
     return whole
 
 
-def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _is_set(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    bits = _bit(shingles, len(bitmap) * 8)
     return bitmap[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1
 
 
@@ -139,7 +144,7 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
     by_size = {k: [n for n in lengths if min(SHINGLE, n) == k] for k in {min(SHINGLE, n) for n in lengths}}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in words.slices(whole)):
             column = batch.column("text")
             data, bounds = words.utf8(column)
             starts, ends, first = words.word_spans(data, bounds)
@@ -147,17 +152,17 @@ def _windows(bitmap: np.ndarray, lengths: list[int]):
             out: list[tuple] = []
             for k, own in by_size.items():
                 shingles = words.shingle_hashes(hashes, k)
-                at_hit = np.flatnonzero(_is_set(bitmap, _bit(shingles)))
+                at_hit = np.flatnonzero(_is_set(bitmap, shingles))
                 # No item of these lengths can be in a document with fewer of its shingles than this.
                 fewest = min(SIMILAR * (n - k + 1) for n in own)
                 begins, stops = np.searchsorted(at_hit, first[:-1]), np.searchsorted(at_hit, first[1:] - k + 1)
                 for i in np.flatnonzero(stops - begins >= fewest).tolist():
                     a, b = int(first[i]), int(first[i + 1])
                     near = at_hit[begins[i] : stops[i]]
-                    doc = batch.column("doc_id")[i].as_py(), batch.column("unnamed")[i].as_py()
+                    doc = batch.column("doc_id")[i].as_py(), batch.column("text_key")[i].as_py()
                     for n in own:
                         need = SIMILAR * (n - k + 1)
-                        hit = near[_is_set(bitmap, _bit(_of_length(shingles[near], n)))]
+                        hit = near[_is_set(bitmap, _of_length(shingles[near], n))]
                         if len(hit) < need:
                             continue
                         if b - a < n:  # too short for a window of n words: the document is the window
@@ -188,7 +193,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays(
         [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
-        ["doc_id", "unnamed", "word_start", "n_words", "item_words", "print", "passage"],
+        ["doc_id", "text_key", "word_start", "n_words", "item_words", "print", "passage"],
     )
 
 
@@ -209,13 +214,29 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(print_: str) -> Column:
-    """(block, value) of each block of a fingerprint: one hexadecimal digit."""
-    return F.posexplode(F.slice(F.split(F.hex(print_), ""), 1, HASH_BITS // 4)).alias("block", "value")
+    """(block, value) of each block of a fingerprint."""
+    width = HASH_BITS // BLOCKS // 8
+    return F.posexplode(F.array(*[F.substring(print_, 1 + i * width, width) for i in range(BLOCKS)])).alias("block", "value")
 
 
-def _unnamed() -> Column:
-    """What tells documents without a doc_id apart."""
-    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.sha2("text", 256)))
+def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_words, passage, item_id, distance) of windows and items of one length that share a block and are near.
+
+    Random fingerprints share one of the eight blocks with a probability of 1 in 8,192, so unlike windows meet few items.
+    """
+    return (
+        windows.select("item_words", F.col("print").alias("seen"), "passage", _blocks("print"))
+        .join(items.select("item_words", "item_id", "print", _blocks("print")), ["item_words", "block", "value"])
+        .withColumn("distance", _distance("seen", "print"))
+        .where(F.col("distance") <= RADIUS)
+        .select("item_words", "passage", "item_id", "distance")
+    )
+
+
+def _text_key() -> Column:
+    """What tells texts of one doc_id apart, and documents without one."""
+    short = F.unhex(F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.sha2("text", 256))).otherwise(short)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,35 +245,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document and item: the most similar window, the first of equals. `n_words` is the
     window's own, less than the item's where the document is shorter.
     """
-    return _found(docs, benchmark).drop("unnamed")
+    return _found(docs, benchmark).drop("text_key")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `leaks` with `unnamed`."""
+    """The rows of `leaks` with `text_key`."""
     items = durable(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-            _item_rows, "item_id long, item_words int, print binary, bits array<long>, keys array<long>"
+            _item_rows, "item_id long, item_words int, print binary, marks array<long>, keys array<long>"
         ),
         "decontamination-items",
     )
     lengths = sorted(r.item_words for r in items.select("item_words").distinct().collect())
     find = _windows(_bitmap(items), lengths)
     windows = durable(
-        docs.where("text is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), _unnamed().alias("unnamed"), "text")
-        .mapInArrow(find, "doc_id long, unnamed binary, word_start long, n_words int, item_words int, print binary, passage string"),
+        words.batched(docs).where("text is not null")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+        .mapInArrow(find, "doc_id long, text_key binary, word_start long, n_words int, item_words int, print binary, passage string"),
         "decontamination-windows",
     )
     # Equal windows of many documents are compared once.
     distinct = windows.select("item_words", "print", "passage").distinct()
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    within = (
-        distinct.select("item_words", F.col("print").alias("seen"), "passage", _blocks("print"))
-        .join(items.select("item_words", "item_id", "print", _blocks("print")), ["item_words", "block", "value"])
-        .withColumn("distance", _distance("seen", "print"))
-        .where(F.col("distance") <= RADIUS)
-        .select("item_words", "passage", "item_id", "distance")
-    )
+    within = within_radius(distinct, items)
     beyond = (
         distinct.mapInArrow(_keyed, "item_words int, print binary, passage string, keys array<long>")
         .select("item_words", F.col("print").alias("seen"), "passage", F.explode("keys").alias("key"))
@@ -273,11 +288,11 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.struct("similarity", -F.col("word_start"), -F.col("distance")),
     )
     return (
-        windows.select("doc_id", "unnamed", "word_start", "n_words", "item_words", "passage")
+        windows.select("doc_id", "text_key", "word_start", "n_words", "item_words", "passage")
         .join(measured, ["item_words", "passage"])
-        .groupBy("doc_id", "unnamed", "item_id")
+        .groupBy("doc_id", "text_key", "item_id")
         .agg(best.alias("best"))
-        .select("doc_id", "unnamed", "item_id", "best.*")
+        .select("doc_id", "text_key", "item_id", "best.*")
     )
 
 
@@ -302,7 +317,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no benchmark item was found, with all their columns."""
-    found = _found(docs, benchmark).select(F.col("doc_id").alias("leaking_id"), F.col("unnamed").alias("leaking_text")).distinct()
-    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_id"))
-    return docs.join(found, same_id & _unnamed().eqNullSafe(F.col("leaking_text")), "left_anti")
+    """The rows of `docs` in which no benchmark item was found, with all their columns.
+
+    Rows that share a doc_id are told apart by their texts.
+    """
+    found = _found(docs, benchmark).select(F.col("doc_id").alias("leaking_id"), F.col("text_key").alias("leaking_text")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"))
+    same = F.col("id").eqNullSafe(F.col("leaking_id")) & F.col("key").eqNullSafe(F.col("leaking_text"))
+    return rows.join(found, same, "left_anti").select("row.*")
