@@ -5,7 +5,7 @@ holds and the excess goes to the others by weight. Inside a source the budget is
 everything plus a remainder below one copy. The remainder is a subset-sum problem over the
 *counts of documents by exact length*: an even part of each length first, then a bounded-knapsack
 dynamic programme for what is left, so the total meets the budget exactly wherever lengths allow.
-Which documents of a length are taken is decided by a seeded hash of doc_id.
+Which documents of a length are taken is decided by a seeded hash of doc_id, or of the text where that is null.
 
 Null texts have size 0, null sources are one source, placed last. Documents of size 0 take nothing.
 Rows that repeat are separate documents. Empty tables give empty results. Other columns are
@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.llm.sampling import salts_for, spread
+
 WEIGHTS = (3.0, 1.0, 2.0)  # repeating over the sources in order of their names
 TOTAL_SHARE = 1.5  # of all words
 MOST_COPIES = 2
-SALTS = 64  # parts into which the documents of one source and length are dealt for ranking
 DP_BUDGET = 1 << 16  # words that the dynamic programme spends; larger remainders are cut down to it first
 
 
@@ -117,14 +118,15 @@ def mix(docs: DataFrame, carry: list[str] | None = None, seed: int = 17) -> Data
     """
     # Key text: never null, and a null source apart from every named one.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    draw = spread(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed))
+    salts = salts_for(docs.count())  # parts into which the documents of one source and length are dealt for ranking
     rows = docs.select(
         F.struct(*(carry or docs.columns)).alias("row"),
         key.alias("key"),
         F.col("source").alias("source"),
         word_count(F.col("text")).alias("size"),
         draw.alias("draw"),
-        F.pmod(F.shiftrightunsigned(draw, 20), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.shiftrightunsigned(draw, 20), F.lit(salts)).cast("int").alias("salt"),
     )
     parts = rows.groupBy("key", "source", "size", "salt").agg(F.count("*").alias("n"))
     hist = parts.groupBy("key", "source", "size").agg(F.sum("n").alias("n"))

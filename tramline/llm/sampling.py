@@ -28,3 +28,16 @@ def bounded_sample(rows: DataFrame, by: str, order: Column, most: int) -> DataFr
     near = rows.join(F.broadcast(counts), by).where(unit < share).drop("n_of_class")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(draw, order))
     return near.withColumn("rank_of_class", rank).where(F.col("rank_of_class") <= most).drop("rank_of_class")
+
+
+LEAST_SALTS, SALT_ROWS = 64, 500_000
+
+
+def salts_for(rows: int) -> int:
+    """Parts into which groups of a table are dealt: one group may hold most rows, and a part of it stays below SALT_ROWS."""
+    return max(LEAST_SALTS, -(-rows // SALT_ROWS))
+
+
+def spread(doc_id: Column, text: Column, *seed: Column) -> Column:
+    """A hash of each document: of its id, and of its text where it has none, so that such rows spread as well."""
+    return F.when(doc_id.isNull(), F.xxhash64(text, F.lit("no id"), *seed)).otherwise(F.xxhash64(doc_id, *seed))

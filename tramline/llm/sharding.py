@@ -6,7 +6,7 @@ rows; runs of equal length are cut from the order. Neighbours on the curve are c
 dimension, so a file holds few languages, sources and sizes, and readers can skip files by any of them.
 
 Only DataFrame functions run on the executors. The global rank comes from counts per cell and
-salt, so no task sorts more than one salt of one cell, and only the 4,096 cell totals meet in one task.
+salt, so no task sorts more than one salt of one cell (the salts follow the number of rows), and only the 4,096 cell totals meet in one task.
 
 Null texts have no bytes; null languages and sources are values of their own. Rows that repeat are
 separate rows with slots of their own. Empty tables give empty results. Other columns are carried
@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.llm.sampling import salts_for, spread
+
 BITS = 4
-SALTS = 64
 SHARDS = 16
 
 
@@ -79,7 +80,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, carry: list[str] | None = None)
         size_of(F.col("text")).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         cell_of(F.col("lang"), F.col("source"), size_of(F.col("text"))).alias("cell"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(spread(F.col("doc_id"), text), F.lit(salts_for(docs.count()))).cast("int").alias("salt"),
     )
     counts = rows.groupBy("cell", "salt").agg(F.count("*").alias("n"))
     cells = counts.groupBy("cell").agg(F.sum("n").alias("n_cell"))
