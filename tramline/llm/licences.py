@@ -1,14 +1,16 @@
 """Licence statements in texts, paragraph by paragraph.
 
-A paragraph (a line) is described by its word 1- to 3-grams; a multinomial logistic regression with a class per
-licence family and one for everything else is trained on variants of known statements and on
-paragraphs of the corpus. Only n-grams of the statements are features, so any other paragraph has
-none. A family's probability below a threshold set on variants held out from training makes the
-paragraph `unknown`; a prediction is confirmed if enough word 3-grams of one of the
-family's statements occur in the paragraph.
+A paragraph is a block of lines up to the next blank one, so a statement may be wrapped. It is described by its word 1- to
+3-grams; a multinomial logistic regression on sparse vectors, with a class per licence family and one for everything else,
+is trained on variants of known statements and names, alone and inside paragraphs of the corpus, and on such paragraphs
+by themselves. Only n-grams of the statements are features, so any other paragraph has
+none. A probability below the family's threshold, set on its wordings that took no part in training, makes the
+paragraph `unknown`; a prediction is confirmed if enough of the longest n-grams of one of the
+family's statements or names occur in the paragraph.
 
 Everything on the executors is DataFrame functions; coefficients come from Spark's own ML estimator.
-A paragraph is looked at if it contains one of the word stems of STEMS, whole texts and all paragraphs otherwise.
+A paragraph is scored if it has a telling word: one that speaks for some family by its learned weight, or is the word
+of a statement or name that does so most.
 
 Null and empty texts have no paragraphs. Rows that repeat are reported each. Without
 documents the result is empty. Columns other than doc_id and text are not read.
@@ -16,14 +18,17 @@ documents the result is empty. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.sampling import bounded_sample
+from tramline.session import durable
 
 # Statements by which works are put under a licence, by family.
 STATEMENTS: dict[str, tuple[str, ...]] = {
@@ -34,6 +39,7 @@ STATEMENTS: dict[str, tuple[str, ...]] = {
     ),
     "MIT": (
         "Released under the MIT License.",
+        "SPDX-License-Identifier: MIT",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ),
@@ -80,7 +86,23 @@ STATEMENTS: dict[str, tuple[str, ...]] = {
         "Copyright. All rights reserved. No part may be reproduced without written permission.",
     ),
 }
-STEMS = ("licen", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "gpl", "permission", "redistribut")
+# Names of the licences of a family, as they stand alone or in phrases.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache-2.0", "Apache License 2.0", "Apache 2.0 license"),
+    "MIT": ("MIT License", "Expat license"),
+    "GPL": ("GPL-3.0", "GPL-2.0", "GPLv2", "GPLv3", "GNU GPL", "GPL-3.0-or-later"),
+    "LGPL": ("LGPL-2.1", "LGPL-3.0", "LGPLv3", "GNU LGPL"),
+    "AGPL": ("AGPL-3.0", "AGPLv3", "GNU AGPL"),
+    "BSD": ("BSD 3-Clause", "BSD-2-Clause", "BSD license"),
+    "MPL": ("MPL-2.0", "Mozilla Public License 2.0"),
+    "CC-BY": ("CC BY 4.0", "CC-BY-3.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "CC-BY-SA-3.0", "Creative Commons BY-SA"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC-BY-NC-3.0", "Creative Commons BY-NC"),
+    "public-domain": ("CC0 1.0", "CC0-1.0", "The Unlicense"),
+    "proprietary": (),
+}
+CARRIERS = ("{}", "Available under {}.", "SPDX-License-Identifier: {}", "Distributed under {}", "License: {}", "Released under the {}.",
+            "Licensed under {}.", "Use is governed by the {}.")
 # Sentences that speak of such things without putting a work under a licence.
 OTHERS = (
     "The driver showed his license to the officer.",
@@ -97,16 +119,21 @@ OTHERS = (
 NONE, UNKNOWN = "none", "unknown"
 GRAMS = 3
 TRAIN_PARAGRAPHS = 1000  # of the corpus at most, as examples of `none`: the bound of the sample
+AROUND = 40  # of them, in which variants are put
 CONFIRMED = 0.6
-CALIBRATION_QUANTILE = 0.02
+CALIBRATION_QUANTILE, MARGIN = 0.02, 0.9
+TELLING = 1.0  # weight for a family, less that for `none`, from which a word gets its paragraph scored
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.\-]+"), lambda w: F.regexp_replace(w, r"[.\-]", "") != "")
+    """Lower-case words; hyphens part them, dots inside stay."""
+    found = F.split(F.lower(text), r"[^\p{L}\p{N}.]+")
+    return F.filter(F.transform(found, lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
 
 
-def _trimmed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
+def words_of(text: str) -> list[str]:
+    """The same for the statements, on the driver."""
+    return [w for w in (x.strip(".") for x in re.split(r"[^\w.]+", text.lower())) if w]
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -115,87 +142,97 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _gram_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(…keep, gram, n) for every distinct n-gram of `words`."""
-    grams = F.array_distinct(F.concat(*[_grams(F.col("words"), n) for n in range(1, GRAMS + 1)]))
-    return rows.select(*keep, F.explode(grams).alias("gram")).withColumn("n", F.size(F.split("gram", " ")))
-
-
-def _has_stem(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(s)) for s in STEMS))
+def _all_grams(words: Column) -> Column:
+    return F.array_distinct(F.concat(*[_grams(words, n) for n in range(1, GRAMS + 1)]))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words) of the lines that contain a stem."""
-    lines = docs.where(_has_stem(F.col("text"))).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")
-    )
-    return lines.where(_has_stem(F.col("line"))).select("doc_id", "paragraph", _trimmed(_words(F.col("line"))).alias("words"))
-
+    """(doc_id, paragraph, words) of the blocks of lines of each text; blank lines part them."""
+    blocks = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", r"\n[ \t\r]*\n\s*")).alias("paragraph", "block"))
+    return blocks.select("doc_id", "paragraph", _words(F.col("block")).alias("words"))
 
-def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(f, i, s) for f, many in STATEMENTS.items() for i, s in enumerate(many)]
-    plain = spark.createDataFrame(rows, "family string, number int, text string")
-    return plain.select("family", "number", _trimmed(_words(F.col("text"))).alias("words"))
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows made in the JVM."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
-def _variants(spark: SparkSession, templates: DataFrame) -> DataFrame:
-    """(family, words, held): each statement whole, without any one word, and cut off at either end."""
-    n = F.size("words")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
-        F.slice(F.col("words"), F.lit(1), i - 1), F.slice(F.col("words"), i + 1, n)))
-    ends = F.array(F.slice("words", F.lit(2), n), F.slice("words", F.lit(1), F.greatest(n - 1, F.lit(1))),
-                   F.concat(F.array(F.lit("note")), "words"), F.concat("words", F.array(F.lit("2024"), F.lit("authors"))))
-    every = templates.select("family", F.posexplode(F.concat(F.array("words"), without, ends)).alias("variant", "words"))
-    made = every.where(F.size("words") > 1)
-    other = spark.createDataFrame([(s,) for s in OTHERS], "text string").select(
-        F.lit(NONE).alias("family"), F.lit(0).alias("variant"), _trimmed(_words(F.col("text"))).alias("words"))
-    return made.select("family", "words", (F.col("variant") % 4 == 3).alias("held")).unionByName(
-        other.select("family", "words", F.lit(False).alias("held")))
 
+def variants() -> list[tuple[str, list[str], bool]]:
+    """(family, words, held): statements whole, cut and without single words, and names in phrases.
 
-def train(docs: DataFrame) -> tuple[DataFrame, list[str], list[float], float]:
-    """Weights (gram, w: one per class), the classes, their intercepts and the threshold of `unknown`."""
+    Every fourth change of a statement and every fourth phrase are held out from training.
+    """
+    made = []
+    for family, statements in STATEMENTS.items():
+        for text in statements:
+            words = words_of(text)
+            changed = [words, *[words[:i] + words[i + 1 :] for i in range(len(words))], words[1:], words[:-1],
+                       ["note", *words], [*words, "2024", "authors"]]
+            made += [(family, w, i % 4 == 3) for i, w in enumerate(changed) if len(w) > 1]
+        for name in NAMES[family]:
+            made += [(family, words_of(c.format(name)), i % 4 == 3) for i, c in enumerate(CARRIERS)]
+    return made + [(NONE, words_of(text), False) for text in OTHERS]
+
+
+def templates() -> list[tuple[str, int, list[str]]]:
+    """(family, number, n-grams) of each statement and name: all its 3-grams, or itself if it is shorter."""
+    out = []
+    for family, statements in STATEMENTS.items():
+        for number, text in enumerate([*statements, *NAMES[family]]):
+            words = words_of(text)
+            n = min(GRAMS, len(words))
+            out.append((family, number, sorted({" ".join(words[i : i + n]) for i in range(len(words) - n + 1)})))
+    return out
+
+
+def vocabulary() -> list[str]:
+    """Word n-grams of all statements and names."""
+    texts = [words_of(t) for many in (STATEMENTS, NAMES) for family in many.values() for t in family]
+    return sorted({" ".join(w[i : i + n]) for w in texts for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)})
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, list[str], list[str], list[float], list[float]]:
+    """Weights (gram, w: one per class), telling words, the classes, their intercepts and the thresholds below which each is `unknown`."""
     spark = docs.sparkSession
-    templates = _templates(spark)
-    variants = _variants(spark, templates)
-    # First lines of a bounded sample of documents, those without a stem.
+    made = _table(spark, [{"family": f, "words": w, "held": h} for f, w, h in variants()], "family string, words array<string>, held boolean")
+    # First paragraphs of a bounded sample of documents, those that name no licence.
     sample = bounded_sample(
         docs.where("text is not null").select(F.lit(NONE).alias("family"), "doc_id", "text"), "family", F.col("doc_id"), TRAIN_PARAGRAPHS
     )
+    names = _table(spark, [{"names": sorted({g for _, _, grams in templates() for g in grams} | {"licen"})}], "names array<string>")
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     plain = (
-        sample.select("family", F.element_at(F.split("text", "\n", 2), 1).alias("line"))
-        .where(~_has_stem(F.col("line")))
-        .select("family", _trimmed(_words(F.col("line"))).alias("words"), F.lit(False).alias("held"))
+        sample.select("family", _words(F.element_at(F.split("text", r"\n[ \t\r]*\n\s*", 2), 1)).alias("words"))
+        .crossJoin(F.broadcast(names))  # one row
+        .where(~F.exists("names", lambda n: F.contains(text, F.concat(F.lit(" "), n))))
+        .select("family", F.slice("words", 1, 400).alias("words"), F.lit(False).alias("held"), F.xxhash64("words").alias("order"))
     )
-    examples = variants.unionByName(plain).withColumn("id", F.xxhash64("family", "words", "held")).dropDuplicates(["id"])
-    grams = sorted(r.gram for r in _gram_rows(templates, ["family"]).select("gram").distinct().collect())
-    classes = [NONE, *STATEMENTS]
-    place = F.create_map(*[x for i, g in enumerate(grams) for x in (F.lit(g), F.lit(i))])
-    number = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
-    known = spark.createDataFrame(list(enumerate(grams)), "at int, gram string")
-    hits = (
-        _gram_rows(examples, ["id", "family", "held"]).join(F.broadcast(known), "gram", "left")
-        .groupBy("id", "family", "held").agg(F.collect_set("at").alias("at"))
+    plain = durable(plain.where("size(words) > 0"), "licences-plain")
+    around = plain.orderBy("order", "words").limit(AROUND).select(
+        F.pmod(F.xxhash64("order"), F.lit(AROUND)).alias("slot"), F.col("words").alias("prose")).dropDuplicates(["slot"])
+    inside = (
+        made.where(F.col("family") != NONE).withColumn("slot", F.pmod(F.xxhash64("words"), F.lit(AROUND))).join(F.broadcast(around), "slot")
+        .select("family", F.concat("prose", "words").alias("words"), "held")
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(grams) - 1)), lambda i: F.array_contains("at", i).cast("double"))
-    table = hits.select("held", "at", F.element_at(number, F.col("family")).alias("label"), array_to_vector(dense).alias("features")).cache()
-    model = LogisticRegression(regParam=0.002, family="multinomial", maxIter=60).fit(table.where("not held"))
+    grams, classes = vocabulary(), [NONE, *STATEMENTS]
+    label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
+    examples = made.unionByName(inside).unionByName(plain.drop("order")).distinct()
+    counted = CountVectorizerModel.from_vocabulary(grams, "grams", "features").setBinary(True)
+    table = durable(
+        counted.transform(examples.select("held", label.alias("label"), _all_grams(F.col("words")).alias("grams"))).drop("grams"), "licences-examples"
+    )
+    model = LogisticRegression(regParam=0.0005, family="multinomial", maxIter=60).fit(table.where("not held"))
     weights = model.coefficientMatrix.toArray()
-    bias = [float(x) for x in model.interceptVector.toArray()]
-    held = model.transform(table.where("held")).where("prediction = label").select(
-        F.array_max(_as_array("probability")).alias("p"))
-    found = held.agg(F.percentile_approx("p", CALIBRATION_QUANTILE)).first()[0]
-    table.unpersist()
-    rows = [(g, [float(x) for x in weights[:, i]]) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram string, w array<double>"), classes, bias, 0.9 * float(found or 0.5)
-
-
-def _as_array(name: str) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(name)
+    held = model.transform(table.where("held")).where("prediction = label").select("label", F.array_max(vector_to_array("probability")).alias("p"))
+    low = F.percentile_approx("p", CALIBRATION_QUANTILE).alias("low")
+    found = {int(r.label): r.low for r in held.groupBy("label").agg(low).collect()}  # a row per family
+    rows = [{"gram": g, "w": weights[:, i].tolist()} for i, g in enumerate(grams)]
+    gain = (weights[1:] - weights[0]).max(axis=0)
+    of_word = {g: float(gain[i]) for i, g in enumerate(grams) if " " not in g}
+    texts = [words_of(t) for many in (STATEMENTS, NAMES) for family in many.values() for t in family]
+    telling = sorted({w for w, g in of_word.items() if g >= TELLING} | {max(t, key=lambda w: (of_word[w], w)) for t in texts})
+    known = _table(spark, rows, "gram string, w array<double>")
+    return known, telling, classes, model.interceptVector.toArray().tolist(), [MARGIN * found.get(i, 1.0) for i in range(len(classes))]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -204,22 +241,21 @@ def scan(docs: DataFrame) -> DataFrame:
     `family` is `unknown` for a paragraph that is about a licence but of none of the families.
     """
     spark = docs.sparkSession
-    weights, classes, bias, threshold = train(docs)
-    templates = _gram_rows(_templates(spark), ["family", "number"]).where(F.col("n") == GRAMS)
-    short = _gram_rows(_templates(spark).where(F.size("words") < GRAMS + 1), ["family", "number"])
-    # A statement of few words is compared by all its n-grams.
-    of_template = templates.join(short.select("family", "number").distinct(), ["family", "number"], "left_anti").unionByName(short)
-    sizes = of_template.groupBy("family", "number").agg(F.count("*").alias("n_template"))
-    lists = (
-        of_template.join(sizes, ["family", "number"])
-        .groupBy("gram").agg(F.collect_list(F.struct("family", "number", "n_template")).alias("templates"))
-    )
-    known = F.broadcast(weights.join(lists, "gram", "left"))  # as many rows as the statements have n-grams
-    lines = paragraphs(docs).withColumn("row", F.monotonically_increasing_id())
-    hits = _gram_rows(lines, ["row", "doc_id", "paragraph"]).join(known, "gram")
+    weights, telling, classes, bias, thresholds = train(docs)
+    lists: dict[str, list] = {}
+    for family, number, grams in templates():
+        for gram in grams:
+            lists.setdefault(gram, []).append({"family": family, "number": number, "n_template": len(grams)})
+    kind = "array<struct<family:string,number:int,n_template:int>>"
+    of_gram = _table(spark, [{"gram": g, "templates": t} for g, t in lists.items()], f"gram string, templates {kind}")
+    known = F.broadcast(durable(weights.join(of_gram, "gram", "left"), "licences-grams"))  # as many rows as the statements have n-grams
+    about = paragraphs(docs).where(F.arrays_overlap("words", F.lit(telling))) if telling else paragraphs(docs).limit(0)
+    rows = about.withColumn("row", F.monotonically_increasing_id())
+    hits = rows.select("row", "doc_id", "paragraph", F.explode(_all_grams(F.col("words"))).alias("gram")).join(known, "gram")
     logits = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))]
+    none_of = F.array().cast(kind)
     scored = hits.groupBy("row", "doc_id", "paragraph").agg(
-        *logits, F.flatten(F.collect_list(F.coalesce("templates", F.array().cast("array<struct<family:string,number:int,n_template:bigint>>")))).alias("seen"))
+        *logits, F.flatten(F.collect_list(F.coalesce("templates", none_of))).alias("seen"))
     z = F.array(*[F.col(f"z{i}") + bias[i] for i in range(len(classes))])
     peak = F.array_max("z")
     e = F.transform("z", lambda x: F.exp(x - peak))
@@ -232,7 +268,7 @@ def scan(docs: DataFrame) -> DataFrame:
         .withColumn("own", F.filter("seen", lambda t: t["family"] == F.col("named")))
         .withColumn("similarity", F.coalesce(F.array_max(F.transform(F.array_distinct("own"), lambda t:
             F.size(F.filter("own", lambda u: u == t)) / t["n_template"])), F.lit(0.0)))
-        .withColumn("confirmed", (F.col("best") >= threshold) & (F.col("similarity") >= CONFIRMED))
+        .withColumn("confirmed", (F.col("best") >= F.element_at(F.lit(thresholds), F.array_position("p", F.col("best")).cast("int"))) & (F.col("similarity") >= CONFIRMED))
         .where((F.col("best") + 0.0 >= 0.5) | (1 - F.col("p")[0] >= 0.5) | (F.col("similarity") >= CONFIRMED))
         .select("doc_id", "paragraph",
                 F.when(F.col("confirmed"), F.col("named")).otherwise(UNKNOWN).alias("family"),
