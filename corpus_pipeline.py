@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tramline.llm import decontamination, langid, minhash, mixing, sharding
+from tramline.llm import decontamination, langid, minhash, mixing, sharding, words
 from tramline.session import durable
 
 
@@ -29,9 +30,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with their shard and the slot in it."""
-    placed = sharding.shard(docs)
-    return placed.select("row.*", "size", "text_crc32", "law", "shard", "slot")
+    """The mixed documents with their shard and the slot in it, under names that no column has."""
+    added = ("size", "text_crc32", "law", "shard", "slot")
+    named = [F.col(c).alias(words.free_name(c, docs.columns)) for c in added]
+    return sharding.shard(docs).select("row.*", *named)
 
 
 STAGES = [
