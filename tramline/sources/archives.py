@@ -35,7 +35,7 @@ BLOCK_BYTES = 8 << 20  # of a table file parsed at once; a longer row makes the
 ENTRY_BYTES = 64 << 20  # of tables for a task, on average
 
 RECORD_SCHEMA = "feed_id string, gtfs_table string, fields array<string>, report string"
-ENTRY_SCHEMA = "feed_id string, path string, gtfs_table string, size long, report string"
+ENTRY_SCHEMA = "feed_id string, path string, gtfs_table string, size long, archive_size long, report string"
 
 REJECTED_SCHEMA = "feed_id string, gtfs_table string, `column` string, n_rejected long"
 
@@ -74,9 +74,9 @@ def read_archives(spark: SparkSession, path: str | list[str], manifest: DataFram
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """(feed_id, path, gtfs_table, size, report) of each known table in `archives(feed_id, path)`.
+    """(feed_id, path, gtfs_table, size, archive_size, report) of each known table in `archives(feed_id, path)`.
 
-    Only the directories at the ends of the files are read. A file without a readable one gives a report instead.
+    Sizes are those of the unpacked tables. Only the directories at the ends of the files are read. A file without a readable one gives a report instead.
     """
     return archives.select("feed_id", "path").mapInArrow(_list_entries, ENTRY_SCHEMA)
 
@@ -88,14 +88,15 @@ def _list_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             try:
                 with open_file(path) as file, zipfile.ZipFile(file) as archive:
                     found = {i.filename: i.file_size for i in archive.infolist()}
-                rows += [(feed_id, path, t, found[f"{t}.txt"], None) for t in FEED_COLUMNS if f"{t}.txt" in found]
+                sizes = {t: found[f"{t}.txt"] for t in FEED_COLUMNS if f"{t}.txt" in found}
+                rows += [(feed_id, path, t, n, sum(sizes.values()), None) for t, n in sizes.items()]
             except UNREADABLE as error:
-                rows.append((feed_id, path, None, 0, _reason(error)))
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-        columns = zip(*rows, strict=True) if rows else [()] * 5
+                rows.append((feed_id, path, None, 0, 0, _reason(error)))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)],
-            ["feed_id", "path", "gtfs_table", "size", "report"],
+            ["feed_id", "path", "gtfs_table", "size", "archive_size", "report"],
         )
 
 
@@ -112,24 +113,54 @@ def scan_archives(archives: DataFrame) -> DataFrame:
     total = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).head()
     cores = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(total["n"], max(cores, -(-total["bytes"] // ENTRY_BYTES))))
-    # Dealt by number: a list of entries is small, and adaptive execution would put it into one task.
-    return entries.repartition(tasks, "path", "gtfs_table").mapInArrow(_read_entries, RECORD_SCHEMA)
+    # Small archives are opened once; the tables of large ones go to tasks of their own. Dealt by number: a list of
+    # entries is small, and adaptive execution would put it into one task.
+    apart = F.when(F.col("archive_size") > ENTRY_BYTES, F.col("gtfs_table"))
+    dealt = entries.repartition(tasks, F.col("path"), apart).sortWithinPartitions("path")
+    return dealt.mapInArrow(_read_entries, RECORD_SCHEMA)
 
 
 def _read_entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _merged(_entries_of(batches))
+
+
+def _entries_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, file, archive = None, None, None
+    for row in (row for batch in batches for row in batch.to_pylist()):
+        if row["report"] is not None:
+            yield _told(row["feed_id"], None, row["report"])
+            continue
+        try:
+            if row["path"] != at:
+                if file is not None:
+                    file.close()
+                at, file = None, open_file(row["path"])
+                archive = zipfile.ZipFile(file)
+                at = row["path"]
+            yield from _table(row["feed_id"], archive, row["gtfs_table"])
+        except UNREADABLE as error:
+            yield _told(row["feed_id"], None, _reason(error))
+    if file is not None:
+        file.close()
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, small batches put together."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["report"] is not None:
-                yield _told(row["feed_id"], None, row["report"])
-                continue
-            try:
-                with open_file(row["path"]) as file, zipfile.ZipFile(file) as archive:
-                    yield from _table(row["feed_id"], archive, row["gtfs_table"])
-            except UNREADABLE as error:
-                yield _told(row["feed_id"], None, _reason(error))
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= CHUNK_ROWS or len(waiting) >= 200:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def _unzip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _merged(_contents_of(batches))
+
+
+def _contents_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for feed_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             try:
