@@ -35,7 +35,7 @@ SHINGLE, SIMILAR = 5, 0.75
 HASH_BITS = 128
 RADIUS = 7
 BLOCKS = RADIUS + 1  # of 16 bits each
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28  # of the bitmap: 32 MB at most
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 28  # of the bitmap: 32 MB at most
 WORDS_AT_ONCE = 1 << 18  # words whose bits are added up at once: bounds memory only
 
 
