@@ -65,3 +65,15 @@ def test_option_texts():
     assert times.parse_bound("27:00:00") == 97200
     with pytest.raises(ValueError):
         times.parse_bound("8:00")
+
+
+@pytest.mark.parametrize("text, secs", [("08:00:00\n", 28800), ("08:00:00\n\n", None), ("08:00:000", None), ("8:00:00\u0085", None)])
+def test_time_to_secs_at_the_end_of_the_text(spark, text, secs):
+    assert one(spark, times.time_to_secs(F.lit(text))) == secs
+
+
+def test_seconds_are_parsed_once_before_they_are_filtered(spark):
+    from tramline.plans.checks import QUERIES
+
+    plan = QUERIES["stop_times_in_window"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "departure_secs" in plan and "RLIKE" not in plan

@@ -18,10 +18,14 @@ MAX_HOUR, MAX_MINUTE, MAX_SECOND = 29, 59, 59
 def time_to_secs(text: Column) -> Column:
     """`H:MM:SS` with any number of hour digits to seconds; blank or malformed gives null, as does
     a number of seconds that is no int."""
-    parts = F.split(F.trim(text), ":")
-    hours = F.try_multiply(F.element_at(parts, 1).try_cast("long"), F.lit(3600))
-    secs = F.try_add(hours, F.element_at(parts, 2).try_cast("long") * 60 + F.element_at(parts, 3).try_cast("long"))
-    return F.when(F.trim(text).rlike(r"^\d+:[0-5]\d:[0-5]\d$"), secs.try_cast("int"))
+    trimmed = F.trim(text)
+    hours = F.substring_index(trimmed, ":", 1)
+
+    def pair(place: int) -> Column:
+        return F.substring(trimmed, F.length(hours) + place, F.lit(2)).try_cast("long")
+
+    secs = F.try_add(F.try_multiply(hours.try_cast("long"), F.lit(3600)), pair(2) * 60 + pair(5))
+    return F.when(trimmed.rlike(r"^\d+:[0-5]\d:[0-5]\d(\r?\n|\r)?\z"), secs.try_cast("int"))
 
 
 def secs_to_time(secs: Column) -> Column:
