@@ -122,3 +122,33 @@ def test_stop_counts(spark):
     )
     got = {r.similar_stop_id: r["count"] for r in frequency.unified_stop_counts(df, relation).collect()}
     assert got == {"A": 3, "C": 2}
+
+
+def test_copies_of_calls_and_ties_make_the_segments_of_their_sets(spark):
+    """Copies anywhere, equal numbers, null times: as sorted sets of calls give."""
+    rng = random.Random(11)
+    rows = [("a", str(rng.randrange(6)), rng.choice("ABC"), rng.randrange(4), rng.choice([None, 1, 2])) for _ in range(150)]
+    key = lambda r: (r[3], r[2], r[4] is not None, r[4] or 0)
+    want = []
+    for trip in {r[1] for r in rows}:
+        calls = sorted({r for r in rows if r[1] == trip}, key=key)
+        want += [("a", trip, p[2], p[3], q[2], p[4]) for p, q in zip(calls, calls[1:])]
+    order = lambda s: sorted(s, key=str)
+    df = stop_times(spark, rows).repartition(4)
+    got = frequency.trip_segments(df).select("feed_id", "trip_id", "from_stop_id", "stop_sequence", "to_stop_id", "departure_secs")
+    assert order(tuple(r) for r in got.collect()) == order(want)
+
+
+def test_segments_need_no_sets_and_one_shuffle(spark, tmp_path):
+    stop_times(spark, [("a", "1", s, i, i) for i, s in enumerate("ABC")]).write.parquet(str(tmp_path / "calls"))
+    plan = frequency.trip_segments(spark.read.parquet(str(tmp_path / "calls")))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Exchange") == 1
+
+
+def test_long_trips_are_found_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(spans, "LONG", 10)
+    for buckets in (1, 3, 65_536):
+        monkeypatch.setattr(spans, "BUCKETS", buckets)
+        df = spark.range(400).selectExpr("cast(id % 100 as string) as trip_id").unionByName(spark.range(11).selectExpr("'long' as trip_id"))
+        found = spans._long_ones(df, ["trip_id"])
+        assert [r.trip_id for r in found.collect()] == ["long"]
