@@ -297,3 +297,26 @@ def test_unified_positions_and_names(spark):
 def test_repeated_stop_rows_count_once(spark):
     df = stops_of(spark, [("x", "n", 0.0, 0.0, None)] * 5 + [("x", "m", 0.0, 0.0, None)])
     assert [tuple(r)[1:3] for r in unify.one_row_per_stop(df).collect()] == [("x", "m")]
+
+
+def test_cells_meet_across_tiles_in_few_rows(spark, monkeypatch):
+    """Crowded cells around zero and tile borders, against all pairs; no cell is dealt to as many keys as it has neighbours."""
+    rng = random.Random(9)
+    points = [(rng.uniform(-0.04, 0.04), rng.uniform(-0.04, 0.04)) for _ in range(400)]
+    points += [(0.0, 0.0), (0.002, 0.0), (0.016, 0.016), (0.0159, 0.0175), (-0.0001, -0.0001)]
+    rows = [(f"s{i:03}", rng.choice("nm"), x, y, None) for i, (x, y) in enumerate(points)]
+    kept = []
+    monkeypatch.setattr(near, "durable", lambda df, name, f=near.durable: kept.append((name, df)) or f(df, name))
+    got = {r.stop_id: r.similar_stop_id for r in near.near_groups(stops_of(spark, rows)).collect()}
+    leader = {r[0]: r[0] for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in rows:
+            for b in rows:
+                if a[1] == b[1] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= near.RADIUS**2 and leader[a[0]] > leader[b[0]]:
+                    leader[a[0]], changed = leader[b[0]], True
+    members = [s for s in leader if list(leader.values()).count(leader[s]) > 1]
+    assert got == {s: leader[s] for s in members}
+    plan = next(df for name, df in kept if name == "cell-pairs")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tile_x" in plan and plan.count("struct(dx") == 0
