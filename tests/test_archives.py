@@ -248,3 +248,37 @@ def test_trips_in_buckets_are_joined_and_followed_without_a_shuffle(spark, folde
             "Exchange hashpartitioning(feed_id" in p for p in plans]
     assert found["ranges"][0] == found["buckets"][0]
     assert found["ranges"][1] == [True, True] and found["buckets"][1] == [False, False]
+
+
+def test_a_folder_of_archives_is_one_path_to_list(spark):
+    """A pattern would be as many paths as there are archives."""
+    from tramline.plans import checks, testdata
+
+    seen = []
+    listed = archives.list_archives
+    try:
+        archives.list_archives = lambda spark, path, *more: seen.append(path) or listed(spark, path, *more)
+        fetched, records = checks._scanned(spark, "/root/testdata/sf0.001")
+    finally:
+        archives.list_archives = listed
+    files = spark.read.format("binaryFile").load(seen[0])
+    assert "InMemoryFileIndex(1 paths)" in files._jdf.queryExecution().executedPlan().toString()
+    assert files.count() == fetched.where("path is not null").count() > 0
+
+
+def test_archives_are_zipped_from_lines_in_order_across_batches():
+    import zipfile as z
+    import pyarrow as pa
+    from tramline.plans import testdata
+
+    rows = [(n, t, f"{n},{t},{i:02}") for n in (5, 6, 9) for t in ("agency", "trips") for i in range(7)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("feed_no", "gtfs_table", "line"), r)) for r in rows[i : i + 5]]) for i in range(0, 42, 5)]
+    made = [r for b in testdata._zip_feeds(iter(batches), {"agency": "a", "trips": "t"}) for r in b.to_pylist()]
+    assert [(r["feed_id"], r["status"]) for r in made] == [("Z5", 200), ("Z6", 200), ("Z9", 404)]
+    with z.ZipFile(io.BytesIO(made[0]["content"])) as archive:
+        assert archive.namelist() == ["agency.txt", "trips.txt"]
+        want = "\ufefft\r\n" + "".join(f"5,trips,{i:02}\r\n" for i in range(7))
+        assert archive.read("trips.txt").decode() == want
+    with z.ZipFile(io.BytesIO(made[1]["content"])) as archive:
+        assert archive.namelist() == ["agency.txt"]
+    assert made[2]["content"] is None

@@ -61,7 +61,8 @@ def _scanned(spark, sf):
     """Records of archives that lie in a folder as files."""
     folder = fresh_path(spark, "feeds")
     fetched = testdata.archive_files(spark, sf, folder)
-    return fetched, archives.scan_archives(archives.list_archives(spark, f"{folder}/*.zip"))
+    # the folder itself: a pattern would make every archive a path to be listed by itself
+    return fetched, archives.scan_archives(archives.list_archives(spark, folder))
 
 
 @query
@@ -527,7 +528,7 @@ def archives_to_outputs(spark, sf):
     """From archive files to collections and tables, all read back: feeds with every required table, by id prefix and name."""
     base = fresh_path(spark, "run")
     fetched = testdata.archive_files(spark, sf, f"{base}/feeds")
-    listed = archives.list_archives(spark, f"{base}/feeds/*.zip", fetched.where("path is not null").select("feed_id", "path"))
+    listed = archives.list_archives(spark, f"{base}/feeds", fetched.where("path is not null").select("feed_id", "path"))
     tables = archives.stage_feeds(listed, f"{base}/staged")
     feeds = tables.agency.select("feed_id", F.col("feed_id").alias("dir")).distinct()
     options = Options(

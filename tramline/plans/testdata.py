@@ -10,7 +10,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,17 +239,19 @@ NO_TRIPS, DAMAGED, NO_CALENDAR, NOT_FETCHED = 1, 2, 3, 4
 
 def feed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feed_id, status, content): zipped feeds built from the given tables, some of them faulty."""
-    lines = None
+    lines, headers = None, {}
     for table, sql in ARCHIVE_SQL.items():
         rows = given(spark, sf_dir, sql)
-        header = ",".join(rows.columns[1:])
-        one = rows.select(
-            "feed_no", F.lit(table).alias("gtfs_table"), F.lit(header).alias("header"),
-            F.concat_ws(",", *rows.columns[1:]).alias("line"),
-        )
+        one = rows.select("feed_no", F.lit(table).alias("gtfs_table"), F.concat_ws(",", *rows.columns[1:]).alias("line"))
         lines = one if lines is None else lines.unionByName(one)
-    # a feed holds 250 trips, so a group is small whatever the size of the tables
-    return lines.groupBy("feed_no").applyInPandas(_zip_feed, "feed_id string, status int, content binary")
+        headers[table] = ",".join(rows.columns[1:])
+
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _zip_feeds(batches, headers)
+
+    # lines lie in their order, and a feed, of 250 trips, is held while its lines come in
+    in_order = lines.repartition("feed_no").sortWithinPartitions("feed_no", "gtfs_table", "line")
+    return in_order.mapInArrow(zipped, "feed_id string, status int, content binary")
 
 
 def archive_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
@@ -269,19 +271,38 @@ def archive_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return durable(feed_archives(spark, sf_dir).mapInArrow(write, "feed_id string, status int, path string"), "archive-files")
 
 
-def _zip_feed(rows: pd.DataFrame) -> pd.DataFrame:
-    number = int(rows["feed_no"].iloc[0])
+def _zip_feeds(batches: Iterator[pa.RecordBatch], headers: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """One archive for each feed of lines that come in by feed and table."""
+    number: int | None = None
+    tables: dict[str, list[str]] = {}
+    for batch in batches:
+        feeds, names = batch.column("feed_no"), batch.column("gtfs_table").dictionary_encode()
+        lines = batch.column("line").to_pylist()
+        ids, codes = feeds.to_numpy(zero_copy_only=False), names.indices.to_numpy(zero_copy_only=False)
+        begins = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1])) + 1).tolist()] if len(lines) else []
+        for begin, end in zip(begins, [*begins[1:], len(lines)], strict=True) if begins else ():
+            if number is not None and ids[begin] != number:
+                yield _zip_feed(number, tables, headers)
+                tables = {}
+            number = int(ids[begin])
+            tables.setdefault(names.dictionary[codes[begin]].as_py(), []).extend(lines[begin:end])
+    if number is not None:
+        yield _zip_feed(number, tables, headers)
+
+
+def _zip_feed(number: int, tables: dict[str, list[str]], headers: dict[str, str]) -> pa.RecordBatch:
     fault = number % 5
     left_out = {NO_TRIPS: "trips", NO_CALENDAR: "calendar"}.get(fault)
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-        for (table, header), part in rows.groupby(["gtfs_table", "header"]):
+        for table, lines in tables.items():
             if table != left_out:
-                archive.writestr(f"{table}.txt", "﻿" + "\r\n".join([header, *sorted(part["line"])]) + "\r\n")
+                archive.writestr(f"{table}.txt", "\ufeff" + "\r\n".join([headers[table], *lines]) + "\r\n")
     content = buffer.getvalue()
     if fault == DAMAGED:
         content = content[: len(content) // 2]
     fetched = fault != NOT_FETCHED
-    return pd.DataFrame(
-        {"feed_id": [f"Z{number}"], "status": [200 if fetched else 404], "content": [content if fetched else None]}
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f"Z{number}"]), pa.array([200 if fetched else 404], pa.int32()), pa.array([content if fetched else None], pa.binary())],
+        ["feed_id", "status", "content"],
     )
