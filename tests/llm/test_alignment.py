@@ -109,3 +109,27 @@ def test_pointers_reach_the_last_token_of_long_components():
         for ends, labels in ((x, a), (y, b)):
             assert len(np.unique(labels)) == len(common)
             assert (np.unique(labels, return_inverse=True)[1] == np.unique(np.searchsorted(common, ends), return_inverse=True)[1]).all()
+
+
+def test_memory_of_a_process_is_bounded(tokens):
+    """Texts of ever new words, aligned in slices, take less than 250 MB on top of the vocabularies and the first texts."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, pyarrow as pa
+from tramline.llm import alignment as A, words
+read = lambda name: open(f"{A.TOKENIZERS}/{name}", "rb").read()
+known = A.Known(A.Tokens(A.TokenizerFiles(read(A.FIRST_FILE), read(A.SECOND_FILE))))
+draw, peak = random.Random(1), lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+for _ in range(2):
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(1000)) for _ in range(430)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(430)), pa.array(texts)], ["doc_id", "text"])
+    begun = peak() if _ == 0 else begun
+    for part in words.slices(batch, most=getattr(A, "TEXTS_AT_ONCE", words.SLICE_BYTES)):
+        A._rows(part, known)
+print(peak() - begun)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=".")
+    print(done.stdout)
+    assert int(done.stdout) < 250

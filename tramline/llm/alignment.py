@@ -41,8 +41,9 @@ from tramline.session import durable
 TOKENIZERS = "/opt/tokenizers"
 FIRST_FILE, SECOND_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 100_000  # pairs broadcast at most
-KNOWN_UNITS, KNOWN_BYTES = 250_000, 16 << 20  # units a process keeps, and bytes of those it takes in at once
-UNITS_AT_ONCE = 1 << 15  # units encoded and aligned together: bounds memory only
+KNOWN_UNITS, KNOWN_BYTES = 100_000, 16 << 20  # units a process keeps, and bytes of those it takes in at once
+UNITS_AT_ONCE = 1 << 13  # units encoded and aligned together: bounds memory only
+TEXTS_AT_ONCE = 512 << 10  # bytes of texts aligned together, or one longer text: bounds memory only
 LARGE_GROUP = 10_000  # links of a group from which its ids are counted before they are paired
 
 # Fixed value: how byte-level vocabularies split a text before their merges.
@@ -300,7 +301,7 @@ def tokenized(docs: DataFrame, files: TokenizerFiles) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known_units(shared.value)
         for whole in batches:
-            for batch in words.slices(whole):
+            for batch in words.slices(whole, most=TEXTS_AT_ONCE):
                 yield _rows(batch, known)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
