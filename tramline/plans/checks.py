@@ -42,8 +42,13 @@ def query(function: Query) -> Query:
     return function
 
 
+def _six_text(number: Column) -> Column:
+    """A number as text with six decimals, whatever its size: positions made from part numbers pass 1,000."""
+    return number.cast("decimal(38,6)").cast("string")
+
+
 def _position(point: Column) -> Column:
-    return F.concat_ws(" ", point[0].cast("decimal(9,6)").cast("string"), point[1].cast("decimal(9,6)").cast("string"))
+    return F.concat_ws(" ", _six_text(point[0]), _six_text(point[1]))
 
 
 def _line_text(coordinates: str | Column) -> Column:
@@ -51,7 +56,7 @@ def _line_text(coordinates: str | Column) -> Column:
 
 
 def _six(name: str) -> Column:
-    return F.col(name).cast("decimal(9,6)").cast("string").alias(name)
+    return _six_text(F.col(name)).alias(name)
 
 
 # --- sources -----------------------------------------------------------------------------
@@ -425,7 +430,7 @@ def _feature_columns(features, *properties):
 def _lon_lat(features):
     position = F.from_json("coordinates", "array<double>")
     return features.withColumns({"lon": position[0], "lat": position[1]}).drop("coordinates").withColumns(
-        {name: F.col(name).cast("decimal(9,6)").cast("string") for name in ("lon", "lat")}
+        {name: _six_text(F.col(name)) for name in ("lon", "lat")}
     )
 
 
