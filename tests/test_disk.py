@@ -56,3 +56,48 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not {name for name in shuffle_files(spark) - before if os.path.getsize(name) > 1000}  # those of the count are small
     dealt.write.format("noop").mode("overwrite").save()  # the setting holds for the write alone
     assert {name for name in shuffle_files(spark) - before if os.path.getsize(name) > 1000}
+
+
+def documents_of(folder):
+    return {f.parent.name: f.read_text() for f in folder.glob("*/*") if not f.name.startswith(".")}
+
+
+def test_documents_of_many_groups_in_one_task(spark, tmp_path):
+    from tramline.sinks import documents
+
+    rows = spark.range(300).selectExpr("'g' || id % 100 as place", "'{\"n\": ' || id || '}' as value")
+    groups = spark.range(101).selectExpr("'g' || id as place")
+    folder = F.concat(F.lit("place="), F.col("place"))
+    documents.write_documents(rows, groups, str(tmp_path / "o"), "place", "[", "]", "x.json", folder)
+    found = documents_of(tmp_path / "o")
+    assert len(found) == 101 and found["place=g100"] == "[]"
+    assert sorted(eval(found["place=g7"].replace("\n", "")), key=lambda r: r["n"]) == [{"n": 7}, {"n": 107}, {"n": 207}]
+    assert not [f for f in (tmp_path / "o").iterdir() if f.name.startswith(".")]
+
+
+def test_an_attempt_that_comes_after_the_rename_is_done(tmp_path):
+    from tramline.sources.files import put_file
+
+    (tmp_path / "part").write_text("whole")
+    for _ in range(2):
+        put_file(str(tmp_path / "part"), str(tmp_path / "a" / "x.json"))
+    assert (tmp_path / "a" / "x.json").read_text() == "whole"
+    with pytest.raises(FileNotFoundError):
+        put_file(str(tmp_path / "part"), str(tmp_path / "b" / "x.json"))
+
+
+def test_parts_of_a_task_are_whole_documents_across_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from tramline.sinks import documents
+
+    class Task:
+        get = staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})())
+
+    monkeypatch.setattr(documents, "TaskContext", Task)
+    rows = [("a", ",1\n"), ("a", ",2\n"), ("b", ",3\n"), ("b", ",4\n"), ("c", ",5\n")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 3])], ["folder", "line"]).slice(0) for i in (0, 3)]
+    [found] = documents._write_parts(batches, str(tmp_path), b"[", b"]")
+    assert {r["folder"]: open(r["part"]).read() for r in found.to_pylist()} == {"a": "[1\n,2\n]", "b": "[3\n,4\n]", "c": "[5\n]"}
+    documents._join(str(tmp_path / "all.json"), [r["part"] for r in found.to_pylist()], "[", "]")
+    assert (tmp_path / "all.json").read_text() == "[1\n,2\n,3\n,4\n,5\n]"
