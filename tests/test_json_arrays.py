@@ -59,3 +59,14 @@ def test_lists_and_responses_in_their_own_form(spark, tmp_path, monkeypatch):
     (tmp_path / "bad.json").write_text("<html>")
     with pytest.raises(Exception, match="not a whole JSON document"):
         catalog_files.read_catalog(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_every_document_of_a_file_is_cut():
+    from tramline.sources.json_arrays import ArrayCutter
+
+    text = b'{"body": [{"n": 1}, {"n": 2}]}\n{"message": "no body"}\n{"body": []}\n{"a": [[9]], "body": [{"n": 3}], "b": [8]}\n'
+    for size in (1, 7, len(text)):
+        cutter = ArrayCutter("body")
+        found = [e for i in range(0, len(text), size) for e in cutter.feed(text[i : i + size])]
+        cutter.check()
+        assert found == [b'{"n": 1}', b'{"n": 2}', b'{"n": 3}']
